@@ -189,3 +189,38 @@ def test_url_filter(spark):
 def test_crc_is_of_little_endian_words():
     assert packing.crc32_of([1, 258]) == zlib.crc32(b"\1\0\0\0\2\1\0\0")
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_main_text_of_plain_pages(spark):
+    import html as h
+
+    from tallyroll.llm import html_text
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", article)
+        blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in blocks]
+        assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+def test_site_templates_go(spark):
+    from tallyroll.llm import html_text
+
+    def page(i, extra=""):
+        return (f"<html><body class='nav-open'><div id=top>Our site <a href=x>home</a></div><div><p>Story {i} one&nbsp;&lt;<p>two\n line<br>more"
+                f"<div class='share x'>Like it</div></div>{extra}<section><div>All rights<br>reserved</div></section><form>name</form></body>")
+
+    rows = [(i, f"http://a.org/{i}", page(i, "<p>Said by all</p>")) for i in range(8)]
+    rows += [(20, "http://b.org/1", page(20)), (21, None, None), (22, "http://b.org/2", ""), (23, "http://b.org/3", "<p>open <b>bold & x &amp; <!-- no"),
+             (23, "http://b.org/3", "<p>open <b>bold & x &amp; <!-- no"), (24, "u://b.org", "<script>if (a<b) '</p>'</script>t <li>a<li>b<td>c<td>d <foot")]
+    got = {}
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    for i in range(8):
+        assert got[i] == [f"Story {i} one <\n\ntwo line more\n\nSaid by all"]
+    assert got[20] == ["Our site home\n\nStory 20 one <\n\ntwo line more\n\nAll rights reserved"]
+    assert got[21] == got[22] == [""] and got[23] == ["open bold & x &"] * 2 and got[24] == ["t\n\na\n\nb c d"]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
