@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -36,8 +37,10 @@ LENGTH = 4096
 END_ID = 2
 #: At most so many queues: beyond it sources share queues by hash.
 MAX_QUEUES = 1024
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 MEMO_LENGTH = 48
+#: Texts are encoded in parts of about so many characters.
+PART_CHARS = 4_000_000
 
 
 @functools.lru_cache(4)
@@ -50,33 +53,94 @@ def _tokenizer(path: str):
     return tok, {}
 
 
-def _words_apart(tok) -> bool:
-    """Whether text may be encoded word by word: white space never reaches a token."""
-    probe = ["a", "Bc,d", "x1y's", "été", "zz!!!"]
+def _words_apart(tok) -> tuple[bool, bool, bool]:
+    """Whether text may be encoded word by word (white space never reaches a token, full stops and
+    commas stay apart from letters); whether lower-casing it first changes nothing; whether words of
+    lower-case letters may go to the model alone."""
+    probe = ["a", "Bc,d", "x1y's", "\u00e9t\u00e9", "zz!!!", "\u00c9T\u00c9", "End", ".", "s", "don't", "ll"]
     ids = lambda s: tok.encode(s, add_special_tokens=False).ids
-    return all(ids(s.join(probe)) == sum(map(ids, probe), []) for s in (" ", "  ", "\n", "\t "))
+    apart = all(ids(s.join(probe)) == sum(map(ids, probe), []) for s in (" ", "  ", "\n", "\t "))
+    apart = apart and all(ids(w + p) == ids(w) + ids(p) for w in probe if w.isalpha() for p in ".,")
+    letters = [chr(c) for c in range(0x20, 0x100)]
+    lower = all(ids(x) == ids(x.lower()) for x in [*letters, *probe])
+    units = lambda w: [t.id for t in tok.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))]
+    alone = all(ids(w + "ab") == units(w + "ab") for w in letters if w.isalpha() and w == w.lower())
+    return apart, lower, alone
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_letters() -> list[str]:
+    """The printable character by which byte-level vocabularies write each byte: itself if it is
+    printable in Latin-1, else the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+BYTE_LETTERS = dict(enumerate(_byte_letters()))
+
+
+def _encode_words(tok, words: list[bytes], model_alone: bool) -> list[bytes]:
+    """Ids of each word.  Lower-case words of letters alone are one unit each, so they may skip
+    the tokenizer's normaliser and splitter and go to its model at once."""
+    out: list[bytes] = [b""] * len(words)
+    rest = []
+    for i, w in enumerate(words):
+        if model_alone and (text := w.decode()).isalpha() and _latin(text) and text == text.lower():
+            units = tok.model.tokenize(w.decode("latin-1").translate(BYTE_LETTERS))
+            out[i] = struct.pack(f"<{len(units)}I", *[t.id for t in units])
+        else:
+            rest.append(i)
+    for k in range(0, len(rest), 5_000):
+        part = rest[k : k + 5_000]
+        for i, e in zip(part, tok.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    return out
 
 
 def encode_ids(path: str, texts: list[str], end_id: int | None) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, ``end_id`` appended."""
+    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    out: list[bytes] = []
+    part: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        part.append(text)
+        size += len(text)
+        if size >= PART_CHARS or i == len(texts) - 1:
+            out += [ids + end for ids in _encode_part(path, part)]
+            part, size = [], 0
+    return out
+
+
+def _encode_part(path: str, texts: list[str]) -> list[bytes]:
     tok, memo = _tokenizer(path)
     if "apart" not in memo:
-        memo["apart"] = _words_apart(tok)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        memo["apart"], memo["lower"], memo["alone"] = _words_apart(tok)
     if not memo["apart"]:
-        return [np.array(e.ids, "<u4").tobytes() + end for e in tok.encode_batch(texts, add_special_tokens=False)]
-    words = [x.encode().split() for x in texts]  # on ASCII white space
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-        memo["apart"] = True
-    new = list({w for ws in words for w in ws if w not in memo})
-    long: dict[bytes, bytes] = {}
-    for i in range(0, len(new), 50_000):
-        part = new[i : i + 50_000]
-        for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            (memo if len(w) <= MEMO_LENGTH else long)[w] = np.array(e.ids, "<u4").tobytes()
-    get = memo.__getitem__ if not long else lambda w: memo[w] if w in memo else long[w]
-    return [b"".join(map(get, ws)) + end for ws in words]
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    # Lower-casing first is what the tokenizer does to Latin-1 letters anyway, and halves the distinct words.
+    lower = memo["lower"]
+    words = [(x.lower() if lower and "<|" not in x and _latin(x) else x).encode().split() for x in texts]
+    new = {w for ws in words for w in ws if w not in memo}
+    stems = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}  # "word." is "word" and "."
+    plain = list((new - stems.keys()) | {x for x in stems.values() if x not in memo} | ({b".", b","} if stems else set()))
+    fresh = dict(zip(plain, _encode_words(tok, plain, memo["alone"])))
+    ids_of = lambda w: memo[w] if w in memo else fresh[w]
+    for w, x in stems.items():
+        fresh[w] = ids_of(x) + ids_of(w[-1:])
+    if len(memo) < MEMO_WORDS:  # what is met first is kept; frequent words are among it
+        memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_LENGTH)
+    return [b"".join([memo[w] if w in memo else fresh[w] for w in ws]) for ws in words]
 
 
 class Schedule:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import work_dir
 
 SEGMENT = re.compile(r" +[^ ]*")
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 MEMO_LENGTH = 48
 
 
@@ -56,9 +56,7 @@ def _count(path: str, text: str) -> int:
         n = memo.get(word)
         if n is None:
             n = len(sp.encode(word[1:])) if len(word) > 1 else 1
-            if len(word) <= MEMO_LENGTH:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
+            if len(word) <= MEMO_LENGTH and len(memo) < MEMO_WORDS:
                 memo[word] = n
         total += n
     return total
