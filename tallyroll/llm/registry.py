@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, langid, packing, quality, token_count, urls
+from . import ann, html_text, jaccard, langid, packing, quality, token_count, urls
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs).select(
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_token_counts,
             op2_language_id,
             op5_nearest_neighbours,
+            op6_jaccard_join,
             op7_quality_rules,
             op8_packing,
             op9_main_text,
