@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, jaccard, langid, packing, quality, substrings, token_count, urls
+from . import ann, html_text, jaccard, langid, packing, pieces, quality, substrings, token_count, urls
 from .common import table
 
 
@@ -34,6 +34,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, path), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -51,8 +59,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
-    return pieces.select(
+    packed = packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
@@ -74,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_token_counts,
             op2_language_id,
             op3_suffix_dedup,
+            op4_sentencepiece,
             op5_nearest_neighbours,
             op6_jaccard_join,
             op7_quality_rules,

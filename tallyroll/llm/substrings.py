@@ -319,8 +319,11 @@ def _strings(t: pa.Table, length: int):
     yield doc[row], h[row], a, a + length
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept (the remaining bytes); clashing columns are replaced."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept (the remaining bytes); clashing columns are replaced.
+
+    ``as_text``: kept is a string; what a cut leaves of a split character goes too.
+    """
     names = ("n_bytes", "n_removed", "n_spans", "kept", "_doc", "h", "data", "spans")
     rest = [c for c in docs.columns if c not in names]
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
@@ -331,7 +334,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     full = docs.select(*[F.col(f"`{c}`") for c in rest], key.alias("_doc"), hashed.alias("h"), data.alias("data"))
     full = full.join(spans, ["_doc", "h"], "left").drop("_doc", "h")
     kept = [f for f in docs.schema.fields if f.name in rest]
-    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def apply(batches):
         for b in batches:
@@ -352,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                 n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 left.append(np.frombuffer(d, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in rest], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(left, pa.binary())],
+                [*[b.column(c) for c in rest], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())],
                 names=[*rest, *names[:4]],
             )
 
