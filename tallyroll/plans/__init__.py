@@ -1,0 +1,11 @@
+"""Queries over the test tables: adapters, DataFrame plans and their SQL twins."""
+
+from . import catalog, ratio_queries, signal_queries, validity_queries  # noqa: F401
+
+
+def all_queries() -> dict:
+    return catalog.QUERIES
+
+
+def all_sql() -> dict:
+    return catalog.SQL
