@@ -12,9 +12,10 @@ two sets differs in at most as many bits as their symmetric difference has shing
 * **Verify.**  Pairs that share a key are first checked by the Hamming distance of a smaller
   sketch, which still bounds the symmetric difference from below; the rest is counted exactly.
 * **Copies.**  Equal sets are one node from the start.  In a group of many sets with one key,
-  only links to one pivot are tried at first; where that leaves a group in several components,
-  other pivots, and at last all pairs between different components, are tried.  So no link
-  between two components is missed, and a group of near copies costs about its size.
+  only links to one pivot are tried at first.  Where that leaves a group in several components,
+  the sketches of its members are compared across components, in blocks, and each member's
+  closest pairs within the bound are tried, more and more of them until none is left untried.
+  So no link between two components is missed, and pairs beyond the bound never become rows.
 
 Nulls and empty texts have no shingles and link with nothing.  Very long texts are read whole.
 Repeated rows are copies.  Nodes are 64-bit digests of sets.
@@ -39,6 +40,7 @@ SLACK = 4
 SPREAD = 4096  # bits of a block
 PAIR_GROUP = 4  # groups up to this size try all their pairs at once
 DOCS_PER_BUCKET = 8_000
+BLOCK_ROWS = 2_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -126,8 +128,8 @@ def block_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A parity sketch of at least two bits a shingle; a power of two in length."""
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """A parity sketch of at least four bits a shingle; a power of two in length."""
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     flips = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -282,6 +284,56 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
     return written(both.mapInArrow(count, "a long, b long"), "jaccard-links")
 
 
+def _close_pairs(members: DataFrame, root: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, cut): in groups of several components, pairs across components that pass the sketch's bound.
+
+    Each node gives its ``most`` closest; ``cut`` says that it had more.  Groups are dealt to tasks
+    in blocks of ``BLOCK_ROWS`` members, two blocks to a task.
+    """
+    placed = members.join(root, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+    torn = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    rows = placed.join(torn.select("group", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")), "group")
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sketch")
+    deal = F.pmod(F.xxhash64("group", "i", "j"), F.lit(4096)).cast("int")
+
+    def meet(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        group, i, j, block, node, root_, n = (part[c].to_numpy() for c in ("group", "i", "j", "block", "node", "root", "n"))
+        sketches = part["sketch"].to_pylist()
+        start = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        a, b, cut = [], [], []
+        for s, e in zip(start, np.append(start[1:], len(group))):
+            size = min(map(len, sketches[s:e]))
+            folded = np.stack([_fold(x, size) for x in sketches[s:e]])
+            own, roots_, sizes, ids = block[s:e], root_[s:e], n[s:e], node[s:e]
+            for k in range(e - s):
+                bits = np.bitwise_count(folded ^ folded[k]).sum(1, dtype=np.int64)
+                fit = (roots_ != roots_[k]) & ((100 + percent) * bits <= (100 - percent) * (sizes + sizes[k]))
+                fit &= 100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])
+                if i[s] != j[s]:
+                    fit &= own != own[k]
+                found = np.flatnonzero(fit)
+                over = len(found) > most
+                if over:
+                    found = found[np.argsort(bits[found], kind="stable")[:most]]
+                for m in found:
+                    a.append(min(ids[k], ids[m]))
+                    b.append(max(ids[k], ids[m]))
+                    cut.append(over)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
+    return rows.withColumn("deal", deal).groupBy("deal").applyInArrow(meet, "a long, b long, cut boolean")
+
+
+def _fold(sketch_: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch_, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, node, component_id of every row of ``docs``."""
     rows = docs.count()
@@ -295,26 +347,19 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
 
     pairs = written(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
     links = _verify(pairs, nodes, docs, text, doc_id, width, percent)
-    tried, root = pairs, roots(links)
-    for turn in range(4):
-        # Groups that still lie in several components try another pivot, the last turn all that is left.
-        placed = members.join(root, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
-        torn = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("p"))
-        torn = torn.where("lo <> hi")
-        if torn.isEmpty():
+    tried, root, most = pairs, roots(links), 4
+    while True:
+        close = written(_close_pairs(members, root, nodes, percent, most), "jaccard-close")
+        more = written(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not more.isEmpty():
+            new = _verify(more, nodes, docs, text, doc_id, width, percent)
+            tried = tried.unionByName(more)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                root = roots(links)
+        if close.where("cut").isEmpty():
             break
-        left = placed.join(torn.select("group", F.col("p.node").alias("p"), F.col("p.root").alias("p_root")), "group")
-        if turn < 3:
-            more = left.where("root <> p_root").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
-        else:
-            other = left.select("group", F.col("node").alias("p"), F.col("root").alias("p_root"))
-            more = left.select("group", "node", "root").join(other, "group").where("root < p_root").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
-        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        new = _verify(more, nodes, docs, text, doc_id, width, percent)
-        tried = tried.unionByName(more)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            root = roots(links)
+        most *= 8
 
     placed = every.join(root, "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("sketch", "root")
     least = placed.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("component_id"))
