@@ -131,7 +131,9 @@ def _encode_part(path: str, texts: list[str]) -> list[bytes]:
     # Lower-casing first is what the tokenizer does to Latin-1 letters anyway, and halves the distinct words.
     lower = memo["lower"]
     words = [(x.lower() if lower and "<|" not in x and _latin(x) else x).encode().split() for x in texts]
-    new = {w for ws in words for w in ws if w not in memo}
+    known = [list(map(memo.get, ws)) for ws in words]  # one look-up a word; None for words not met yet
+    short = [i for i, ids in enumerate(known) if None in ids]
+    new = {w for i in short for w, ids in zip(words[i], known[i]) if ids is None}
     stems = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}  # "word." is "word" and "."
     plain = list((new - stems.keys()) | {x for x in stems.values() if x not in memo} | ({b".", b","} if stems else set()))
     fresh = dict(zip(plain, _encode_words(tok, plain, memo["alone"])))
@@ -140,7 +142,9 @@ def _encode_part(path: str, texts: list[str]) -> list[bytes]:
         fresh[w] = ids_of(x) + ids_of(w[-1:])
     if len(memo) < MEMO_WORDS:  # what is met first is kept; frequent words are among it
         memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_LENGTH)
-    return [b"".join([memo[w] if w in memo else fresh[w] for w in ws]) for ws in words]
+    for i in short:
+        known[i] = [fresh[w] if ids is None else ids for w, ids in zip(words[i], known[i])]
+    return [b"".join(ids) for ids in known]
 
 
 class Schedule:
@@ -203,8 +207,11 @@ class Schedule:
             w += 1
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", source: str = "source") -> DataFrame:
-    """Pieces: doc_id, start, length, ids (binary, 32 bits each), doc_tokens, sequence_id, offset, source_queue."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", source: str = "source", digests: bool = False) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (binary, 32 bits each), doc_tokens, sequence_id, offset, source_queue.
+
+    ``digests``: ids_crc32 instead of ids, so that the ids don't leave the tasks.
+    """
     schema = "doc_id long, source string, n long, ids binary"
 
     def encode(batches):
@@ -237,7 +244,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int
     at = placed.withColumn("run", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)))
     at = at.join(base, ["q", "chunk"]).select("doc_id", "q", "n", "ids", (F.col("base") + F.coalesce("run", F.lit(0))).alias("at"))
 
-    out = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source_queue int"
+    kept = ("ids_crc32", "long") if digests else ("ids", "binary")
+    out = f"doc_id long, start long, length long, {' '.join(kept)}, doc_tokens long, sequence_id long, offset long, source_queue int"
 
     def cut(batches):
         plan = Schedule(counts, length)
@@ -247,9 +255,10 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int
                 if len(ids) != 4 * n:
                     ids = np.frombuffer(ids, "<u2", offset=1).astype("<u4").tobytes()
                 for done, take, w, offset in plan.pieces(number[q], at, n):
-                    for col, value in zip(cols, (doc, done, take, ids[4 * done : 4 * (done + take)], n, w, offset, number[q])):
+                    piece = ids[4 * done : 4 * (done + take)]
+                    for col, value in zip(cols, (doc, done, take, zlib.crc32(piece) if digests else piece, n, w, offset, number[q])):
                         col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digests else pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.strip().split()[0] for f in out.split(",")])
 
     return at.mapInArrow(cut, out)

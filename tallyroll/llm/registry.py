@@ -39,7 +39,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.decode(pieces.encode(docs, path), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+    return coded.select("doc_id", "n_pieces", "ids_crc32", same.alias("round_trip"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    packed = packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digests=True)
     return packed.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
 
