@@ -82,12 +82,14 @@ class Profiles:
         new = np.concatenate(([True], pair[1:] != pair[:-1]))
         pairs = pair[new]
         ends, end_at = np.unique(keys & mask, return_inverse=True)
-        weights = np.zeros((len(pairs), len(ends)), np.float32)
+        # Whole numbers: exact in single precision up to 2 ** 24, beyond it in double.
+        weights = np.zeros((len(pairs), len(ends)), np.float32 if counts.sum() < 2**24 else np.float64)
         weights[np.cumsum(new) - 1, end_at] = counts
         letters, at = np.unique(np.concatenate((pairs >> BITS, pairs & mask)), return_inverse=True)
         row = self.rows(letters)[at]
         bound = self.first[row[: len(pairs)]] * self.middle[row[len(pairs) :]]
-        last = self.last[self.rows(ends)]
+        end_rows = self.rows(ends)  # may add letters
+        last = self.last[end_rows]
         return np.einsum("pd,pd->d", bound, weights @ last, dtype=np.float64)
 
 
@@ -127,10 +129,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = D
         for lg, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lg]), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = counted.mapInArrow(bundle, "lang string, v array<double>").collect()
+    parts = counted.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
     total: dict[str, np.ndarray] = {}
-    for r in sorted(parts, key=lambda r: (r["lang"], r["v"])):
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
+    for r in parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():  # languages x dims numbers
+        total.setdefault(r["lang"], np.zeros(dims))[r["at"]] = r["x"]
     return {lg: v / norm for lg, v in sorted(total.items()) if (norm := np.linalg.norm(v)) > 0}
 
 
