@@ -9,9 +9,9 @@
 4. How many leaves to visit is calibrated: for a bounded set of calibration queries the true
    neighbours are found by brute force over all rows, and the visits are widened until
    ``recall`` of them lie in the visited leaves.
-5. Queries meet the vectors of their leaves by a join on (leaf, part); a leaf with many vectors
-   is cut in parts, so one very common vector does not end in one task.  Each part gives its
-   ``k`` best of each query and the best of those are kept.
+5. Vectors are dealt to buckets by leaf; a leaf with many vectors is cut in parts that go to
+   several buckets, so one very common vector does not end in one task.  A query goes once to each
+   bucket that holds vectors of its leaves, gets that bucket's ``k`` best, and keeps the best of all.
 
 Nulls: vectors that are null, zero, of another dimension than most, or hold null or non-finite
 components take no part.  Ties go to the smaller id.  With no vectors the result is empty.
@@ -34,8 +34,8 @@ BRANCH = 8
 LEAF_ROWS = 24
 SAMPLE_ROWS = 20_000
 CALIBRATION = 100
-RECALL = 0.97
-PART_ROWS = 4_000
+RECALL = 0.95
+PART_ROWS = 2_000
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -201,27 +201,53 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     leaf_of = {r["vec_id"]: r["leaf"] for r in placed.where(F.col("vec_id").isin(wanted)).select("vec_id", "leaf").collect()} if wanted else {}
     visits = calibrate(tree, truth, probes, leaf_of, recall)
 
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    # Rows per leaf: as many numbers as the tree has leaves, which the sample bounds.
+    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    buckets = max(1, -(-sum(counts.values()) // PART_ROWS))
+    parts = {leaf: min(buckets, -(-n // PART_ROWS)) for leaf, n in counts.items()}
+    base = {leaf: i % buckets for i, leaf in enumerate(sorted(counts))}
+    dealt = spark.sparkContext.broadcast((parts, base))
+
+    def deal(batches):
+        parts_, base_ = dealt.value
+        for b in batches:
+            leaf, ids = b.column("leaf").to_pylist(), b.column("vec_id").to_numpy().astype(np.uint64)
+            spread = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).tolist()
+            at = [(base_[f] + s % parts_[f]) % buckets for f, s in zip(leaf, spread)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("leaf"), pa.array(at, pa.int32())], names=["vec_id", "v", "leaf", "bucket"])
 
     def route(batches):
+        parts_, base_ = dealt.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, ids = _matrix(b.column("v"), dims), b.column("vec_id").to_numpy()
-            leaves = [shared.value.visit(v, visits) for v in x]
-            at = np.repeat(np.arange(len(ids)), [len(s) for s in leaves])
+            ids, vs, at, leaves = [], [], [], []
+            for i, (q, v) in enumerate(zip(b.column("vec_id").to_pylist(), _matrix(b.column("v"), dims) if b.num_rows else [])):
+                by: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(v, visits):
+                    for p in range(parts_.get(leaf, 0)):
+                        by.setdefault((base_[leaf] + p) % buckets, []).append(leaf)
+                for bucket, own in by.items():
+                    ids.append(q)
+                    vs.append(i)
+                    at.append(bucket)
+                    leaves.append(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), b.column("v").take(pa.array(at)), pa.array(np.concatenate(leaves).astype(np.int64))], names=["vec_id", "v", "leaf"]
+                [pa.array(ids, pa.int64()), b.column("v").take(pa.array(vs, pa.int64())), pa.array(leaves, pa.list_(pa.int64())), pa.array(at, pa.int32())], names=["vec_id", "v", "leaves", "bucket"]
             )
 
-    asked = placed.where(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, leaf long")
-    asked = asked.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    held = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    asked = placed.where(is_query).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, leaves array<long>, bucket int")
+    held = placed.select("vec_id", "v", "leaf").mapInArrow(deal, "vec_id long, v array<double>, leaf long, bucket int")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return _frame([])
-        return _frame(_best(left["vec_id"].to_numpy(), np.stack(left["v"]), right["vec_id"].to_numpy(), np.stack(right["v"]), k))
-
-    found = asked.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInPandas(meet, FOUND)
+        right = right.sort_values("leaf", kind="stable")
+        leaf, ids, x = right["leaf"].to_numpy(), right["vec_id"].to_numpy(), np.stack(right["v"])
+        out = []
+        for q, v, own in zip(left["vec_id"], left["v"], left["leaves"]):
+            lo, hi = np.searchsorted(leaf, np.sort(own)), np.searchsorted(leaf, np.sort(own), side="right")
+            rows_ = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+            out += _best(np.array([q]), np.asarray(v)[None], ids[rows_], x[rows_], k)
+        return _frame(out)
+
+    found = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(meet, FOUND)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(visits).alias("leaves_visited"))
