@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,3 +46,13 @@ def doc_key(text: str = "text", doc_id: str = "doc_id"):
 def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` bytes hold ``total_bytes``."""
     return max(least, -(-int(total_bytes or 0) // each))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done and no longer referred to.
+
+    Spark does so whenever the driver collects its garbage; after a large step whose result has
+    been written, waiting for that only keeps disks full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import release, written
 from .jaccard import mix
 from .suffixes import repeated
 
@@ -210,7 +210,8 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     """(doc_id, h, spans) from rows (doc_id not null, h, data): spans are pairs of 64-bit byte places."""
     count = rows.count()
     buckets = max(16, -(-count // DOCS_PER_BUCKET))
-    told = _shared_minimizers(rows, buckets, length, gram)
+    told = written(_shared_minimizers(rows, buckets, length, gram), "substring-shared")
+    release(rows.sparkSession)
     lists = told.groupBy("doc_id", "h").agg(F.collect_list("codes").alias("codes"))
     with_lists = rows.join(lists, ["doc_id", "h"])
     low48 = np.uint64((1 << 48) - 1)
@@ -330,7 +331,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST))
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     rows = docs.select(key.alias("doc_id"), hashed.alias("h"), data.alias("data"))
-    spans = find_repeats(rows, length, gram).groupBy(F.col("doc_id").alias("_doc"), "h").agg(F.collect_list("spans").alias("spans"))
+    spans = find_repeats(rows, length, gram)
+    release(docs.sparkSession)
+    spans = spans.groupBy(F.col("doc_id").alias("_doc"), "h").agg(F.collect_list("spans").alias("spans"))
     full = docs.select(*[F.col(f"`{c}`") for c in rest], key.alias("_doc"), hashed.alias("h"), data.alias("data"))
     full = full.join(spans, ["_doc", "h"], "left").drop("_doc", "h")
     kept = [f for f in docs.schema.fields if f.name in rest]
