@@ -69,16 +69,17 @@ def recency_weight(days: str | Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(col(days) / F.lit(365.25) - F.lit(3.0)))
 
 
-# Origin of the tangent plane and metres per degree at it.
-ORIGIN_LON, ORIGIN_LAT, EARTH_M = -75.16, 39.95, 6_371_008.8
+# Origin of the tangent plane, and metres per degree of latitude and of longitude at the equator.
+ORIGIN_LON, ORIGIN_LAT = -75.16, 39.95
+M_PER_DEG_LAT, M_PER_DEG_LON_EQUATOR = 110_540.0, 111_320.0
 
 
 def project_x(lon: str | Column) -> Column:
-    return F.radians(col(lon) - F.lit(ORIGIN_LON)) * F.cos(F.radians(F.lit(ORIGIN_LAT))) * F.lit(EARTH_M)
+    return (col(lon) - F.lit(ORIGIN_LON)) * (F.lit(M_PER_DEG_LON_EQUATOR) * F.cos(F.radians(F.lit(ORIGIN_LAT))))
 
 
 def project_y(lat: str | Column) -> Column:
-    return F.radians(col(lat) - F.lit(ORIGIN_LAT)) * F.lit(EARTH_M)
+    return (col(lat) - F.lit(ORIGIN_LAT)) * F.lit(M_PER_DEG_LAT)
 
 
 def norm_address(c: str | Column) -> Column:

@@ -31,8 +31,8 @@ def mkt_recency_weight(spark, sf_dir):
 
 
 @query(
-    f"""SELECT c_custkey AS parcel_id, {r("radians((-75.3 + c_custkey % 500 / 1000.0e0) - -75.16) * cos(radians(39.95)) * 6371008.8", "x_m", 2)},
-{r("radians((39.8 + c_custkey % 300 / 1000.0e0) - 39.95) * 6371008.8", "y_m", 2)} FROM customer"""
+    f"""SELECT c_custkey AS parcel_id, {r("((-75.3e0 + c_custkey % 500 / 1000.0e0) - -75.16e0) * (111320.0e0 * cos(radians(39.95e0)))", "x_m", 2)},
+{r("((39.8e0 + c_custkey % 300 / 1000.0e0) - 39.95e0) * 110540.0e0", "y_m", 2)} FROM customer"""
 )
 def mkt_project_xy(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
