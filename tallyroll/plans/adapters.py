@@ -33,7 +33,7 @@ ROLL_COLUMNS = {
 SALE_COLUMNS = {
     "sale_id": "o_orderkey",
     "parcel_id": "o_custkey",
-    "block": "o_custkey % 200",
+    "block": "CAST(floor(o_custkey / 8) AS BIGINT)",
     "sale_date": "CAST(o_orderdate AS DATE)",
     "sale_price": "o_totalprice",
     "area": "CAST(300 + (o_custkey * 37) % 2500 AS DOUBLE)",

@@ -91,13 +91,13 @@ def scr_review_queue(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FIN}, p AS (SELECT parcel_id, segment AS a, display_median AS m, {V} / display_median AS q FROM scr WHERE display_median > 0 AND {V} > 0),
+    f"""WITH {FIN}, p AS (SELECT parcel_id, district AS a, display_median AS m, {V} / display_median AS q FROM scr WHERE display_median > 0 AND {V} > 0),
 f AS (SELECT x.parcel_id, count(*) AS n_peers, median(y.q) AS pm, avg(CAST(y.q < x.q AS INT)) AS sb, any_value(x.q) AS own FROM p x JOIN p y ON x.a = y.a AND x.parcel_id <> y.parcel_id AND y.m <= x.m * 1.5 AND y.m >= x.m / 1.5 GROUP BY x.parcel_id)
-SELECT parcel_id, n_peers, {r("CASE WHEN n_peers >= 40 THEN pm END", "peer_median")}, {r("CASE WHEN n_peers >= 40 THEN sb END", "share_below")},
-CASE WHEN n_peers >= 40 THEN CASE WHEN own / pm - 1 > 0.05 THEN 'above_peers' WHEN own / pm - 1 < -0.05 THEN 'below_peers' ELSE 'in_line' END END AS verdict FROM f"""
+SELECT parcel_id, n_peers, {r("CASE WHEN n_peers >= 20 THEN pm END", "peer_median")}, {r("CASE WHEN n_peers >= 20 THEN sb END", "share_below")},
+CASE WHEN n_peers >= 20 THEN CASE WHEN own / pm - 1 > 0.05 THEN 'above_peers' WHEN own / pm - 1 < -0.05 THEN 'below_peers' ELSE 'in_line' END END AS verdict FROM f"""
 )
 def scr_equity_context(spark, sf_dir):
-    return screen.equity_context(_screen(spark, sf_dir), "segment")
+    return screen.equity_context(_screen(spark, sf_dir), "district", min_peers=20)
 
 
 @query(f"WITH {FIN} SELECT segment, CAST(least(floor((display_ratio - 0.4) / ((1.6 - 0.4) / 24)), 23) AS INT) AS bin, count(*) AS n FROM scr WHERE display_ratio BETWEEN 0.4 AND 1.6 GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_id, project_x, project_y, quarter_number, recency_weight
@@ -50,30 +52,30 @@ def mkt_block_roll(spark, sf_dir):
 
 
 @query(
-    f"""WITH {S}, {NEAR.replace("a.block = b.block", "a.block % 20 = b.block % 20").replace("300 AND 10000", "150 AND 6000")}, m AS (SELECT sale_id, sum({W.format("age")} * price) / sum({W.format("age")}) AS p,
+    f"""WITH {S}, {NEAR.replace("a.block = b.block", "floor(a.block / 4) = floor(b.block / 4)").replace("300 AND 10000", "150 AND 6000")}, m AS (SELECT sale_id, sum({W.format("age")} * price) / sum({W.format("age")}) AS p,
   sum({W.format("age")} * ppsf) / sum({W.format("age")}) FILTER (ppsf IS NOT NULL) AS q, count(*) AS n FROM near GROUP BY sale_id)
 SELECT s.sale_id, {r("p", "bldg_price", 2)}, {r("q", "bldg_ppsf")}, coalesce(n, 0) AS bldg_n FROM s LEFT JOIN m USING (sale_id)"""
 )
 def mkt_bldg_roll(spark, sf_dir):
-    rows = sales(spark, sf_dir).withColumn("building", F.col("block") % 20)
+    rows = sales(spark, sf_dir).withColumn("building", F.floor(F.col("block") / 4))
     return signals.block_roll(rows, "building", "bldg", (150.0, 6_000.0)).withColumn("bldg_price", F.round("bldg_price", 2))
 
 
 _AT = f"""seen AS (SELECT *, date_diff('day', sale_date, DATE '{ASOF}') AS age FROM s WHERE sale_date < DATE '{ASOF}' AND date_diff('day', sale_date, DATE '{ASOF}') <= 1825),
 m AS (SELECT c.c_custkey AS parcel_id, sum({W.format("age")} * sale_price) / sum({W.format("age")}) AS p, count(sale_id) AS n
-  FROM customer c LEFT JOIN seen ON c.c_custkey % {{0}} = seen.block % {{0}} AND seen.parcel_id <> c.c_custkey GROUP BY c.c_custkey)"""
+  FROM customer c LEFT JOIN seen ON floor(c.c_custkey / {{0}}) = floor(seen.parcel_id / {{0}}) AND seen.parcel_id <> c.c_custkey GROUP BY c.c_custkey)"""
 
 
-@query(f"WITH {S}, {_AT.format(200)} SELECT parcel_id, {r('p', 'block_price', 2)}, n AS block_n FROM m")
+@query(f"WITH {S}, {_AT.format(8)} SELECT parcel_id, {r('p', 'block_price', 2)}, n AS block_n FROM m")
 def mkt_block_roll_at_date(spark, sf_dir):
-    parcels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parcel_id"), (F.col("c_custkey") % 200).alias("block"))
+    parcels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parcel_id"), F.floor(F.col("c_custkey") / 8).alias("block"))
     return signals.block_roll_at(sales(spark, sf_dir), parcels, ASOF).withColumn("block_price", F.round("block_price", 2))
 
 
-@query(f"WITH {S}, {_AT.format(20)} SELECT parcel_id, {r('p', 'block_price', 2)}, n AS block_n FROM m")
+@query(f"WITH {S}, {_AT.format(32)} SELECT parcel_id, {r('p', 'block_price', 2)}, n AS block_n FROM m")
 def mkt_bldg_roll_at_date(spark, sf_dir):
-    parcels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parcel_id"), (F.col("c_custkey") % 20).alias("building"))
-    rows = sales(spark, sf_dir).withColumn("building", F.col("block") % 20)
+    parcels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parcel_id"), F.floor(F.col("c_custkey") / 32).alias("building"))
+    rows = sales(spark, sf_dir).withColumn("building", F.floor(F.col("block") / 4))
     return signals.block_roll_at(rows, parcels, ASOF, "building").withColumn("block_price", F.round("block_price", 2))
 
 
@@ -98,6 +100,14 @@ def _points(spark, sf_dir):
     return sales(spark, sf_dir).withColumns({"target_id": F.col("sale_id"), "evidence_id": F.col("sale_id"), "q": quarter_number("sale_date").cast("long"), "v": F.ln(F.col("sale_price") / F.col("area"))})
 
 
+#: How far neighbours are sought: some 120 points on average, whatever the number of rows.
+REACH = "ceil(sqrt(4.0e9 / (SELECT greatest(count(*), 1) FROM orders)))"
+
+
+def _reach(spark, sf_dir) -> float:
+    return float(math.ceil(math.sqrt(4.0e9 / max(1, read(spark, sf_dir, "orders").count()))))
+
+
 _KNN = """c AS (SELECT a.sale_id AS target_id, b.v, sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2) AS d, b.sale_id AS o
   FROM p a JOIN p b ON abs(a.x_m - b.x_m) <= {1} AND abs(a.y_m - b.y_m) <= {1} AND a.parcel_id <> b.parcel_id AND {0}),
 k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c WHERE d <= {1})"""
@@ -106,24 +116,24 @@ _P = f"{S}, p AS (SELECT *, (year(sale_date) - 1997) * 4 + quarter(sale_date) -
 _OUT = f"{r('val', 'knn_value')}, coalesce(cnt, 0) AS knn_n, {r('dist', 'knn_distance')}"
 
 
-@query(f"WITH {_P}, {_KNN.format('b.q < a.q', 400)}, f AS ({_FOUND.format(15)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id")
+@query(f"WITH {_P}, {_KNN.format('b.q < a.q', REACH)}, f AS ({_FOUND.format(15)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id")
 def mkt_knn_asof(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p, 15, 200.0, 2, "v", "q")
+    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p, 15, _reach(spark, sf_dir) / 2, 2, "v", "q")
 
 
 @query(
-    f"""WITH {_P}, {_KNN.format("b.area >= 1500 AND b.q < a.q", 600)}, f AS ({_FOUND.format(10)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id"""
+    f"""WITH {_P}, {_KNN.format("b.area >= 1500 AND b.q < a.q", REACH)}, f AS ({_FOUND.format(10)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id"""
 )
 def mkt_newbuild_knn(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p.where("area >= 1500"), 10, 300.0, 2, "v", "q")
+    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p.where("area >= 1500"), 10, _reach(spark, sf_dir) / 2, 2, "v", "q")
 
 
 @query(
     f"""WITH {_P}, c AS (SELECT t.c_custkey AS target_id, v, sqrt((CAST((c_custkey * 7919) % 10007 AS DOUBLE) - x_m) ** 2 + (CAST((c_custkey * 104729) % 10009 AS DOUBLE) - y_m) ** 2) AS d, sale_id AS o
   FROM customer t JOIN p ON parcel_id <> c_custkey AND sale_date < DATE '{ASOF}' AND date_diff('day', sale_date, DATE '{ASOF}') <= 1825),
-k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c WHERE d <= 400), f AS ({_FOUND.format(15)})
+k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c WHERE d <= {REACH}), f AS ({_FOUND.format(15)})
 SELECT c_custkey AS target_id, {_OUT} FROM customer LEFT JOIN f ON c_custkey = target_id"""
 )
 def mkt_knn_at_date(spark, sf_dir):
@@ -132,7 +142,7 @@ def mkt_knn_at_date(spark, sf_dir):
     t = read(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS target_id", "c_custkey AS parcel_id", "CAST((c_custkey * 7919) % 10007 AS DOUBLE) AS x_m", "CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y_m"
     )
-    return signals.knn(t, p.where((age > 0) & (age <= signals.WINDOW_DAYS)), 15, 200.0, 2, "v")
+    return signals.knn(t, p.where((age > 0) & (age <= signals.WINDOW_DAYS)), 15, _reach(spark, sf_dir) / 2, 2, "v")
 
 
 _VALUES = "SELECT o_custkey AS parcel_id, CAST(year(o_orderdate) AS INT) AS year, max(o_totalprice) AS value FROM orders GROUP BY ALL"
