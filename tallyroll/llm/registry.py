@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, jaccard, langid, packing, pieces, quality, substrings, token_count, urls
+from . import ann, html_text, jaccard, langid, oracles, packing, pieces, quality, substrings, token_count, urls
 from .common import table
 
 
@@ -39,7 +39,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.decode(pieces.encode(docs, path), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "n_pieces", "ids_crc32", same.alias("round_trip"))
+    return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ALL)
