@@ -37,10 +37,10 @@ LENGTH = 4096
 END_ID = 2
 #: At most so many queues: beyond it sources share queues by hash.
 MAX_QUEUES = 1024
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 MEMO_LENGTH = 48
 #: Texts are encoded in parts of about so many characters.
-PART_CHARS = 4_000_000
+PART_CHARS = 6_000_000
 
 
 @functools.lru_cache(4)
@@ -158,6 +158,7 @@ class Schedule:
         self.queue = np.repeat(np.arange(n), ahead)
         self.step = np.arange(len(self.queue)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
         self.seen: dict[int, np.ndarray] = {}
+        self.plans: dict[int, tuple[list[int], list[int], list[int]]] = {}
 
     def served(self, window: int) -> np.ndarray:
         """How many ids each queue has given before ``window``."""
@@ -182,13 +183,25 @@ class Schedule:
         self.seen[window] = out
         return out
 
+    def plan(self, window: int) -> tuple[list[int], list[int], list[int]]:
+        """For each queue: ids given before the window, after it, and where its share begins in it."""
+        hit = self.plans.get(window)
+        if hit is None:
+            before, after = self.served(window), self.served(window + 1)
+            share = after - before
+            hit = before.tolist(), after.tolist(), (np.cumsum(share) - share).tolist()
+            if len(self.plans) > 20_000:
+                self.plans.clear()
+            self.plans[window] = hit
+        return hit
+
     def window_of(self, queue: int, place: int) -> int:
         """The window that holds id ``place`` of ``queue``."""
         n = len(self.totals)
         w = max(0, int((self.total * (place + 0.5) / int(self.totals[queue]) - n - 4) // self.length))
-        while self.served(w + 1)[queue] <= place:
+        while self.plan(w)[1][queue] <= place:
             w += 1
-        while w and self.served(w)[queue] > place:
+        while w and self.plan(w)[0][queue] > place:
             w -= 1
         return w
 
@@ -197,12 +210,11 @@ class Schedule:
         done = 0
         w = self.window_of(queue, start) if count else 0
         while done < count:
-            before, after = self.served(w), self.served(w + 1)
+            before, after, begin = self.plan(w)
             place = start + done
-            take = min(count - done, int(after[queue]) - place)
+            take = min(count - done, after[queue] - place)
             if take > 0:
-                offset = int((after[:queue] - before[:queue]).sum()) + place - int(before[queue])
-                yield done, take, w, offset
+                yield done, take, w, begin[queue] + place - before[queue]
                 done += take
             w += 1
 
