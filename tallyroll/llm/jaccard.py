@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .components import roots
 
 WIDTH = 4
@@ -281,7 +281,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.mapInArrow(count, "a long, b long"), "jaccard-links")
+    links = written(both.mapInArrow(count, "a long, b long"), "jaccard-links")
+    del near, wanted, owners, source, held, both
+    release(docs.sparkSession)
+    return links
 
 
 def _close_pairs(members: DataFrame, root: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
@@ -340,6 +343,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     buckets = max(64, -(-rows // DOCS_PER_BUCKET))
     drawn = _draw(docs, text, doc_id, width, percent, buckets)
     found = written(drawn.groupBy("bucket").applyInArrow(_meet, FOUND), "jaccard-found")
+    del drawn
+    release(docs.sparkSession)
     every = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "sketch")
     nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")

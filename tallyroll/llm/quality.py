@@ -89,14 +89,28 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``docs`` with the measures, host_rate and kept.
+    """``docs`` without the text, with the measures, host_rate and kept.
 
     The measures are written once to the shared folder and used for both the host counts and
     the join, so no text is measured twice and no text is shuffled.
     """
     clash = [c for c in ("host_rate", "kept", "_host") if c in docs.columns]
-    measured = written(measure(docs.drop(*clash), text), "quality")
-    rates = host_rates(measured, host).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
+    measured = written(measure(docs.drop(*clash), text).drop(text), "quality")
+    return _with_verdict(measured, measured, host, max_host_rate)
+
+
+def keep(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged; the texts are written along with their measures."""
+    names = {c: f"_q_{c}" for c in docs.columns}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()])
+    measured = written(measure(renamed, names[text]), "quality")
+    judged = _with_verdict(measured, measured, names[host], max_host_rate)
+    return judged.where("kept").select(*[F.col(x).alias(c) for c, x in names.items()])
+
+
+def _with_verdict(measured: DataFrame, counted: DataFrame, host: str, max_host_rate: float) -> DataFrame:
+    """Joins the hosts' verdicts; written first, they are small enough for Spark to broadcast or are not."""
+    rates = written(host_rates(counted, host).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")), "quality-hosts")
     joined = measured.join(rates, measured[host] == rates["_host"], "left").drop("_host")
     bad_host = F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~bad_host)

@@ -66,13 +66,14 @@ def brute_quality(text):
 
 def test_quality_measures(spark, odd):
     docs = odd.unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
-    got = quality.judge(docs.withColumnRenamed("n_chars", "n_words")).select(
-        "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    docs = docs.withColumnRenamed("n_chars", "n_words").withColumn("copy", docs["text"])
+    got = quality.judge(docs).select("copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for r in got.collect():
-        assert tuple(r)[1:7] == brute_quality(r["text"]), r["text"]
+        assert tuple(r)[1:7] == brute_quality(r["copy"]), r["copy"]
         assert not (r["kept"] and r["base_failed"])
     assert got.count() == docs.count()
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == got.where("kept").count()
     assert quality.judge(docs.limit(0)).count() == 0
 
 
