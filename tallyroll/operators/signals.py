@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import days_between, ratio, recency_weight
+from .geometry import k_nearest
 
 WINDOW_DAYS = 1825
 AREA_RANGE = (300.0, 10_000.0)
@@ -72,14 +73,21 @@ def parcel_prior_at(sales: DataFrame, day: str) -> DataFrame:
     return out.select("parcel_id", "prior_n", F.datediff(F.lit(day).cast("date"), F.col("_l.sale_date")).cast("long").alias("prior_days"), F.col("_l.sale_price").alias("prior_price"))
 
 
-def knn(targets: DataFrame, evidence: DataFrame, k: int, cell: float, rings: int, value: str, asof: str | None = None) -> DataFrame:
+def knn(targets: DataFrame, evidence: DataFrame, k: int, cell: float, rings: int, value: str, asof: str | None = None, widen: bool = False) -> DataFrame:
     """target_id, weighted mean of ``value`` over the k nearest evidence rows, their number, mean distance.
 
     ``targets``: target_id, parcel_id, x_m, y_m (and ``asof``: only evidence of a smaller value of
     that column counts).  The plane is cut in square cells of side ``cell``; a target looks in the
     cells up to ``rings`` around its own, so neighbours within ``rings * cell`` are all seen and
-    farther ones are out of reach.  The own parcel is left out.  Weight: 1 / (distance + 100).
+    farther ones are out of reach, unless ``widen``: then targets with fewer than k neighbours look
+    farther until they have k or there is no more evidence.  The own parcel is left out.
+    Weight: 1 / (distance + 100).
     """
+    w = 1 / (F.col("_d") + 100)
+    means = [(F.sum(w * F.col("_v")) / F.sum(w)).alias("knn_value"), F.count(F.lit(1)).alias("knn_n"), F.avg("_d").alias("knn_distance")]
+    if widen:
+        found = k_nearest(targets, evidence, k, cell, rings, value, asof).groupBy("target_id").agg(*means)
+        return targets.select("target_id").join(found, "target_id", "left").withColumn("knn_n", F.coalesce("knn_n", F.lit(0)))
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
     span = F.array(*[F.lit(i) for i in range(-rings, rings + 1)])
     t = targets.where("x_m is not null and y_m is not null")
@@ -94,8 +102,7 @@ def knn(targets: DataFrame, evidence: DataFrame, k: int, cell: float, rings: int
     if asof:
         near = near.where(F.col("_asof") < F.col(asof))
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("target_id").orderBy("_d", "evidence_id"))).where(F.col("_k") <= k)
-    w = 1 / (F.col("_d") + 100)
-    found = ranked.groupBy("target_id").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("knn_value"), F.count(F.lit(1)).alias("knn_n"), F.avg("_d").alias("knn_distance"))
+    found = ranked.groupBy("target_id").agg(*means)
     return targets.select("target_id").join(found, "target_id", "left").withColumn("knn_n", F.coalesce("knn_n", F.lit(0)))
 
 

@@ -100,7 +100,8 @@ def _points(spark, sf_dir):
     return sales(spark, sf_dir).withColumns({"target_id": F.col("sale_id"), "evidence_id": F.col("sale_id"), "q": quarter_number("sale_date").cast("long"), "v": F.ln(F.col("sale_price") / F.col("area"))})
 
 
-#: How far neighbours are sought: some 120 points on average, whatever the number of rows.
+#: How far neighbours are sought first: some 120 points on average, whatever the number of rows.  Targets short of
+#: neighbours look farther; the SQL still ends here.
 REACH = "ceil(sqrt(4.0e9 / (SELECT greatest(count(*), 1) FROM orders)))"
 
 
@@ -119,7 +120,7 @@ _OUT = f"{r('val', 'knn_value')}, coalesce(cnt, 0) AS knn_n, {r('dist', 'knn_dis
 @query(f"WITH {_P}, {_KNN.format('b.q < a.q', REACH)}, f AS ({_FOUND.format(15)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id")
 def mkt_knn_asof(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p, 15, _reach(spark, sf_dir) / 2, 2, "v", "q")
+    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p, 15, _reach(spark, sf_dir) / 2, 2, "v", "q", widen=True)
 
 
 @query(
@@ -127,7 +128,7 @@ def mkt_knn_asof(spark, sf_dir):
 )
 def mkt_newbuild_knn(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p.where("area >= 1500"), 10, _reach(spark, sf_dir) / 2, 2, "v", "q")
+    return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p.where("area >= 1500"), 10, _reach(spark, sf_dir) / 2, 2, "v", "q", widen=True)
 
 
 @query(
@@ -142,7 +143,7 @@ def mkt_knn_at_date(spark, sf_dir):
     t = read(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS target_id", "c_custkey AS parcel_id", "CAST((c_custkey * 7919) % 10007 AS DOUBLE) AS x_m", "CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y_m"
     )
-    return signals.knn(t, p.where((age > 0) & (age <= signals.WINDOW_DAYS)), 15, _reach(spark, sf_dir) / 2, 2, "v")
+    return signals.knn(t, p.where((age > 0) & (age <= signals.WINDOW_DAYS)), 15, _reach(spark, sf_dir) / 2, 2, "v", widen=True)
 
 
 _VALUES = "SELECT o_custkey AS parcel_id, CAST(year(o_orderdate) AS INT) AS year, max(o_totalprice) AS value FROM orders GROUP BY ALL"
