@@ -5,7 +5,9 @@ Spatial joins go through square cells, an equality key, never through a nested l
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,21 +44,46 @@ def point_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> Da
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, cell: float, rings: int) -> DataFrame:
-    """point_id and the distance to the nearest segment (x1, y1, x2, y2) within ``rings`` cells; null beyond."""
-    at = lambda c: F.floor(c / cell).cast("long")
-    s = segments.select(
-        "x1", "y1", "x2", "y2",
-        F.explode(F.sequence(at(F.least("x1", "x2")) - rings, at(F.greatest("x1", "x2")) + rings)).alias("_cx"),
-        F.sequence(at(F.least("y1", "y2")) - rings, at(F.greatest("y1", "y2")) + rings).alias("_cys"),
-    ).withColumn("_cy", F.explode("_cys")).drop("_cys")
-    p = points.withColumns({"_cx": at(F.col("x_m")), "_cy": at(F.col("y_m"))})
+    """point_id and the distance to the nearest segment (x1, y1, x2, y2), however far; null without a segment or a place.
+
+    Points without a segment within ``rings`` cells go on alone to cells twice as wide, until none
+    is left or the reach spans all rows.
+    """
+    spark = points.sparkSession
+
+    def keep(df):
+        path = scratch(spark, "nearest")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    finite = lambda *cs: functools.reduce(operator.and_, [F.abs(c) < float("inf") for c in cs])
+    left = keep(points.select("point_id", "x_m", "y_m").where(finite("x_m", "y_m")))
+    lines = keep(segments.select("x1", "y1", "x2", "y2").where(finite("x1", "y1", "x2", "y2")))
+    ends = lines.select(F.col("x1").alias("x_m"), F.col("y1").alias("y_m")).unionByName(lines.select(F.col("x2").alias("x_m"), F.col("y2").alias("y_m")))
+    box = left.select("x_m", "y_m").unionByName(ends).agg(F.max("x_m") - F.min("x_m"), F.max("y_m") - F.min("y_m")).first()
+    span = math.hypot(box[0] or 0.0, box[1] or 0.0) * (1 + 1e-9)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.try_divide((F.col("x_m") - F.col("x1")) * dx + (F.col("y_m") - F.col("y1")) * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0)))
     t = F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     d = F.sqrt(F.pow(F.col("x_m") - F.col("x1") - t * dx, 2) + F.pow(F.col("y_m") - F.col("y1") - t * dy, 2))
-    near = p.join(s, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= rings * cell)
-    found = near.groupBy("point_id").agg(F.min("_d").alias("distance"))
-    return points.select("point_id").join(found, "point_id", "left")
+    found = []
+    while not lines.isEmpty() and not left.isEmpty():
+        at = lambda c: F.floor(c / cell).cast("long")  # noqa: E731, B023
+        s = lines.select(
+            "x1", "y1", "x2", "y2",
+            F.explode(F.sequence(at(F.least("x1", "x2")) - rings, at(F.greatest("x1", "x2")) + rings)).alias("_cx"),
+            F.sequence(at(F.least("y1", "y2")) - rings, at(F.greatest("y1", "y2")) + rings).alias("_cys"),
+        ).withColumn("_cy", F.explode("_cys")).drop("_cys")
+        p = left.withColumns({"_cx": at(F.col("x_m")), "_cy": at(F.col("y_m"))})
+        near = p.join(s, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= rings * cell)
+        found.append(keep(near.groupBy("point_id").agg(F.min("_d").alias("distance"))))
+        if rings * cell >= span:
+            break
+        left = keep(left.join(found[-1], "point_id", "left_anti"))
+        cell *= 2
+    if not found:
+        return points.select("point_id", F.lit(None).cast("double").alias("distance"))
+    return points.select("point_id").join(functools.reduce(DataFrame.unionByName, found), "point_id", "left")
 
 
 def k_nearest(targets: DataFrame, evidence: DataFrame, k: int, cell: float, rings: int, value: str, asof: str | None = None) -> DataFrame:
@@ -243,16 +270,8 @@ def morans_i(points: DataFrame, value: str, k: int, cell: float, rings: int) ->
 
 
 def neighbour_mean(z: DataFrame, k: int, cell: float, rings: int) -> DataFrame:
-    """target_id and the plain mean of z over its k nearest others."""
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    span = F.array(*[F.lit(i) for i in range(-rings, rings + 1)])
-    t = z.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
-    t = t.select("target_id", F.col("x_m").alias("_x"), F.col("y_m").alias("_y"), (at("x_m") + F.col("_dx")).alias("_cx"), (at("y_m") + F.col("_dy")).alias("_cy"))
-    e = z.select("evidence_id", F.col("z").alias("_z"), "x_m", "y_m", at("x_m").alias("_cx"), at("y_m").alias("_cy"))
-    d = F.pow(F.col("x_m") - F.col("_x"), 2) + F.pow(F.col("y_m") - F.col("_y"), 2)
-    near = t.join(e, ["_cx", "_cy"]).where("evidence_id <> target_id").withColumn("_d", d).where(F.col("_d") <= (rings * cell) ** 2)
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("target_id").orderBy("_d", "evidence_id"))).where(F.col("_k") <= k)
-    return ranked.groupBy("target_id").agg(F.avg("_z").alias("lag"))
+    """target_id and the plain mean of z over its k nearest others, however far they are."""
+    return k_nearest(z, z, k, cell, rings, "z").groupBy("target_id").agg(F.avg("_v").alias("lag"))
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
