@@ -102,19 +102,41 @@ def review_queue(screen: DataFrame, district: str, n: int) -> DataFrame:
 def equity_context(screen: DataFrame, area: str, min_peers: int = 40, spread: float = 1.5) -> DataFrame:
     """Of each row among its area's other rows of like value: number, median ratio, share below, verdict.
 
-    Peers are found by an equality on (area, value step), a step being a factor of ``spread``, so
-    that only neighbouring steps are compared.
+    Rows with fewer than ``min_peers`` such peers are set beside all other rows of the area, and get
+    nulls where these are too few as well.  Peers are found by an equality on (area, value step), a
+    step being a factor of ``spread``, so that only neighbouring steps are compared.  The area's
+    figures come from running counts over its distinct ratios.
     """
     step = F.floor(F.ln("display_median") / F.ln(F.lit(spread)))
     rows = screen.where((F.col("display_median") > 0) & (F.col("opa_market_value") > 0)).withColumns({"_s": step, "_r": F.col("opa_market_value") / F.col("display_median")})
     left = rows.select("parcel_id", F.col(area).alias("_a"), "display_median", "_r", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_s"))
     right = rows.select(F.col("parcel_id").alias("_p"), F.col(area).alias("_a"), F.col("display_median").alias("_m"), F.col("_r").alias("_pr"), "_s")
     near = left.join(right, ["_a", "_s"]).where((F.col("_p") != F.col("parcel_id")) & (F.col("_m") <= F.col("display_median") * spread) & (F.col("_m") >= F.col("display_median") / spread))
-    found = near.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n_peers"), F.median("_pr").alias("peer_median"), F.avg((F.col("_pr") < F.col("_r")).cast("double")).alias("share_below"), F.max("_r").alias("own"))
-    gap = F.col("own") / F.col("peer_median") - 1
+    band = near.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n"), F.median("_pr").alias("median"), F.avg((F.col("_pr") < F.col("_r")).cast("double")).alias("below"))
+
+    # One row leaves at place _below + 1 of its area's sorted ratios; the rest's middle places shift by one past it.
+    own = Window.partitionBy("_a").orderBy("_r")
+    steps = rows.where(F.col(area).isNotNull()).groupBy(F.col(area).alias("_a"), "_r").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(own))
+    steps = steps.withColumns({"_below": F.col("_upto") - F.col("_c"), "_all": F.sum("_c").over(Window.partitionBy("_a"))})
+    middle = steps.where((F.col("_upto") >= F.floor(F.col("_all") / 2) - 1) & (F.col("_below") <= F.floor(F.col("_all") / 2) + 2))
+    middle = middle.groupBy("_a").agg(F.array_sort(F.collect_list(F.struct("_upto", "_r"))).alias("_mid"))
+    others = F.col("_all") - 1
+
+    def ratio_at(place):  # the place-th of the other rows' ratios
+        among = place + F.when(place > F.col("_below"), 1).otherwise(0)
+        return F.get(F.filter("_mid", lambda m: m["_upto"] >= among), F.lit(0))["_r"]
+
+    half = (ratio_at(F.floor((others + 1) / 2)) + ratio_at(F.floor((others + 2) / 2))) / 2
+    whole = steps.join(middle, "_a").select("_a", "_r", others.alias("n_all"), half.alias("median_all"), F.try_divide("_below", others).alias("below_all"))
+    found = rows.select("parcel_id", F.col(area).alias("_a"), "_r").join(band, "parcel_id", "left").join(whole, ["_a", "_r"], "left")
+    n, n_all = F.coalesce("n", F.lit(0)), F.coalesce("n_all", F.lit(0))
+    thin = n < min_peers
+    enough = ~thin | (n_all >= min_peers)
+    median, below = F.when(thin, F.col("median_all")).otherwise(F.col("median")), F.when(thin, F.col("below_all")).otherwise(F.col("below"))
+    gap = F.col("_r") / median - 1
     verdict = F.when(gap > 0.05, "above_peers").when(gap < -0.05, "below_peers").otherwise("in_line")
-    enough = F.col("n_peers") >= min_peers
-    return found.select("parcel_id", "n_peers", *[F.when(enough, c).alias(n) for c, n in ((F.col("peer_median"), "peer_median"), (F.col("share_below"), "share_below"), (verdict, "verdict"))])
+    peers = F.when(thin & enough, n_all).otherwise(n).alias("n_peers")
+    return found.select("parcel_id", peers, *[F.when(enough, c).alias(name) for c, name in ((median, "peer_median"), (below, "share_below"), (verdict, "verdict"))])
 
 
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int, keys: list[str]) -> DataFrame:

@@ -97,7 +97,7 @@ SELECT parcel_id, n_peers, {r("CASE WHEN n_peers >= 20 THEN pm END", "peer_media
 CASE WHEN n_peers >= 20 THEN CASE WHEN own / pm - 1 > 0.05 THEN 'above_peers' WHEN own / pm - 1 < -0.05 THEN 'below_peers' ELSE 'in_line' END END AS verdict FROM f"""
 )
 def scr_equity_context(spark, sf_dir):
-    return screen.equity_context(_screen(spark, sf_dir), "district", min_peers=20)
+    return screen.equity_context(_screen(spark, sf_dir), "district")
 
 
 @query(f"WITH {FIN} SELECT segment, CAST(least(floor((display_ratio - 0.4) / ((1.6 - 0.4) / 24)), 23) AS INT) AS bin, count(*) AS n FROM scr WHERE display_ratio BETWEEN 0.4 AND 1.6 GROUP BY ALL")
