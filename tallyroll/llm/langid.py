@@ -164,6 +164,16 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(apply, schema)
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def apply(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, x or "")) for x in batch.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """One in four documents, by their id: never learned from."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
