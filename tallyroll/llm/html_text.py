@@ -3,10 +3,12 @@
 1. Each page is parsed once.  Text is gathered in blocks; elements that are never article text
    (menus, forms, scripts and so on, by tag, role, class or id) are left out.  If the page has an
    ``article`` or ``main`` element, only blocks inside count, else the whole body's.
-2. Every container element (not a paragraph, heading or list item) is hashed with all its
-   subtree.  The hashes are counted per host in Spark, once per page.
-3. A subtree that recurs on at least ``min_pages`` pages and a share of ``min_share`` of the
-   host's pages is site template; blocks inside it are deleted.
+2. Every container element is hashed with all its subtree, and with ``every_block`` so are
+   paragraphs, headings, list items and quotations.  The hashes are counted per host in Spark,
+   once per distinct text, so that copies of a page count as one.
+3. A subtree that recurs on at least ``min_pages`` of these and a share of ``min_share`` of the
+   host's, or on ``sure_pages`` whatever their share, is site template; blocks inside it are
+   deleted.  What holds a page's whole text is none on that page.
 
 The counts are pre-aggregated, and hits travel back by page, not by host, so a host with a third
 of all pages is no hot key.  A page has no hit unless its text has a container around it that is
@@ -33,6 +35,8 @@ from .urls import host_of
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+#: On so many pages a subtree is template, however many pages the host has.
+SURE_PAGES = 50
 
 DROP_TAGS = frozenset(
     "nav footer aside form script style noscript template head title iframe object svg math canvas button select"
@@ -49,6 +53,7 @@ BLOCKS = frozenset(
     " tfoot ul ol dl dt dd figure figcaption address form fieldset hr details summary caption center".split()
 )
 CONTAINERS = frozenset("div section ul ol dl table header footer aside nav figure details form span center".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("html body tr thead tbody tfoot caption dt dd figcaption summary".split())
@@ -87,8 +92,8 @@ class _Open:
         self.tag, self.drop, self.main, self.first, self.label, self.parts = tag, drop, main, first, label, []
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """The text blocks with the hashes of the containers around each, and all container hashes of the page."""
+def parse(page: str, hashed: frozenset[str] = CONTAINERS) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """The text blocks with the hashes of the elements ``hashed`` around each, and all such hashes of the page but those that hold its whole text."""
     stack = [_Open("", False, False, 0, "")]
     blocks: list[list] = []  # text, in main, hashes
     hashes: set[int] = set()
@@ -109,7 +114,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             if node.tag in BLOCKS:
                 flush()
             stack.pop()
-            if node.tag in CONTAINERS:
+            if node.tag in hashed:
                 mark = int.from_bytes(hashlib.blake2b("\0".join((node.label, *node.parts)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                 hashes.add(mark)
                 for block in blocks[node.first :]:
@@ -170,23 +175,28 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     flush()
     close(1)
     kept = [b for b in blocks if b[1]] if seen_main else blocks
-    return [(line, marks) for line, _, marks in kept], sorted(hashes)
+    whole = set(kept[0][2]).intersection(*(marks for _, _, marks in kept)) if kept else set()
+    return [(line, [m for m in marks if m not in whole]) for line, _, marks in kept], sorted(hashes - whole)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url: str = "url", page: str = "html", page_id: str = "page_id") -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url: str = "url", page: str = "html", page_id: str = "page_id", every_block: bool = False, sure_pages: int = SURE_PAGES) -> DataFrame:
     """page_id, url, host and text of each page."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
     block = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("h", T.ArrayType(T.LongType()))]))
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("key", T.LongType()), T.StructField("blocks", block), T.StructField("marks", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("key", T.LongType()), T.StructField("content", T.LongType()), T.StructField("blocks", block), T.StructField("marks", T.ArrayType(T.LongType()))])
+
+    hashed = CONTAINERS | LEAVES if every_block else CONTAINERS
+    digest = lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
     def read(batches):
         for b in batches:
-            parsed = [parse(x or "") for x in b.column("html").to_pylist()]
-            keys = [int.from_bytes(hashlib.blake2b(repr(k).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for k in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")))]
+            parsed = [parse(x or "", hashed) for x in b.column("html").to_pylist()]
+            keys = [digest(repr(k)) for k in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")))]
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns[:3],
                     pa.array(keys, pa.int64()),
+                    pa.array([digest("\n\n".join(t for t, _ in blocks)) for blocks, _ in parsed], pa.int64()),
                     pa.array([[{"t": t, "h": h} for t, h in blocks] for blocks, _ in parsed], pa.list_(pa.struct([("t", pa.string()), ("h", pa.list_(pa.int64()))]))),
                     pa.array([marks for _, marks in parsed], pa.list_(pa.int64())),
                 ],
@@ -195,10 +205,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     parsed = written(rows.mapInArrow(read, schema), "html-blocks")
     hosted = parsed.where(F.col("host") != "")
-    pages_of = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = hosted.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
+    pages_of = hosted.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = hosted.select("host", "content", F.explode("marks").alias("mark")).distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_pages)
-    template = counts.join(pages_of, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "mark")
+    template = counts.join(pages_of, "host").where(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(sure_pages)))).select("host", "mark")
 
     inside = F.exists("blocks", lambda b: F.size(b["h"]) > 0)
     marked = parsed.where(inside)

@@ -66,7 +66,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = html_text.extract(table(spark, sf_dir, "pages"))
+    text = html_text.extract(table(spark, sf_dir, "pages"), every_block=True)
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
