@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Spark's setting that frees the shuffle files of a query when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,38 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder that driver and executors share.
 
-    It lies under ``spark.checkpoint.dir``.  Only where that is unset (tests, one machine)
+    It lies under ``spark.checkpoint.dir``.  Only where that is unset on one machine (tests)
     a local temporary folder is used instead.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"tallyroll-{os.getpid()}")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: lineage ends there."""
+    """``df`` written once as Parquet in the shared folder and read back: lineage ends there.
+
+    The shuffle files of the write go when it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = work_dir(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def doc_key(text: str = "text", doc_id: str = "doc_id"):
-    """Key of a row: its doc_id and what it holds, so repeated ids with other texts stay apart."""
-    return F.struct(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of ``written`` frames that nothing will read again."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` bytes hold ``total_bytes``."""
     return max(least, -(-int(total_bytes or 0) // each))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are done and no longer referred to.
-
-    Spark does so whenever the driver collects its garbage; after a large step whose result has
-    been written, waiting for that only keeps disks full.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -1,273 +1,247 @@
 """Mixture-controlled packing of token ids into fixed windows.
 
-Every source is a queue of its documents' ids in doc_id order.  Windows of ``length`` tokens are
-filled by deficit round-robin: a window gives each source its share of the mixture, and what a
-share lacks of a whole token is carried to the next window as that source's deficit.  Here the
-mixture is the corpus' own, so all queues end together, every window but the last is full and the
-deficit of a source stays below one token.
-
-The carried deficits have a closed form: after ``x`` tokens each source has been served as many
-ids as it has among the ``x`` ids that come first by ``(c + 1/2) / total`` (c: place in the
-queue; ties: source order).  So no task has to wait for another one's windows: a partition
-computes the deficits at any window by itself and they agree across partitions.
-
-Places in the queues are two-level prefix sums: sums per (source, chunk of documents), then
-within a chunk; a source with a third of all rows is spread over all its chunks.
-
-Nulls: a null text is empty and becomes the end id alone; a null source is a queue of its own;
-a null doc_id comes first.  Repeated rows are packed each.  Documents longer than a window are
-cut.  Empty tables give empty results.
+Every source is a queue of its documents' ids, in the order in which the table is read.  Windows
+of ``length`` tokens are filled by deficit round-robin: a window gives each source its share of
+the target mixture, in grains of ``grain`` ids; what a share lacks of a whole grain is carried to
+the next window as that source's deficit.  The target is the corpus' own mixture, or ``targets``
+(source to weight).  When a queue runs dry its share goes to the others in proportion to their
+targets; sources without a target come after all others, mixed in proportion to their sizes.
+
+The carried deficits have a closed form: grain *u* of a source falls due at ``(u + phase) / rate``,
+where the rate is the source's share and the phase, between 0 and 1, comes from its name (so that
+small sources don't all fall due at once).  Windows take the grains as they fall due.  No task has
+to wait for another one's windows, and deficits agree across partitions:
+
+1. The texts are encoded once and written, with the place of each document in its source's queue
+   within its part; two-level prefix sums give the place in the whole queue.
+2. The time axis is cut in blocks of about ``BLOCK_TOKENS`` tokens; documents are cut where the
+   block changes.  The blocks' token counts, prefix-summed, say which windows each block fills.
+3. Each block orders its grains and cuts windows.  A source with a third of all rows is spread
+   over all blocks, and any number of sources is just more rows.
+
+Nulls: a null text is empty and becomes the end id alone; a null source is a queue of its own.
+Repeated rows are packed each.  Documents longer than a window are cut.  Empty tables give empty
+results.  Only doc_id, the text and the source are read; other columns do not matter.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-import struct
 import zlib
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .word_ids import encoder
 
 LENGTH = 4096
 END_ID = 2
-#: At most so many queues: beyond it sources share queues by hash.
-MAX_QUEUES = 1024
-MEMO_WORDS = 400_000
-MEMO_LENGTH = 48
-#: Texts are encoded in parts of about so many characters.
-PART_CHARS = 4_000_000
-
-
-@functools.lru_cache(4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok, {}
-
-
-def _words_apart(tok) -> tuple[bool, bool, bool]:
-    """Whether text may be encoded word by word (white space never reaches a token, full stops and
-    commas stay apart from letters); whether lower-casing it first changes nothing; whether words of
-    lower-case letters may go to the model alone."""
-    probe = ["a", "Bc,d", "x1y's", "\u00e9t\u00e9", "zz!!!", "\u00c9T\u00c9", "End", ".", "s", "don't", "ll"]
-    ids = lambda s: tok.encode(s, add_special_tokens=False).ids
-    apart = all(ids(s.join(probe)) == sum(map(ids, probe), []) for s in (" ", "  ", "\n", "\t "))
-    apart = apart and all(ids(w + p) == ids(w) + ids(p) for w in probe if w.isalpha() for p in ".,")
-    letters = [chr(c) for c in range(0x20, 0x100)]
-    lower = all(ids(x) == ids(x.lower()) for x in [*letters, *probe])
-    units = lambda w: [t.id for t in tok.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))]
-    alone = all(ids(w + "ab") == units(w + "ab") for w in letters if w.isalpha() and w == w.lower())
-    return apart, lower, alone
-
-
-def _latin(text: str) -> bool:
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def _byte_letters() -> list[str]:
-    """The printable character by which byte-level vocabularies write each byte: itself if it is
-    printable in Latin-1, else the next free one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
-BYTE_LETTERS = dict(enumerate(_byte_letters()))
-
-
-def _encode_words(tok, words: list[bytes], model_alone: bool) -> list[bytes]:
-    """Ids of each word.  Lower-case words of letters alone are one unit each, so they may skip
-    the tokenizer's normaliser and splitter and go to its model at once."""
-    out: list[bytes] = [b""] * len(words)
-    rest = []
-    for i, w in enumerate(words):
-        if model_alone and (text := w.decode()).isalpha() and _latin(text) and text == text.lower():
-            units = tok.model.tokenize(w.decode("latin-1").translate(BYTE_LETTERS))
-            out[i] = struct.pack(f"<{len(units)}I", *[t.id for t in units])
-        else:
-            rest.append(i)
-    for k in range(0, len(rest), 5_000):
-        part = rest[k : k + 5_000]
-        for i, e in zip(part, tok.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)):
-            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    return out
-
-
-def encode_ids(path: str, texts: list[str], end_id: int | None) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, ``end_id`` appended."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    out: list[bytes] = []
-    part: list[str] = []
-    size = 0
-    for i, text in enumerate(texts):
-        part.append(text)
-        size += len(text)
-        if size >= PART_CHARS or i == len(texts) - 1:
-            out += [ids + end for ids in _encode_part(path, part)]
-            part, size = [], 0
-    return out
-
-
-def _encode_part(path: str, texts: list[str]) -> list[bytes]:
-    tok, memo = _tokenizer(path)
-    if "apart" not in memo:
-        memo["apart"], memo["lower"], memo["alone"] = _words_apart(tok)
-    if not memo["apart"]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
-    # Lower-casing first is what the tokenizer does to Latin-1 letters anyway, and halves the distinct words.
-    lower = memo["lower"]
-    words = [(x.lower() if lower and "<|" not in x and _latin(x) else x).encode().split() for x in texts]
-    known = [list(map(memo.get, ws)) for ws in words]  # one look-up a word; None for words not met yet
-    short = [i for i, ids in enumerate(known) if None in ids]
-    new = {w for i in short for w, ids in zip(words[i], known[i]) if ids is None}
-    stems = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}  # "word." is "word" and "."
-    plain = list((new - stems.keys()) | {x for x in stems.values() if x not in memo} | ({b".", b","} if stems else set()))
-    fresh = dict(zip(plain, _encode_words(tok, plain, memo["alone"])))
-    ids_of = lambda w: memo[w] if w in memo else fresh[w]
-    for w, x in stems.items():
-        fresh[w] = ids_of(x) + ids_of(w[-1:])
-    if len(memo) < MEMO_WORDS:  # what is met first is kept; frequent words are among it
-        memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_LENGTH)
-    for i in short:
-        known[i] = [fresh[w] if ids is None else ids for w, ids in zip(words[i], known[i])]
-    return [b"".join(ids) for ids in known]
-
-
-class Schedule:
-    """Deficit round-robin over queues of ``totals`` ids in windows of ``length``."""
-
-    def __init__(self, totals: list[int], length: int):
-        self.totals = np.array(totals, np.int64)
-        self.total, self.length, n = int(self.totals.sum()), length, len(totals)
-        share = self.totals / max(1, self.total)
-        ahead = np.ceil(share * (n + 6)).astype(np.int64) + 2  # how far a queue can be past the lower bound
-        self.queue = np.repeat(np.arange(n), ahead)
-        self.step = np.arange(len(self.queue)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
-        self.seen: dict[int, np.ndarray] = {}
-
-    def served(self, window: int) -> np.ndarray:
-        """How many ids each queue has given before ``window``."""
-        x = min(window * self.length, self.total)
-        if x <= 0:
-            return np.zeros_like(self.totals)
-        if x == self.total:
-            return self.totals
-        if (hit := self.seen.get(window)) is not None:
-            return hit
-        n = len(self.totals)
-        v = max(0.0, (x - n / 2 - 2) / self.total)
-        low = np.minimum(np.floor(self.totals * v + 0.5).astype(np.int64), self.totals)
-        low = np.maximum(low - 1, 0)  # far below any rounding
-        lack = x - int(low.sum())
-        place = low[self.queue] + self.step
-        due = np.where(place < self.totals[self.queue], (place + 0.5) / np.maximum(self.totals[self.queue], 1), np.inf)
-        first = np.lexsort((self.queue, due))[:lack]
-        out = low + np.bincount(self.queue[first], minlength=n)
-        if len(self.seen) > 20_000:
-            self.seen.clear()
-        self.seen[window] = out
-        return out
-
-    def window_of(self, queue: int, place: int) -> int:
-        """The window that holds id ``place`` of ``queue``."""
-        n = len(self.totals)
-        w = max(0, int((self.total * (place + 0.5) / int(self.totals[queue]) - n - 4) // self.length))
-        while self.served(w + 1)[queue] <= place:
-            w += 1
-        while w and self.served(w)[queue] > place:
-            w -= 1
-        return w
-
-    def pieces(self, queue: int, start: int, count: int):
-        """(place in the run, number of ids, window, offset in the window) of ids start.. of a queue."""
-        done = 0
-        w = self.window_of(queue, start) if count else 0
-        while done < count:
-            before, after = self.served(w), self.served(w + 1)
-            place = start + done
-            take = min(count - done, int(after[queue]) - place)
-            if take > 0:
-                offset = int((after[:queue] - before[:queue]).sum()) + place - int(before[queue])
-                yield done, take, w, offset
-                done += take
-            w += 1
-
-
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", source: str = "source", digests: bool = False) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (binary, 32 bits each), doc_tokens, sequence_id, offset, source_queue.
-
-    ``digests``: ids_crc32 instead of ids, so that the ids don't leave the tasks.
-    """
-    schema = "doc_id long, source string, n long, ids binary"
-
-    def encode(batches):
-        for batch in batches:
-            ids = encode_ids(tokenizer_path, [x or "" for x in batch.column("_t").to_pylist()], end_id)
-            narrow = [x if (a := np.frombuffer(x, "<u4")).max(initial=0) > 65535 else b"\0" + a.astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(narrow, pa.binary())],
-                names=["doc_id", "source", "n", "ids"],
-            )
-
-    picked = docs.select(F.col("doc_id").cast("long"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("_t"))
-    coded = written(picked.mapInArrow(encode, schema), "packing-ids")
-
-    sources = coded.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
-    if sources.count() > MAX_QUEUES:
-        queue = F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)))
-    else:
-        queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    totals = sorted((r["q"], r["n"], r["docs"]) for r in sources.withColumn("q", queue).groupBy("q").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect())
-    number = {q: i for i, (q, _, _) in enumerate(totals)}
-    counts = [n for _, n, _ in totals]
-
-    rows = sum(k for _, _, k in totals)
-    chunks = 1 + int(4 * math.sqrt(rows))
-    placed = coded.withColumn("q", queue).withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(chunks)))
-    sums = placed.groupBy("q", "chunk").agg(F.sum("n").alias("total"))
-    base = sums.withColumn("base", F.sum("total").over(Window.partitionBy("q").orderBy("chunk")) - F.col("total")).drop("total")
-    within = Window.partitionBy("q", "chunk").orderBy("doc_id", "n", F.crc32("ids"))
-    at = placed.withColumn("run", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-    at = at.join(base, ["q", "chunk"]).select("doc_id", "q", "n", "ids", (F.col("base") + F.coalesce("run", F.lit(0))).alias("at"))
-
-    kept = ("ids_crc32", "long") if digests else ("ids", "binary")
-    out = f"doc_id long, start long, length long, {' '.join(kept)}, doc_tokens long, sequence_id long, offset long, source_queue int"
-
-    def cut(batches):
-        plan = Schedule(counts, length)
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for doc, q, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "q", "n", "ids", "at"))):
-                if len(ids) != 4 * n:
-                    ids = np.frombuffer(ids, "<u2", offset=1).astype("<u4").tobytes()
-                for done, take, w, offset in plan.pieces(number[q], at, n):
-                    piece = ids[4 * done : 4 * (done + take)]
-                    for col, value in zip(cols, (doc, done, take, zlib.crc32(piece) if digests else piece, n, w, offset, number[q])):
-                        col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digests else pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.strip().split()[0] for f in out.split(",")])
+GRAIN = 32
+BLOCK_TOKENS = 1 << 20
+#: Points at which the tokens due so far are measured, where sources run dry at different times.
+KNOTS = 512
+GROUP = 4096
 
-    return at.mapInArrow(cut, out)
 
+def _coded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source: str) -> DataFrame:
+    """(doc_id, queue, part, before, n, ids): ``before`` is what the part has of the queue before the document."""
 
-def ids_crc32(ids: str = "ids"):
-    return F.crc32(F.col(ids))
-
-
-def crc32_of(ids) -> int:
-    """The same of a list of ids, for tests."""
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    def encode(batches):
+        enc, part, given = encoder(tokenizer_path), TaskContext.get().partitionId(), {}
+        end = np.array([end_id], np.uint32)
+        for batch in batches:
+            ids = [np.append(x, end) for x in enc.encode([x or "" for x in batch.column("_t").to_pylist()])]
+            blobs = [x.astype("<u4").tobytes() if x.max() > 65535 else b"\0" + x.astype("<u2").tobytes() for x in ids]
+            before = []
+            for q, x in zip(batch.column("queue").to_pylist(), ids):
+                before.append(given.get(q, 0))
+                given[q] = before[-1] + len(x)
+            columns = [
+                batch.column("doc_id"),
+                batch.column("queue"),
+                pa.array([part] * len(ids), pa.int32()),
+                pa.array(before, pa.int64()),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array(blobs, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "queue", "part", "before", "n", "ids"])
+
+    queue = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), queue.alias("queue"), F.col(f"`{text}`").alias("_t"))
+    return rows.mapInArrow(encode, "doc_id long, queue string, part int, before long, n long, ids binary")
+
+
+def _queues(spark: SparkSession, sums: DataFrame, grain: int, targets: Mapping | DataFrame | None) -> DataFrame:
+    """(queue, rate, late, phase): grain *u* of a queue falls due at ``late + (u + phase) / rate``."""
+    queues = sums.groupBy("queue").agg(F.ceil(F.sum("total") / grain).alias("grains"))
+    phase = (F.pmod(F.xxhash64("queue", F.lit(41)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    own = F.col("grains").cast("double")
+    if targets is None:
+        return queues.select("queue", own.alias("rate"), F.lit(0.0).alias("late"), phase.alias("phase"))
+    if isinstance(targets, Mapping):
+        targets = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, weight double")
+    named = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("queue"), F.col("weight").cast("double"))
+    queues = queues.join(named.groupBy("queue").agg(F.sum("weight").alias("weight")), "queue", "left")
+    queues = queues.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")))
+    end = queues.agg(F.max(F.col("grains") / F.col("weight"))).first()[0] or 0.0
+    # Those without a target take as long again, after all others.
+    rate, late = F.coalesce("weight", own / (end or 1.0)), F.when(F.col("weight").isNull(), F.lit(end)).otherwise(0.0)
+    return queues.select("queue", rate.alias("rate"), late.alias("late"), phase.alias("phase"))
+
+
+def _due_so_far(sums: DataFrame, queues: DataFrame, grain: int) -> tuple[list[float], list[float]]:
+    """Times and the tokens due until then, at most ``KNOTS`` of them."""
+    every = sums.groupBy("queue").agg(F.sum("total").alias("tokens")).join(queues, "queue")
+    dry = F.col("tokens") / grain / F.col("rate")
+    span = every.agg(F.min(dry).alias("first"), F.max(F.col("late") + dry).alias("last"), F.sum("tokens").alias("tokens")).first()
+    first, last = max(span["first"] / 1000, span["last"] / 1e12), span["last"]
+    times = [0.0, *np.geomspace(first, max(last, first * 2), KNOTS).tolist()]
+    at = every.withColumn("t", F.explode(F.array(*[F.lit(t) for t in times])))
+    given = F.greatest(F.lit(0.0), F.least(F.col("tokens"), (F.col("t") - F.col("late")) * F.col("rate") * grain))
+    rows = {r["t"]: r["x"] for r in at.groupBy("t").agg(F.sum(given).alias("x")).collect()}
+    return times, np.maximum.accumulate([rows[t] for t in times]).tolist()
+
+
+def _grains(at: np.ndarray, n: np.ndarray, grain: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, grain) of every grain that the ids ``at`` to ``at + n`` of their queues touch."""
+    first = at // grain
+    times = (at + n - 1) // grain - first + 1
+    row = np.repeat(np.arange(len(at)), times)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _cut(at, n, rate, late, phase, grain: int, blocks: int, knots) -> tuple[np.ndarray, ...]:
+    """(row, block, first id, end) of each run of ids, as places in their queues, that falls in one block."""
+    row, unit = _grains(at, n, grain)
+    due = late[row] + (unit + phase[row]) / rate[row]
+    times, given = knots
+    block = np.minimum((np.interp(due, times, given) / given[-1] * blocks).astype(np.int64), blocks - 1)
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(row)) - 1
+    owner = row[lo]
+    return owner, block[lo], np.maximum(at[owner], unit[lo] * grain), np.minimum((at + n)[owner], (unit[hi] + 1) * grain)
+
+
+def _windows(at, n, queue, rate, late, phase, base: int, grain: int, length: int) -> tuple[np.ndarray, ...]:
+    """(row, first id, number, window, offset) of the pieces of one block, in order."""
+    row, unit = _grains(at, n, grain)
+    lo, hi = np.maximum(at[row], unit * grain), np.minimum((at + n)[row], (unit + 1) * grain)
+    due = late[row] + (unit + phase[row]) / rate[row]
+    order = np.lexsort((lo, queue[row], due))
+    row, lo, size = row[order], lo[order], (hi - lo)[order]
+    place = base + np.cumsum(size) - size
+    window = place // length
+    room = (window + 1) * length - place  # a grain is no longer than a window: it is cut once at most
+    over = np.flatnonzero(size > room)
+    row, lo = np.append(row, row[over]), np.append(lo, lo[over] + room[over])
+    window, size = np.append(window, window[over] + 1), np.append(np.minimum(size, room), size[over] - room[over])
+    order = np.lexsort((lo, queue[row], window))
+    row, lo, size, window = row[order], lo[order], size[order], window[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (window[1:] != window[:-1]) | (lo[1:] != lo[:-1] + size[:-1])))
+    first = np.flatnonzero(new)
+    size = np.add.reduceat(size, first)
+    row, lo, window = row[first], lo[first], window[first]
+    return row, lo, size, window, base + np.cumsum(size) - size - window * length
+
+
+def _ids(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u2", offset=1) if len(blob) % 2 else np.frombuffer(blob, "<u4")
+
+
+def pack(
+    spark: SparkSession,
+    docs: DataFrame,
+    tokenizer_path: str,
+    length: int = LENGTH,
+    end_id: int = END_ID,
+    text: str = "text",
+    source: str = "source",
+    digests: bool = False,
+    targets: Mapping | DataFrame | None = None,
+    grain: int = GRAIN,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (binary, 32 bits each), doc_tokens, sequence_id, offset, source.
+
+    ``digests``: ids_crc32 instead of ids, so that the ids don't leave the tasks.  ``targets``: a
+    weight for each source, as a mapping or a DataFrame (source, weight).
+    """
+    grain = max(1, min(grain, length))
+    coded = written(_coded(docs, tokenizer_path, end_id, text, source), "packing-ids")
+    sums = written(coded.groupBy("queue", "part").agg(F.sum("n").alias("total")), "packing-sums")
+    queues = _queues(spark, sums, grain, targets)
+    before = F.sum("total").over(Window.partitionBy("queue").orderBy("part")) - F.col("total")
+    places = written(sums.withColumn("base", before).drop("total").join(queues, "queue"), "packing-places")
+    total = sums.agg(F.sum("total")).first()[0] or 0
+    knots = ([0.0, 1.0], [0.0, 1.0]) if targets is None or not total else _due_so_far(sums, queues, grain)
+    blocks = max(1, -(-total // block_tokens))
+    how = ("rate", "late", "phase")
+    placed = coded.join(places, ["queue", "part"]).withColumn("at", F.col("base") + F.col("before"))
+
+    def split(b, most=200_000):
+        """The runs of a batch that fall in one block, some rows at a time."""
+        at, n, rate, late, phase = (b.column(c).to_numpy() for c in ("at", "n", *how))
+        ends = np.cumsum(n)
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most * grain, side="right")))
+            s = slice(first, last)
+            owner, block, lo, hi = _cut(at[s], n[s], rate[s], late[s], phase[s], grain, blocks, knots)
+            yield owner + first, block, lo, hi
+            first = last
+
+    def weigh(batches):
+        for b in batches:
+            for _, block, lo, hi in split(b):
+                which, where = np.unique(block, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.bincount(where, weights=hi - lo).astype(np.int64))], names=["block", "tokens"])
+
+    weights = placed.select("at", "n", *how).mapInArrow(weigh, "block long, tokens long").groupBy("block").agg(F.sum("tokens").alias("tokens"))
+    weights = written(weights.withColumn("many", F.floor(F.col("block") / GROUP)), "packing-blocks")
+    # Prefix sums in two levels: over groups of blocks, of which there are few, then within a group.
+    groups = weights.groupBy("many").agg(F.sum("tokens").alias("own"))
+    groups = groups.select("many", (F.sum("own").over(Window.orderBy("many")) - F.col("own")).alias("low"))
+    inner = F.sum("tokens").over(Window.partitionBy("many").orderBy("block")) - F.col("tokens")
+    bases = weights.withColumn("inner", inner).join(groups, "many").select("block", (F.col("low") + F.col("inner")).alias("base"))
+
+    def deal(batches):
+        for b in batches:
+            at, blobs = b.column("at").to_numpy(), b.column("ids").to_pylist()
+            for owner, block, lo, hi in split(b):
+                cut = []
+                for i, a, z, x in zip(owner.tolist(), (lo - at[owner]).tolist(), (hi - at[owner]).tolist(), (blobs[i] for i in owner.tolist())):
+                    ids = _ids(x)
+                    cut.append(x if z - a == len(ids) else (b"\0" if len(x) % 2 else b"") + ids[a:z].tobytes())
+                columns = [b.column(c).take(pa.array(owner)) for c in ("doc_id", "queue", "n", *how)]
+                more = [pa.array(block), pa.array(lo - at[owner]), pa.array(lo), pa.array(hi - lo), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "queue", "n", *how, "block", "start", "at", "size", "ids"])
+
+    dealt = "doc_id long, queue string, n long, rate double, late double, phase double, block long, start long, at long, size long, ids binary"
+    parts = placed.select("doc_id", "queue", "n", "at", "ids", *how).mapInArrow(deal, dealt).join(bases, "block")
+    kept = pa.field("ids_crc32", pa.int64()) if digests else pa.field("ids", pa.binary())
+    numbers = [pa.field(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
+    schema = pa.schema([*numbers, kept, pa.field("source", pa.string())])
+
+    def fill(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        at, n, rate, late, phase = (part[c].to_numpy() for c in ("at", "size", *how))
+        names = part["queue"].to_pylist()
+        number = {q: i for i, q in enumerate(sorted(set(names)))}
+        queue = np.fromiter((number[q] for q in names), np.int64, len(names))
+        row, lo, size, window, offset = _windows(at, n, queue, rate, late, phase, part["base"][0].as_py(), grain, length)
+        ids = memoryview(np.concatenate([_ids(x) for x in part["ids"].to_pylist()]).astype("<u4")).cast("B")
+        first = 4 * ((np.cumsum(n) - n)[row] + lo - at[row])
+        cut = zip(first.tolist(), (first + 4 * size).tolist())
+        made = [zlib.crc32(ids[a:b]) for a, b in cut] if digests else [bytes(ids[a:b]) for a, b in cut]
+        start = part["start"].to_numpy()[row] + lo - at[row]
+        source_of = [q[1:] if q else None for q in names]
+        columns = [part["doc_id"].take(pa.array(row)), start, size, part["n"].take(pa.array(row)), window, offset, pa.array(made, kept.type), pa.array(source_of, pa.string()).take(pa.array(row))]
+        return pa.table(columns, schema=schema)
+
+    out = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'string' if f.type == pa.string() else 'long'}" for f in schema)
+    return parts.groupBy("block").applyInArrow(fill, out)

@@ -1,8 +1,9 @@
 """The pipeline against its stages done by brute force."""
 
 import corpus_pipeline
+from tests.llm.test_packing import check_pieces
 from tests.llm.test_pairs import brute as brute_groups
-from tests.llm.test_rows import brute_quality, check_pieces
+from tests.llm.test_rows import brute_quality
 
 from tallyroll.llm import registry
 

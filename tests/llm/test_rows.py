@@ -1,15 +1,12 @@
-"""Operators that judge rows one by one or pack them, against brute force."""
+"""Operators that judge rows one by one, against brute force."""
 
 import random
 import re
-import zlib
 from collections import Counter
 
-import numpy as np
-import public_tokenizers
 import pytest
 
-from tallyroll.llm import packing, quality, registry, token_count, urls
+from tallyroll.llm import quality, registry, token_count, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,59 +87,6 @@ def test_quality_hosts(spark):
     assert kept[9000] and kept[9001]
 
 
-def check_pieces(docs, pieces, path, length=4096):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    texts = Counter()
-    by_doc = {}
-    for d, t in docs:
-        texts[d] += 1
-        by_doc[d] = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
-    seen = {d: [] for d in by_doc}
-    windows = {}
-    for p in pieces:
-        ids = by_doc[p["doc_id"]]
-        assert p["doc_tokens"] == len(ids) and p["length"] > 0
-        assert p["ids_crc32"] == packing.crc32_of(ids[p["start"] : p["start"] + p["length"]])
-        seen[p["doc_id"]].append((p["start"], p["length"]))
-        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
-    for d, got in seen.items():
-        cover = Counter(i for s, n in got for i in range(s, s + n))
-        assert cover == Counter({i: texts[d] for i in range(len(by_doc[d]))})
-    sizes = []
-    for _, got in sorted(windows.items()):
-        at = 0
-        for offset, n in sorted(got):
-            assert offset == at
-            at += n
-        sizes.append(at)
-    assert all(s == length for s in sizes[:-1]) and sorted(windows) == list(range(len(windows)))
-
-
-def test_packing(spark, odd):
-    path = registry.tokenizer("word_bpe_49k.json")
-    docs = odd.unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id > 20"))
-    pieces = packing.pack(spark, docs, path).withColumn("ids_crc32", packing.ids_crc32()).collect()
-    check_pieces([(r["doc_id"], r["text"]) for r in docs.collect()], pieces, path)
-    assert packing.pack(spark, docs.limit(0), path).count() == 0
-
-
-@pytest.mark.parametrize("totals", [[7], [1, 100_000, 3, 50_000], [4096] * 5, [0, 9, 1], list(range(1, 300, 7))])
-def test_schedule_is_fair(totals):
-    plan = packing.Schedule(totals, 64)
-    total, before = sum(totals), np.zeros(len(totals), int)
-    for w in range(1, -(-total // 64) + 1):
-        now = plan.served(w)
-        x = min(64 * w, total)
-        assert now.sum() == x and (now >= before).all()
-        assert np.abs(now - np.array(totals) * x / total).max() < max(1.5, len(totals) / 2)
-        before = now
-    for q, t in enumerate(totals):
-        got = list(plan.pieces(q, 0, t))
-        assert sum(n for _, n, _, _ in got) == t
-
-
 def test_url_automaton():
     rng = random.Random(5)
     globs = ["*.com/en/**", "a?c*", "**zz", "x*y*z", "*", "ab" * 40 + "**", "?"]
@@ -187,11 +131,6 @@ def test_url_filter(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_crc_is_of_little_endian_words():
-    assert packing.crc32_of([1, 258]) == zlib.crc32(b"\1\0\0\0\2\1\0\0")
-    assert public_tokenizers.path("word_bpe_49k.json")
-
-
 def test_main_text_of_plain_pages(spark):
     import html as h
 
