@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from .quality import MAX_HOST_RATE, MAX_PRIOR_DOCS
-from .urls import LOWER, PATH_RULES, UPPER
+from .urls import LOWER, OTHER_RULES, PATH_RULES, UPPER
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -54,11 +56,16 @@ def _fits(rule) -> str:
     return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
 
 
+def _regex(glob: str) -> str:
+    parts = re.findall(r"\*\*|.", glob, re.S)
+    return "".join({"**": ".*", "*": "[^/]*", "?": "."}.get(x) or re.escape(x) for x in parts)
+
+
+_OTHER = "(?s)^(?:" + "|".join(_regex(g) for rule in OTHER_RULES for g in rule.globs) + ")$"
+
 OP10 = f"""WITH a AS (SELECT page_id, {_REST} AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE {" ".join(f"WHEN {_fits(x)} THEN '{x.name}'" for x in _RULES)} WHEN regexp_matches(host, '(?:^|[.])[^/]*casino') THEN '*.*casino*'
-  WHEN contains(host, 'adult-') THEN '*.*adult-*' WHEN contains(host, 'free-bets') THEN '*.*free-bets*' WHEN contains(host, 'spam-farm') THEN '*.*spam-farm*' WHEN contains(host, 'cheap-pills') THEN '*.*cheap-pills*' END AS rule FROM b)
-SELECT page_id, host, path, CASE WHEN starts_with(rule, '*') THEN NULL ELSE rule END AS rule,
-  CASE {" ".join(f"WHEN rule = '{x.name}' THEN '{x.verdict}'" for x in _RULES)} WHEN rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+c AS (SELECT *, CASE {" ".join(f"WHEN {_fits(x)} THEN '{x.name}'" for x in _RULES)} END AS rule, regexp_full_match('.' || host || path, '{_OTHER}') AS other FROM b)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{x.name}' THEN '{x.verdict}'" for x in _RULES)} WHEN other THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
 ALL = {"op3_suffix_dedup": OP3, "op6_jaccard_join": OP6, "op7_quality_rules": OP7, "op10_url_filter": OP10}

@@ -32,12 +32,13 @@ REST = r"(?s)^.*?://(.*)$"
 
 @dataclass(frozen=True)
 class UrlRule:
-    """``name``: what the result shows.  ``weight``: among fitting rules the heaviest wins."""
+    """``name``: what the result shows, if ``shown``.  ``weight``: among fitting rules the heaviest wins."""
 
     name: str
     verdict: str
     globs: tuple[str, ...]
     weight: int
+    shown: bool = True
 
     @staticmethod
     def prefix(rule: str, verdict: str) -> UrlRule:
@@ -47,8 +48,17 @@ class UrlRule:
 
     @staticmethod
     def host_glob(glob: str, verdict: str, weight: int = 1) -> UrlRule:
-        """A glob over the host alone."""
-        return UrlRule(glob, verdict, (f"*{glob}", f"*{glob}/**"), weight)
+        """A glob over ``"." + host`` alone, without ``**``: it never reaches the path."""
+        if "**" in glob or "/" in glob:
+            raise ValueError(f"not a glob over hosts: {glob}")
+        return UrlRule(glob, verdict, (glob, f"{glob}/**"), weight, shown=False)
+
+    @staticmethod
+    def path_glob(glob: str, verdict: str, weight: int = 1) -> UrlRule:
+        """A glob over the path, which starts with ``/``, on any host."""
+        if not glob.startswith("/"):
+            raise ValueError(f"not a glob over paths: {glob}")
+        return UrlRule(glob, verdict, (f"*{glob}",), weight, shown=False)
 
 
 #: Path rules of the production filter; the longest that fits decides.
@@ -62,9 +72,25 @@ PATH_RULES = tuple(
         ("block", "org/es/"),
     )
 )
-#: Host globs that decide where no path rule fits: labels that name gambling, adult or spam sites.
-HOST_GLOBS = tuple(
-    UrlRule.host_glob(f"*.*{word}*", "block") for word in ("casino", "adult-", "free-bets", "spam-farm", "cheap-pills")
+#: Globs that decide where no path rule fits: hosts named for gambling, adult, spam or advertising, and
+#: paths that hold no text (accounts, shops' baskets, server folders, downloads).
+OTHER_RULES = (
+    *(
+        UrlRule.host_glob(glob, "block")
+        for glob in (
+            *(f"*.*{word}*" for word in ("casino", "free-bets", "betting", "jackpot", "poker-", "adult-", "xxx", "porn", "escort", "spam-farm", "cheap-pills", "pharma-", "viagra", "replica-", "payday-", "ads-track", "click-track", "doubleclick", "link-farm", "torrent")),
+            *(f"*.{label}.*" for label in ("ad", "ads", "adserver", "tracker", "pixel", "banner")),
+        )
+    ),
+    *(
+        UrlRule.path_glob(glob, "block")
+        for glob in (
+            *(f"/**/{name}" for name in ("login", "logout", "signin", "signup", "register", "cart", "checkout", "wp-login.php", "xmlrpc.php")),
+            *(f"/{name}" for name in ("login", "logout", "signin", "signup", "register", "cart", "checkout", "wp-login.php", "xmlrpc.php")),
+            *(f"/{folder}/**" for folder in ("wp-admin", "cgi-bin", "admin", "account", "cart", "checkout", "basket")),
+            *(f"/**.{kind}" for kind in ("exe", "zip", "gz", "rar", "iso", "apk", "dmg", "mp4", "mp3", "jpg", "png", "gif", "css", "js")),
+        )
+    ),
 )
 
 
@@ -142,10 +168,11 @@ def rest_of(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")).contains("://"), F.regexp_extract(url, REST, 1)).otherwise("")
 
 
-def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = PATH_RULES + HOST_GLOBS, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = PATH_RULES + OTHER_RULES, default: str = "allow") -> DataFrame:
     """``pages`` with the columns host, path, rule and verdict added (clashing names are replaced).
 
-    ``rule`` is the fitting rule of greatest weight, null if none fits; then ``default`` is the verdict.
+    The fitting rule of greatest weight gives the verdict, ``default`` if none fits; ``rule`` is its
+    name, null if none fits or the rule is not one of those shown (host and path globs aren't).
     """
     globs = [(g, r) for r, rule in enumerate(rules) for g in rule.globs]
     weight = np.array([rule.weight for rule in rules], np.int64)
@@ -163,7 +190,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
             best = score.argmax(axis=1) if len(globs) and len(hosts) else np.zeros(len(hosts), int)
             found = [rules[owner[b]] if score[i, b] >= 0 else None for i, b in enumerate(best)] if globs else [None] * len(hosts)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f and f.name for f in found], pa.string()), pa.array([f.verdict if f else default for f in found], pa.string())],
+                [*batch.columns, pa.array([f.name if f and f.shown else None for f in found], pa.string()), pa.array([f.verdict if f else default for f in found], pa.string())],
                 names=[*batch.schema.names, "rule", "verdict"],
             )
 
