@@ -5,12 +5,15 @@ part of an Arrow batch are sorted, which is the depth-first order of their trie,
 that order: the forward scores (best score and last piece at each character) of the prefix that a
 word has in common with the one before it stay on the stack, only the rest is searched.
 
-The best path is that of the unigram model over the pieces and scores of the model's file: the
-highest sum of scores; of equal sums the longer last piece.  A character without a piece costs
+The best path is that of the **unigram** model over the pieces and scores of the model's file: the
+highest sum of scores; of equal sums the longer last piece.  For a file of another model type (BPE)
+these are not the ids that the library's own search gives.  A character without a piece costs
 the least score less 10 and is written as byte pieces.  Sums are taken per word, which is exact
 because no piece spans a space after another character (checked when the model is loaded).
+From each place the search goes back only as long as some piece ends so.
 
-Decoding joins the pieces, byte pieces as raw bytes, and drops the first mark.
+Decoding joins the pieces, byte pieces as raw bytes, and drops the first mark.  A literal space
+mark in a text comes back as a space.
 
 Nulls and empty texts have no pieces.  Long words are searched whole but not remembered.
 Repeated rows give repeated results, empty tables empty ones; other columns do not matter.
@@ -31,9 +34,9 @@ from pyspark.sql import types as T
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_COST = 10.0
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 MEMO_LENGTH = 48
-PART_CHARS = 4_000_000
+PART_CHARS = 1_000_000
 
 
 class Vocabulary:
@@ -46,7 +49,7 @@ class Vocabulary:
         self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece spans words")
-        self.longest = max(map(len, self.pieces), default=1)
+        self.ends = {p[k:]: (-1, float("-inf")) for p in self.pieces for k in range(len(p))} | self.pieces
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_COST
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown_id = sp.unk_id()
@@ -63,7 +66,7 @@ class Vocabulary:
 
     def search(self, words: list[str]) -> list[list[int]]:
         """The ids of each of ``words``, which are sorted: one walk through their trie."""
-        pieces, longest, unknown = self.pieces.get, self.longest, self.unknown
+        ends, pieces, unknown = self.ends.get, self.pieces, self.unknown
         best, last = [0.0], [(0, 0)]  # at each place: the best score, and (start, id) of its last piece
         before, out = "", []
         for word in words:
@@ -74,13 +77,14 @@ class Vocabulary:
             del best[keep + 1 :], last[keep + 1 :]
             for end in range(keep + 1, n + 1):
                 score, step = float("-inf"), (end - 1, -1)
-                for start in range(end - longest if end > longest else 0, end):
-                    hit = pieces(word[start:end])
-                    if hit is not None:
-                        s = best[start] + hit[1]
-                        if s > score:
-                            score, step = s, (start, hit[0])
-                if pieces(word[end - 1 : end]) is None and best[end - 1] + unknown > score:
+                for start in range(end - 1, -1, -1):
+                    hit = ends(word[start:end])
+                    if hit is None:
+                        break
+                    s = best[start] + hit[1]
+                    if s >= score and hit[0] >= 0:
+                        score, step = s, (start, hit[0])
+                if word[end - 1] not in pieces and best[end - 1] + unknown > score:
                     score, step = best[end - 1] + unknown, (end - 1, -1)
                 best.append(score)
                 last.append(step)
@@ -128,16 +132,33 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids (binary, 32 bits each) and n_pieces; clashing columns are replaced."""
-    keep = [f for f in docs.schema.fields if f.name not in ("ids", "n_pieces")]
-    schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("n_pieces", T.LongType())])
+def _slices(batch: pa.RecordBatch, text: str):
+    """The rows of a batch, about ``PART_CHARS`` bytes of text at a time."""
+    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text)])
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + PART_CHARS)))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ids (binary, 32 bits each) and n_pieces; clashing columns are replaced.
+
+    ``decoded``: and with the column decoded, the text of the ids, in the same pass.
+    """
+    keep = [f for f in docs.schema.fields if f.name not in ("ids", "n_pieces", *(["decoded"] if decoded else []))]
+    schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("n_pieces", T.LongType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
     def apply(batches):
         v = vocabulary(model_path)
-        for b in batches:
-            ids = v.encode([x or "" for x in b.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*b.schema.names, "ids", "n_pieces"])
+        for batch in batches:
+            for b in _slices(batch, text):
+                ids = v.encode([x or "" for x in b.column(text).to_pylist()])
+                columns = [*b.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decoded:
+                    columns.append(pa.array(map(v.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(apply, schema)
 

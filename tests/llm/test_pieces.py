@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tallyroll.llm import pieces, registry
 
@@ -36,6 +37,8 @@ def test_round_trip_and_odd_rows(spark):
     got = pieces.decode(pieces.encode(df, path), path).collect()
     assert len(got) == df.count()
     assert all(r["decoded"] == (r["text"] or "") and len(r["ids"]) == 4 * r["n_pieces"] for r in got)
+    once = pieces.encode(df.withColumn("decoded", F.lit(1)), path, decoded=True).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, got))
     assert pieces.encode(df.limit(0), path).count() == 0
     q = registry.op4_sentencepiece(spark, SF).collect()
     assert all(r["round_trip"] for r in q)
