@@ -8,13 +8,15 @@
    nearest, and so visits the leaves best bin first.
 4. How many leaves to visit is calibrated: for a bounded set of calibration queries the true
    neighbours are found by brute force over all rows, and the visits are widened until
-   ``recall`` of them lie in the visited leaves.
+   ``recall`` of them lie in the visited leaves.  A query whose leaves hold fewer than ``k``
+   others goes on to further leaves.
 5. Vectors are dealt to buckets by leaf; a leaf with many vectors is cut in parts that go to
    several buckets, so one very common vector does not end in one task.  A query goes once to each
    bucket that holds vectors of its leaves, gets that bucket's ``k`` best, and keeps the best of all.
 
 Nulls: vectors that are null, zero, of another dimension than most, or hold null or non-finite
-components take no part.  Ties go to the smaller id.  With no vectors the result is empty.
+components take no part.  Ties go to the smaller id.  An id that occurs with several vectors is
+a candidate, and a query, with each of them; its own vectors are never its neighbours.  With no vectors the result is empty.
 """
 
 from __future__ import annotations
@@ -97,13 +99,17 @@ class Tree:
             todo += [(int(kid), rows[near == j]) for j, kid in enumerate(kids) if (near == j).any()]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, counts: dict[int, int] | None = None, k: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first; then more until they hold ``k`` others.
+
+        ``counts``: how many ids each leaf has, of which one may be the query's own.
+        """
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < k):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(node)
+                held += max(0, (counts or {}).get(node, 0) - 1)
                 continue
             kids = self.children[node]
             for d, kid in zip(((self.centre[kids] - q) ** 2).sum(1).tolist(), kids):
@@ -202,14 +208,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     visits = calibrate(tree, truth, probes, leaf_of, recall)
 
     # Rows per leaf: as many numbers as the tree has leaves, which the sample bounds.
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf", "vec_id").count().groupBy("leaf").count().collect()}
     buckets = max(1, -(-sum(counts.values()) // PART_ROWS))
     parts = {leaf: min(buckets, -(-n // PART_ROWS)) for leaf, n in counts.items()}
     base = {leaf: i % buckets for i, leaf in enumerate(sorted(counts))}
-    dealt = spark.sparkContext.broadcast((parts, base))
+    dealt = spark.sparkContext.broadcast((parts, base, counts))
 
     def deal(batches):
-        parts_, base_ = dealt.value
+        parts_, base_, _ = dealt.value
         for b in batches:
             leaf, ids = b.column("leaf").to_pylist(), b.column("vec_id").to_numpy().astype(np.uint64)
             spread = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).tolist()
@@ -217,12 +223,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("leaf"), pa.array(at, pa.int32())], names=["vec_id", "v", "leaf", "bucket"])
 
     def route(batches):
-        parts_, base_ = dealt.value
+        parts_, base_, counts_ = dealt.value
         for b in batches:
             ids, vs, at, leaves = [], [], [], []
             for i, (q, v) in enumerate(zip(b.column("vec_id").to_pylist(), _matrix(b.column("v"), dims) if b.num_rows else [])):
                 by: dict[int, list[int]] = {}
-                for leaf in shared.value.visit(v, visits):
+                for leaf in shared.value.visit(v, visits, counts_, k):
                     for p in range(parts_.get(leaf, 0)):
                         by.setdefault((base_[leaf] + p) % buckets, []).append(leaf)
                 for bucket, own in by.items():

@@ -10,8 +10,9 @@ Training is linear in the n-grams, so the tasks send one count per language and
 vectors; the counts are summed in Spark and bundled afterwards.  The prototypes (languages x
 ``dims`` numbers; the labels are a fixed small set) are all that reaches the driver.
 
-Within a text the sum over n-grams is one small matrix product per text: the vectors of a
-text's last letters, weighted by counts, times the bound vectors of its letter pairs.
+Within a text the sum over n-grams is a small matrix product: the vectors of a text's last
+letters, weighted by counts, times the bound vectors of its letter pairs, a block of pairs at a
+time, so that a long text of many letters needs no more memory than another.
 
 Nulls: a null text, or one without a letter, gets ``und`` and score 0; rows without a label teach
 nothing.  With nothing to learn from, every text gets ``und``.  Texts of any length are read whole.
@@ -31,6 +32,9 @@ DIMS = 1024
 UNKNOWN = "und"
 SEED = 20_251
 BITS = 21  # of a code point
+#: Letter pairs that are bundled at once, and letters whose vectors are kept: they bound a task's memory.
+BLOCK = 512
+MAX_LETTERS = 16_384
 
 
 @functools.lru_cache(1)
@@ -55,28 +59,43 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Profiles:
-    """Letter vectors, made as they are met."""
+    """Letter vectors, made as they are met; at most ``MAX_LETTERS`` are kept."""
 
     def __init__(self, dims: int = DIMS, seed: int = SEED):
         self.dims, self.seed = dims, seed
+        self.forget()
+
+    def forget(self) -> None:
         self.row: dict[int, int] = {}
-        self.last = np.zeros((0, dims), np.float32)
-        self.middle = np.zeros((0, dims), np.float32)
-        self.first = np.zeros((0, dims), np.float32)
-
-    def rows(self, codes: np.ndarray) -> np.ndarray:
-        missing = [int(c) for c in codes if int(c) not in self.row]
-        if missing:
-            new = np.stack([np.random.default_rng([self.seed, c]).integers(0, 2, self.dims) for c in missing]).astype(np.float32) * 2 - 1
-            for c in missing:
-                self.row[c] = len(self.row)
-            self.last = np.concatenate((self.last, new))
-            self.middle = np.concatenate((self.middle, np.roll(new, 1, axis=1)))
-            self.first = np.concatenate((self.first, np.roll(new, 2, axis=1)))
-        return np.array([self.row[int(c)] for c in codes])
+        self.table = np.zeros((256, self.dims), np.int8)
+
+    def vectors(self, codes: np.ndarray, roll: int = 0) -> np.ndarray:
+        """The vectors of distinct letters, permuted ``roll`` times."""
+        missing = [c for c in codes.tolist() if c not in self.row]
+        if missing and len(self.row) + len(missing) > MAX_LETTERS:
+            self.forget()
+            missing = codes.tolist()
+        for c in missing:
+            if len(self.row) == len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[len(self.row)] = np.random.default_rng([self.seed, c]).integers(0, 2, self.dims) * 2 - 1
+            self.row[c] = len(self.row)
+        out = self.table[[self.row[c] for c in codes.tolist()]].astype(np.float32)
+        return np.roll(out, roll, axis=1) if roll else out
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The sum of the bound vectors of n-grams (sorted keys) times their counts."""
+        """The sum of the bound vectors of n-grams (sorted keys) times their counts, ``BLOCK`` letter pairs at a time."""
+        pair = keys >> BITS
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        out = np.zeros(self.dims)
+        for k in range(0, len(first), BLOCK):
+            end = first[k + BLOCK] if k + BLOCK < len(first) else len(keys)
+            for lo in range(first[k], end, 8 * BLOCK):
+                s = slice(lo, min(end, lo + 8 * BLOCK))
+                out += self._bundle(keys[s], counts[s])
+        return out
+
+    def _bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         mask = (1 << BITS) - 1
         pair = keys >> BITS
         new = np.concatenate(([True], pair[1:] != pair[:-1]))
@@ -85,12 +104,10 @@ class Profiles:
         # Whole numbers: exact in single precision up to 2 ** 24, beyond it in double.
         weights = np.zeros((len(pairs), len(ends)), np.float32 if counts.sum() < 2**24 else np.float64)
         weights[np.cumsum(new) - 1, end_at] = counts
-        letters, at = np.unique(np.concatenate((pairs >> BITS, pairs & mask)), return_inverse=True)
-        row = self.rows(letters)[at]
-        bound = self.first[row[: len(pairs)]] * self.middle[row[len(pairs) :]]
-        end_rows = self.rows(ends)  # may add letters
-        last = self.last[end_rows]
-        return np.einsum("pd,pd->d", bound, weights @ last, dtype=np.float64)
+        firsts, first_at = np.unique(pairs >> BITS, return_inverse=True)
+        middles, middle_at = np.unique(pairs & mask, return_inverse=True)
+        bound = self.vectors(firsts, 2)[first_at] * self.vectors(middles, 1)[middle_at]
+        return np.einsum("pd,pd->d", bound, weights @ self.vectors(ends), dtype=np.float64)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS) -> dict[str, np.ndarray]:

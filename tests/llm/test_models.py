@@ -31,14 +31,34 @@ def test_bundle_is_the_sum_of_bound_vectors():
     p = langid.Profiles(256)
     keys, n = langid.grams("Ab, abc ab")
     want = np.zeros(256)
-    p.rows(np.array([0, *map(ord, "abc")]))
-    v = lambda c: p.last[p.row[c]]
+    v = lambda c: p.vectors(np.array([c]))[0]
     for s in (" ab", "ab ", "b a", " ab", "abc", "bc ", "c a", " ab", "ab "):
         a, b, c = (ord(x) if x != " " else 0 for x in s)
         want += np.roll(v(a), 2) * np.roll(v(b), 1) * v(c)
     assert np.allclose(p.bundle(keys, n), want) and n.sum() == 9
 
 
+def test_bundle_of_many_letters_in_blocks():
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 20_000)))
+    keys, n = langid.grams(text)
+    p = langid.Profiles(64)
+    want = np.zeros(64)
+    for key, c in zip(keys.tolist(), n.tolist()):
+        a, b, z = (p.vectors(np.array([(key >> s) & (2**21 - 1)]))[0] for s in (42, 21, 0))
+        want += c * np.roll(a, 2) * np.roll(b, 1) * z
+    assert np.array_equal(p.bundle(keys, n), want)
+
+
+def test_neighbours_of_few_in_a_leaf(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(800, 6)) * 50
+    rows = [(i, (centres[i % 800] + rng.normal(size=6) * 0.01).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 100 == 0, recall=0.3).groupBy("query_id").count().collect()
+    assert len(got) == 30 and all(r["count"] == 10 for r in got)
+
+
 def test_neighbours_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = {r["vec_id"]: np.array(r["embedding"], float) for r in vectors.collect()}
