@@ -26,3 +26,32 @@ def test_recurring_paragraphs_go(spark):
     assert texts(spark, rows, every_block=True) == {i: f"Story {i}\n\nItem {i}" for i in range(8)}
     alone = [(i, f"http://b.org/{i}", "<body><p>Sold out</p></body>") for i in range(8)]
     assert set(texts(spark, alone, every_block=True).values()) == {"Sold out"}
+
+
+def test_counts_alone_find_the_templates_of_a_site(spark):
+    """On pages whose menus and footers recur, the lists of tags and classes add nothing."""
+    page = lambda i: (
+        f"<body><header><h1>Daily</h1></header><nav><ul><li>Home<li>News</ul></nav><div class=ad>Buy now</div><div><h2>Head {i}</h2><p>Story {i}</p></div>"
+        "<aside><p>Most read</p></aside><footer>All rights</footer><script>x()</script></body>"
+    )
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(12)]
+    want = {i: f"Head {i}\n\nStory {i}" for i in range(12)}
+    assert texts(spark, rows, every_block=True) == want
+    assert texts(spark, rows, every_block=True, lists=False) == want
+
+
+def test_deep_and_long_pages():
+    import time
+
+    start = time.time()
+    blocks, ranges = html_text.parse("<div>x" * 20_000)
+    assert blocks == ["x"] * 20_000 and len(ranges) == 19_999
+    blocks, _ = html_text.parse("<div>" * 5_000 + "<p>a<b>b</b>" * 20_000 + "<li>c" * 2_000 + "</i></q>" * 20_000)
+    assert len(blocks) == 22_000
+    blocks, _ = html_text.parse("<body>" + "<p>long text</p>" * 50_000)
+    assert len(blocks) == 50_000 and time.time() - start < 30
+
+
+def test_equal_blocks_and_ranges():
+    blocks, ranges = html_text.parse("<div><p>a</p></div><div><p>a</p></div><div>b<div>c</div></div>")
+    assert blocks == ["a", "a", "b", "c"] and [r[1:] for r in ranges] == [(0, 1), (1, 2), (3, 4), (2, 4)] and ranges[0][0] == ranges[1][0]
