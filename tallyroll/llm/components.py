@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
     Each round links every neighbour to the smallest known one; stars double their reach, so the
-    number of rounds follows the logarithm of the longest chain.  A node with very many links is
-    a hot key of joins only, which Spark splits; nothing is gathered per node.
+    number of rounds follows the logarithm of the longest chain; it goes on until nothing changes.
+    A node with very many links is a hot key of joins only, which Spark splits; nothing is gathered
+    per node.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
     )
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "links")
+        before, now = now, written(small.where("u <> v").distinct(), "links")
+        discard(before)
         after = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if after == mark:
             break
         mark = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

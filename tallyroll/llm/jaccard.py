@@ -18,7 +18,8 @@ two sets differs in at most as many bits as their symmetric difference has shing
   So no link between two components is missed, and pairs beyond the bound never become rows.
 
 Nulls and empty texts have no shingles and link with nothing.  Very long texts are read whole.
-Repeated rows are copies.  Nodes are 64-bit digests of sets.
+Repeated rows are copies.  A row without a doc_id links like any other and gets its component's
+smallest id, null if there is none.  Nodes are 64-bit digests of sets.
 """
 
 from __future__ import annotations
@@ -179,15 +180,14 @@ def _draw(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, buc
                 mine = np.array([nodes[i] for i in distinct], np.int64)
                 where = (key % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    part = order[cuts[b] : cuts[b + 1]]
-                    if len(part):
-                        own = owner[part]
-                        o = np.argsort(own, kind="stable")
-                        who, counts = np.unique(own, return_counts=True)
-                        short = (key[part][o] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                        out.append((b, PAIR, b"".join((len(who).to_bytes(4, "little"), mine[who].tobytes(), counts.astype("<u4").tobytes(), short.tobytes()))))
+                start = np.flatnonzero(np.concatenate(([True], where[order][1:] != where[order][:-1]))) if len(order) else []
+                for lo, hi in zip(start, np.append(start[1:], len(order))):
+                    part = order[lo:hi]
+                    own = owner[part]
+                    o = np.argsort(own, kind="stable")
+                    who, counts = np.unique(own, return_counts=True)
+                    short = (key[part][o] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                    out.append((int(where[part[0]]), PAIR, b"".join((len(who).to_bytes(4, "little"), mine[who].tobytes(), counts.astype("<u4").tobytes(), short.tobytes()))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
@@ -245,6 +245,11 @@ def _meet(part: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else FOUND_ARROW.empty_table()
 
 
+def _row(doc_id):
+    """The id by which a set's text is found again; rows without an id share one."""
+    return F.coalesce(doc_id, F.lit(-(2**63)))
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     right = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -259,8 +264,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
 
     near = written(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a long, b long"), "jaccard-near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    owners = wanted.join(nodes, "node").select(F.col("first").alias("_first"), "node")
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_first"), F.col(f"`{text}`").alias("_t")).join(owners, "_first")
+    owners = wanted.join(nodes, "node").select("row", "node")
+    source = docs.select(_row(F.col(f"`{doc_id}`").cast("long")).alias("row"), F.col(f"`{text}`").alias("_t")).join(owners, "row")
 
     def sets(batches):
         for b in batches:
@@ -297,7 +302,9 @@ def _close_pairs(members: DataFrame, root: DataFrame, nodes: DataFrame, percent:
     rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sketch")
-    deal = F.pmod(F.xxhash64("group", "i", "j"), F.lit(4096)).cast("int")
+    rows = written(rows, "jaccard-torn")
+    tasks = max(64, -(-rows.count() // (4 * BLOCK_ROWS)))  # as many as the rows need, whatever their number
+    deal = F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks)).cast("int")
 
     def meet(part: pa.Table) -> pa.Table:
         part = part.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending")])
@@ -342,7 +349,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     drawn = _draw(docs, text, doc_id, width, percent, buckets)
     found = written(drawn.groupBy("bucket").applyInArrow(_meet, FOUND), "jaccard-found")
     every = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "sketch")
-    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(_row(F.col("doc_id"))).alias("row"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node"))
 
@@ -362,7 +369,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
             break
         most *= 8
 
-    placed = every.join(root, "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("sketch", "root")
-    least = placed.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    done = placed.join(least, "_root", "left")
+    # Components of the distinct sets first, so that the rows are joined once.
+    placed = nodes.select("node", "first").join(root, "node", "left").withColumn("_root", F.coalesce("root", "node"))
+    least = placed.groupBy("_root").agg(F.min("first").alias("component_id"))
+    component = written(placed.join(least, "_root").select("node", "component_id"), "jaccard-components")
+    done = every.drop("sketch").join(component, "node", "left")
     return done.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))

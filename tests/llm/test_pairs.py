@@ -90,3 +90,11 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(91)) and got[200] == got[201] == 200
     assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_an_id_link_too(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (4, " ".join([*words, "x"])), (None, " ".join(f"v{i}" for i in range(30))), (None, None), (3, "alone here is one")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.link(df).collect())
+    assert got == [(0, 0, 0), (0, 27, 0), (0, 57, 4), (3, 1, 3), (4, 58, 4)]
