@@ -35,6 +35,8 @@ BITS = 21  # of a code point
 #: Letter pairs that are bundled at once, and letters whose vectors are kept: they bound a task's memory.
 BLOCK = 512
 MAX_LETTERS = 16_384
+#: Texts that are read at once.
+ROWS = 1000
 
 
 @functools.lru_cache(1)
@@ -116,7 +118,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = D
 
     def count(batches):
         total: dict[str, dict] = {}
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             by: dict[str, list] = {}
             for lg, tx in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by.setdefault(lg, []).append(grams(tx))
@@ -163,7 +165,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
 
     def apply(batches):
         profiles = Profiles(dims)
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             langs, scores = [], []
             for tx in batch.column(text).to_pylist():
                 keys, n = grams(tx or "")

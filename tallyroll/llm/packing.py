@@ -41,10 +41,12 @@ from .word_ids import encoder
 LENGTH = 4096
 END_ID = 2
 GRAIN = 32
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Points at which the tokens due so far are measured, where sources run dry at different times.
 KNOTS = 512
 GROUP = 4096
+#: Texts that are encoded at once.
+ROWS = 1000
 
 
 def _coded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source: str) -> DataFrame:
@@ -53,7 +55,7 @@ def _coded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source:
     def encode(batches):
         enc, part, given = encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             ids = [np.append(x, end) for x in enc.encode([x or "" for x in batch.column("_t").to_pylist()])]
             blobs = [x.astype("<u4").tobytes() if x.max() > 65535 else b"\0" + x.astype("<u2").tobytes() for x in ids]
             before = []

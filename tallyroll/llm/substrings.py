@@ -8,6 +8,10 @@ All ``length``-byte windows of the corpus that may recur are brought together by
 2. Only runs of shared minimizers go on, dealt by minimizer.  Runs of equal content are one
    string; all its owners but the earliest document are repeats.  This is done once in the task
    that reads them, so a passage that a third of all documents hold travels once a task.
+   A minimizer of more than ``HOT_DOCS`` documents (a phrase that many hold in other contexts) is
+   dealt further: its runs are cut by a second minimizer, of another order, which equal windows
+   share too.  Which ones these are is told to all tasks by a filter of fixed size; what it
+   takes for hot by mistake is only cut finer.
 3. In each bucket the distinct strings that share a window code are cut to where they do and
    split in shards; each shard's Burrows-Wheeler transform is built and the shards are merged by
    interleave refinement (``suffixes``).  The merged intervals of suffixes with ``length`` common
@@ -33,9 +37,14 @@ from .suffixes import repeated
 LENGTH = 50
 GRAM = 20
 DOCS_PER_BUCKET = 16_000
+#: Documents whose shared runs go to one task on average, and those of one minimizer that may.
+DOCS_PER_MEETING = 2_000
+HOT_DOCS = 50_000
+HOT_BITS = 20
+PART_BYTES = 8_000_000
 SHARDS = 4
 LOWEST = -(2**63)
-KEYS, TOLD = 0, 1
+KEYS, TOLD, MARKS = 0, 1, 2
 RUNS, SPANS = 0, 1
 
 
@@ -57,11 +66,16 @@ def _codes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, window after the last) of each run of windows with one minimizer."""
+def runs(data: bytes, length: int = LENGTH, gram: int = GRAM, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first window, window after the last) of each run of windows with one minimizer.
+
+    ``order``: another number is another order of the grams, so that other grams are least.
+    """
     if len(data) < length:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     m = _codes(_words(np.frombuffer(data, np.uint8)), gram)
+    if order:
+        m = mix(m + np.uint64(order))
     want, have = length - gram + 1, 1
     while have * 2 <= want:
         m = np.minimum(m[:-have], m[have:])
@@ -85,16 +99,32 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _cut_by(where: np.ndarray, buckets: int):
+def _cut_by(where: np.ndarray):
     order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, order[cuts[b] : cuts[b + 1]]
+    start = np.flatnonzero(np.concatenate(([True], where[order][1:] != where[order][:-1]))) if len(order) else []
+    for lo, hi in zip(start, np.append(start[1:], len(order))):
+        yield int(where[order[lo]]), order[lo:hi]
+
+
+def _hot_place(codes: np.ndarray) -> np.ndarray:
+    """Where a code stands in the filter of hot ones."""
+    return (mix(codes) >> np.uint64(64 - HOT_BITS)).astype(np.int64)
 
 
-def _parts(batch, most: int = 24_000_000):
-    """The rows of an Arrow batch, some 24 MB at a time."""
+def _finer(data: bytes, start: np.ndarray, end: np.ndarray, minimizer: np.ndarray, length: int, gram: int):
+    """The runs cut where the minimizer of the second order changes: (start, end, key)."""
+    m2, s2, e2 = runs(data, length, gram, order=1)
+    out_s, out_e, out_k = [], [], []
+    for a, b, m in zip(start.tolist(), end.tolist(), minimizer.tolist()):
+        i, j = np.searchsorted(e2, a, side="right"), np.searchsorted(s2, b, side="left")
+        out_s.append(np.maximum(s2[i:j], a))
+        out_e.append(np.minimum(e2[i:j], b))
+        out_k.append(mix(m2[i:j] ^ np.uint64(m)))
+    return np.concatenate(out_s), np.concatenate(out_e), np.concatenate(out_k)
+
+
+def _parts(batch, most: int = PART_BYTES):
+    """The rows of an Arrow batch, about ``most`` bytes at a time."""
     ids, hashes, data = (batch.column(c) for c in ("doc_id", "h", "data"))
     at, size = 0, 0
     for i in range(len(ids)):
@@ -104,8 +134,14 @@ def _parts(batch, most: int = 24_000_000):
             at, size = i + 1, 0
 
 
-def _shared_minimizers(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(doc_id, h, codes): of each document the minimizers that another one has too."""
+def _small(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """What is left of codes that were dealt to buckets by their remainder and cut to 32 bits."""
+    n = np.uint64(buckets)
+    return ((codes // n) & np.uint64(2**32 - 1)) * n + codes % n
+
+
+def _shared_minimizers(rows: DataFrame, buckets: int, length: int, gram: int, hot_docs: int) -> DataFrame:
+    """(doc_id, h, codes, hot): of each document the minimizers that another one has too; and, as ``hot``, those that very many have."""
 
     def draw(batches):
         for number, batch in enumerate(batches):
@@ -125,58 +161,75 @@ def _shared_minimizers(rows: DataFrame, buckets: int, length: int, gram: int) ->
                 if len(known):
                     k = np.sort(known)
                     out.append((number % buckets, TOLD, _pack(doc_id=ids[owner[k]], h=hashes[owner[k]], code=codes[k])))
-                marks = np.unique(codes[known])
+                marks, owners = np.unique(codes[known], return_counts=True)
                 lone.sort()
-                for b, at in _cut_by((codes[lone] % np.uint64(buckets)).astype(np.int64), buckets):
+                for b, at in _cut_by((codes[lone] % np.uint64(buckets)).astype(np.int64)):
                     mine = lone[at]
                     who, counts = np.unique(owner[mine], return_counts=True)
-                    short = (codes[mine] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                    short = (codes[mine] // np.uint64(buckets)).astype("<u4")
                     head = len(who).to_bytes(4, "little") + ids[who].astype(np.int64).tobytes() + hashes[who].tobytes() + counts.astype("<u4").tobytes()
                     out.append((b, KEYS, head + short.tobytes()))
-                for b, at in _cut_by((marks % np.uint64(buckets)).astype(np.int64), buckets):
-                    short = (marks[at] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.append((b, KEYS, (0).to_bytes(4, "little") + short.tobytes()))
+                for b, at in _cut_by((marks % np.uint64(buckets)).astype(np.int64)):
+                    short = (marks[at] // np.uint64(buckets)).astype("<u4")
+                    out.append((b, MARKS, owners[at].astype("<u4").tobytes() + short.tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
-    told = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("codes", pa.binary())])
+    told = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("codes", pa.binary()), ("hot", pa.bool_())])
 
     def meet(part: pa.Table) -> pa.Table:
         bucket = part.column("bucket")[0].as_py()
         out_id, out_h, out_codes = [], [], []
 
-        all_id, all_h, all_code, lone = [], [], [], []
+        all_id, all_h, all_code, times = [], [], [], []  # times: how many documents a mark stands for, 0 for a document's own code
         for kind, blob in zip(part.column("kind").to_pylist(), part.column("blob").to_pylist()):
             if kind == TOLD:
                 t = _unpack(blob)
                 _tell(out_id, out_h, out_codes, t["doc_id"].to_numpy(), t["h"].to_numpy(), t["code"].to_numpy())
                 continue
+            if kind == MARKS:
+                n = len(blob) // 8
+                times.append(np.frombuffer(blob, "<u4", n))
+                all_code.append(np.frombuffer(blob, "<u4", n, 4 * n))
+                all_id.append(np.zeros(n, np.int64))
+                all_h.append(np.zeros(n, np.int64))
+                continue
             n = int.from_bytes(blob[:4], "little")
             ids, hashes = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.int64, n, 4 + 8 * n)
             counts = np.frombuffer(blob, "<u4", n, 4 + 16 * n)
-            short = np.frombuffer(blob, np.uint8, offset=4 + 20 * n).reshape(-1, 6)
-            wide = np.zeros((len(short), 8), np.uint8)
-            wide[:, :6] = short
-            code = wide.view("<u8").ravel()
-            all_code.append(code)
-            all_id.append(np.repeat(ids, counts) if n else np.zeros(len(code), np.int64))
-            all_h.append(np.repeat(hashes, counts) if n else np.zeros(len(code), np.int64))
-            lone.append(np.full(len(code), n > 0))
+            all_code.append(np.frombuffer(blob, "<u4", offset=4 + 20 * n))
+            all_id.append(np.repeat(ids, counts))
+            all_h.append(np.repeat(hashes, counts))
+            times.append(np.zeros(len(all_code[-1]), "<u4"))
+        hot = np.empty(0, np.uint64)
         if all_code:
-            code, ids, hashes, own = (np.concatenate(x) for x in (all_code, all_id, all_h, lone))
+            code, ids, hashes, times = (np.concatenate(x) for x in (all_code, all_id, all_h, times))
             order = np.argsort(code, kind="stable")
             s = code[order]
-            same = s[1:] == s[:-1]
-            again = np.zeros(len(s), bool)
-            again[1:] |= same
-            again[:-1] |= same
-            pick = order[again]
-            pick = np.sort(pick[own[pick]])  # in order of arrival: a document's codes are together
-            _tell(out_id, out_h, out_codes, ids[pick], hashes[pick], code[pick] * np.uint64(buckets) + np.uint64(bucket))
-        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_h, pa.int64()), pa.array(out_codes, pa.binary())], schema=told)
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            size = np.diff(np.append(first, len(s)))
+            pick = order[np.repeat(size > 1, size)]
+            pick = np.sort(pick[times[pick] == 0])  # in order of arrival: a document's codes are together
+            whole = lambda x: x.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+            _tell(out_id, out_h, out_codes, ids[pick], hashes[pick], whole(code[pick]))
+            many = np.add.reduceat(np.maximum(times[order], 1).astype(np.int64), first)
+            hot = whole(s[first[many > hot_docs]])
+        n = len(out_id)
+        if len(hot):
+            out_id.append(0)
+            out_h.append(0)
+            out_codes.append(hot.tobytes())
+        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_h, pa.int64()), pa.array(out_codes, pa.binary()), pa.array(np.arange(len(out_id)) >= n)], schema=told)
 
     drawn = rows.mapInArrow(draw, "bucket int, kind int, blob binary")
-    return drawn.groupBy("bucket").applyInArrow(meet, "doc_id long, h long, codes binary")
+    return drawn.groupBy("bucket").applyInArrow(meet, "doc_id long, h long, codes binary, hot boolean")
+
+
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among the sorted ones."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
 def _tell(out_id: list, out_h: list, out_codes: list, ids, hashes, codes) -> None:
@@ -206,15 +259,31 @@ def _emit_spans(ids, hashes, start, end) -> tuple[list, list, list]:
     return out_id, out_h, out
 
 
-def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _hot_filter(told: DataFrame) -> np.ndarray | None:
+    """Marks of the hot codes, at most ``2 ** HOT_BITS`` of them; None if there are none."""
+
+    def places(batches):
+        for b in batches:
+            for blob in b.column("codes").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hot_place(np.frombuffer(blob, np.uint64))))], names=["place"])
+
+    found = told.where("hot").select("codes").mapInArrow(places, "place long").distinct().collect()
+    if not found:
+        return None
+    marks = np.zeros(1 << HOT_BITS, bool)
+    marks[[r["place"] for r in found]] = True
+    return marks
+
+
+def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_docs: int = HOT_DOCS) -> DataFrame:
     """(doc_id, h, spans) from rows (doc_id not null, h, data): spans are pairs of 64-bit byte places."""
     count = rows.count()
     buckets = max(16, -(-count // DOCS_PER_BUCKET))
-    told = written(_shared_minimizers(rows, buckets, length, gram), "substring-shared")
-    lists = told.groupBy("doc_id", "h").agg(F.collect_list("codes").alias("codes"))
+    told = written(_shared_minimizers(rows, buckets, length, gram, hot_docs), "substring-shared")
+    marks = _hot_filter(told)
+    lists = told.where("not hot").groupBy("doc_id", "h").agg(F.collect_list("codes").alias("codes"))
     with_lists = rows.join(lists, ["doc_id", "h"])
-    low48 = np.uint64((1 << 48) - 1)
-    strings = max(64, buckets)
+    strings = max(64, -(-count // DOCS_PER_MEETING))
 
     def cut(batches):
         for batch in batches:
@@ -226,12 +295,17 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     m, s, e = runs(d, length, gram)
                     mine = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists_[at + i].as_py()]))
                     # Lists hold whole codes, or what is left of them after they were dealt; either may only add runs.
-                    small = ((m // np.uint64(buckets)) & low48) * np.uint64(buckets) + m % np.uint64(buckets)
-                    ok = np.flatnonzero(np.isin(m, mine) | np.isin(small, mine))
-                    text += [d[a : b + length - 1] for a, b in zip(s[ok].tolist(), e[ok].tolist())]
-                    who.append(np.full(len(ok), i))
-                    start.append(s[ok])
-                    minimizer.append(m[ok])
+                    small = _small(m, buckets)
+                    ok = _among(m, mine) | _among(small, mine)
+                    m, s, e, small = m[ok], s[ok], e[ok], small[ok]
+                    if marks is not None and (hot := marks[_hot_place(small)]).any():
+                        # A code told by its own task is whole, but its small form is what the filter knows.
+                        fs, fe, fk = _finer(d, s[hot], e[hot], m[hot], length, gram)
+                        m, s, e = np.append(m[~hot], fk), np.append(s[~hot], fs), np.append(e[~hot], fe)
+                    text += [d[a : b + length - 1] for a, b in zip(s.tolist(), e.tolist())]
+                    who.append(np.full(len(s), i))
+                    start.append(s)
+                    minimizer.append(m)
                 at = last + 1
                 if not text:
                     continue
@@ -246,7 +320,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 if late.any():
                     out.append((int(hashes[0]) % strings, SPANS, _pack(doc_id=doc[late], h=hashes[who[late]], start=start[late], end=(start + size)[late])))
                 keep = np.flatnonzero(~late)
-                for b, k in _cut_by((mix(minimizer[keep]) % np.uint64(strings)).astype(np.int64), strings):
+                for b, k in _cut_by((mix(minimizer[keep]) % np.uint64(strings)).astype(np.int64)):
                     k = keep[k]
                     out.append((b, RUNS, _pack(doc_id=doc[k], h=hashes[who[k]], start=start[k], text=pa.array([text[j] for j in k.tolist()], pa.binary()))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
@@ -319,7 +393,7 @@ def _strings(t: pa.Table, length: int):
     yield doc[row], h[row], a, a + length
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", as_text: bool = False, hot_docs: int = HOT_DOCS) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (the remaining bytes); clashing columns are replaced.
 
     ``as_text``: kept is a string; what a cut leaves of a split character goes too.
@@ -330,7 +404,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST))
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     rows = docs.select(key.alias("doc_id"), hashed.alias("h"), data.alias("data"))
-    spans = find_repeats(rows, length, gram)
+    spans = find_repeats(rows, length, gram, hot_docs)
     spans = spans.groupBy(F.col("doc_id").alias("_doc"), "h").agg(F.collect_list("spans").alias("spans"))
     full = docs.select(*[F.col(f"`{c}`") for c in rest], key.alias("_doc"), hashed.alias("h"), data.alias("data"))
     full = full.join(spans, ["_doc", "h"], "left").drop("_doc", "h")

@@ -26,10 +26,10 @@ import numpy as np
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Units remembered, and places of their table.
-MEMO_UNITS = 400_000
-SLOTS = 1 << 20
+MEMO_UNITS = 300_000
+SLOTS = 1 << 19
 #: Texts are encoded in parts of about so many characters.
-PART_CHARS = 4_000_000
+PART_CHARS = 1_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
@@ -188,7 +188,7 @@ class Encoder:
         high = view[at + 8] & np.where(n > 8, keep[np.maximum(n - 8, 0)], np.uint64(0))
         mixed = _mix(low, high)
         found = np.full(len(short), -1, np.int64)
-        for shift in (44, 20):
+        for shift in (45, 20):
             open_ = np.flatnonzero(found < 0)
             slot = (mixed[open_] >> np.uint64(shift)).astype(np.int64) & (SLOTS - 1)
             same = (self.low[slot] == low[open_]) & (self.high[slot] == high[open_])
@@ -228,7 +228,7 @@ class Encoder:
         self.count = np.concatenate((self.count, lengths))
         self.pool = np.concatenate((self.pool, *ids))
         left = np.arange(len(ids))
-        for shift in (44, 20):
+        for shift in (45, 20):
             slot = (mixed[left] >> np.uint64(shift)).astype(np.int64) & (SLOTS - 1)
             free = self.at[slot] < 0
             left_, slot = left[free], slot[free]

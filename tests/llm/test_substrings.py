@@ -70,7 +70,9 @@ def test_planted_passages(spark):
         rows.append((100 + i, parts[0] + common[at : at + rng.randrange(40, 130)] + parts[1] + (twice if i % 2 else twice[:49]) + parts[2] + (common if i % 7 == 0 else "") + parts[3]))
     rows += rows[20:24] + [(1000, rows[30][1]), (1001, rows[30][1][10:-3])]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, kept int").repartition(6)
-    assert result(substrings.remove_repeats(df)) == brute(rows, 50)
+    want = brute(rows, 50)
+    assert result(substrings.remove_repeats(df)) == want
+    assert result(substrings.remove_repeats(df, hot_docs=2)) == want  # most minimizers are dealt finer
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -79,3 +81,15 @@ def test_documents(spark):
     got = registry.op3_suffix_dedup(spark, SF).collect()
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr) == want
+
+
+def test_a_phrase_that_many_hold(spark):
+    """One rare gram in ever other contexts: its runs go to many buckets."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    whole = [text(70) for _ in range(6)]
+    rows = [(i, text(60) + rng.choice(whole[:3]) + "zzzzzzzzzzzzzzzzzzzzzzzz" + rng.choice(whole[3:]) + text(60)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(substrings.remove_repeats(df, hot_docs=5)) == brute(rows, 50)
+    made = [substrings._finer(t.encode(), *(np.array([x]) for x in (0, len(t) - 49)), np.array([1], np.uint64), 50, 20) for _, t in rows[:2]]
+    assert all(s[0] == 0 and (s[1:] == e[:-1]).all() and e[-1] == len(t) - 49 for (s, e, _), (_, t) in zip(made, rows))
