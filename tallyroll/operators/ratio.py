@@ -29,63 +29,75 @@ def ratio_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """median_ratio, COD, PRD, PRB and MKI of clean pairs; null below three pairs.
 
     The median is needed row by row, so it is joined back by group; the ranks of the Kakwani
-    index are taken within the group.
+    index are taken within the group.  Keys may have any name but those of the result.
     """
-    level = pairs.groupBy(*keys).agg(F.median("r").alias("m"), F.count(F.lit(1)).alias("n"))
-    rows = pairs.join(level, keys).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("sale", "est")))
-    value = F.log2((F.col("sale") + F.col("est") / F.col("m")) / 2)
-    n = F.max("n")
-    gini = lambda c: 2 * F.sum(F.col("rank") * F.col(c)) / (n * F.sum(c)) - (n + 1) / n
+    level = pairs.groupBy(*keys).agg(F.median("r").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    rows = _with_level(pairs, level, keys).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("sale", "est")))
+    value = F.log2((F.col("sale") + F.col("est") / F.col("_m")) / 2)
+    n = F.max("_n")
+    gini = lambda c: 2 * F.sum(F.col("_rank") * F.col(c)) / (n * F.sum(c)) - (n + 1) / n
     ok = lambda c: F.when(n >= 3, c)
     return rows.groupBy(*keys).agg(
         n.alias("n"),
-        ok(F.max("m")).alias("median_ratio"),
-        ok(100 * F.avg(F.abs(F.col("r") - F.col("m"))) / F.max("m")).alias("cod"),
+        ok(F.max("_m")).alias("median_ratio"),
+        ok(100 * F.avg(F.abs(F.col("r") - F.col("_m"))) / F.max("_m")).alias("cod"),
         ok(F.avg("r") / (F.sum("est") / F.sum("sale"))).alias("prd"),
-        ok(F.regr_slope((F.col("r") - F.col("m")) / F.col("m"), value)).alias("prb"),
+        ok(F.regr_slope((F.col("r") - F.col("_m")) / F.col("_m"), value)).alias("prb"),
         ok(F.try_divide(gini("est"), gini("sale"))).alias("mki"),
     )
 
 
+def _with_level(pairs: DataFrame, level: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pair with its group's row; a null key is a group too."""
+    if not keys:
+        row = level.first()
+        return pairs.withColumns({c: F.lit(row[c]) for c in level.columns})
+    side = level.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return pairs.join(side, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def vertical_equity(pairs: DataFrame, keys: list[str], z: float = 1.64) -> DataFrame:
     """The vertical equity indicator per group with its significance and verdict.
 
     Percentile groups by a value proxy (half price, half level-adjusted estimate): 2 from 20
-    pairs, 4 from 51, 10 from 501.  Medians have a rank-based interval of ``z``.
+    pairs, 4 from 51, 10 from 501.  Medians have a rank-based interval of ``z``.  Keys may have
+    any name but those of the result.
     """
-    level = pairs.groupBy(*keys).agg(F.median("r").alias("m"), F.count(F.lit(1)).alias("n"))
-    n_groups = F.when(F.col("n") < 20, 0).when(F.col("n") <= 50, 2).when(F.col("n") <= 500, 4).otherwise(10)
-    rows = pairs.join(level, keys).withColumn("g_n", n_groups).withColumn("proxy", 0.5 * F.col("sale") + 0.5 * (F.col("est") / F.col("m")))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("proxy", "est", "sale")) - 1
-    rows = rows.where("g_n > 0").withColumn("g", F.floor(place * F.col("g_n") / F.col("n")).cast("int"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "g").orderBy("r")) - 1)
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "g")))
-    offset = F.ceil(z * F.sqrt(F.col("size").cast("double")) / 2 + F.when(F.col("size") % 2 == 0, 0.5).otherwise(0.0))
-    half = F.floor(F.col("size") / 2)
-    odd = F.col("size") % 2 == 1
+    level = pairs.groupBy(*keys).agg(F.median("r").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    count = F.when(F.col("_n") < 20, 0).when(F.col("_n") <= 50, 2).when(F.col("_n") <= 500, 4).otherwise(10)
+    rows = _with_level(pairs, level, keys).withColumn("_groups", count).withColumn("_proxy", 0.5 * F.col("sale") + 0.5 * (F.col("est") / F.col("_m")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_proxy", "est", "sale")) - 1
+    rows = rows.where("_groups > 0").withColumn("_g", F.floor(place * F.col("_groups") / F.col("_n")).cast("int"))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_g").orderBy("r")) - 1)
+    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_g")))
+    offset = F.ceil(z * F.sqrt(F.col("_size").cast("double")) / 2 + F.when(F.col("_size") % 2 == 0, 0.5).otherwise(0.0))
+    half = F.floor(F.col("_size") / 2)
+    odd = F.col("_size") % 2 == 1
     low = F.greatest(F.lit(0), F.when(odd, half - offset).otherwise(half - offset))
-    high = F.least(F.col("size") - 1, F.when(odd, half + offset).otherwise(half - 1 + offset))
-    groups = rows.groupBy(*keys, "g").agg(
-        F.max("m").alias("m"),
-        F.max("n").alias("n"),
-        F.max("g_n").alias("g_n"),
-        F.median("r").alias("med"),
-        F.min(F.when(F.col("k") == low, F.col("r"))).alias("lo"),
-        F.min(F.when(F.col("k") == high, F.col("r"))).alias("hi"),
+    high = F.least(F.col("_size") - 1, F.when(odd, half + offset).otherwise(half - 1 + offset))
+    groups = rows.groupBy(*keys, "_g").agg(
+        F.max("_m").alias("_m"),
+        F.max("_groups").alias("_groups"),
+        F.median("r").alias("_med"),
+        F.min(F.when(F.col("_k") == low, F.col("r"))).alias("_lo"),
+        F.min(F.when(F.col("_k") == high, F.col("r"))).alias("_hi"),
     )
-    at = lambda c, g: F.max(F.when(F.col("g") == g, F.col(c)))
+    at = lambda c, g: F.max(F.when(F.col("_g") == g, F.col(c)))
     ends = groups.groupBy(*keys).agg(
-        F.max("m").alias("m"), F.max("n").alias("n"), F.max("g_n").alias("n_groups"),
-        *[at(c, 0).alias(f"{c}_first") for c in ("med", "lo", "hi")],
-        *[at(c, F.col("g_n") - 1).alias(f"{c}_last") for c in ("med", "lo", "hi")],
+        F.max("_m").alias("_m"), F.max("_groups").alias("n_groups"),
+        *[at(c, 0).alias(f"{c}_first") for c in ("_med", "_lo", "_hi")],
+        *[at(c, F.col("_groups") - 1).alias(f"{c}_last") for c in ("_med", "_lo", "_hi")],
     )
-    up = F.col("med_last") >= F.col("med_first")
-    gap = 100 * (F.when(up, F.col("lo_last") - F.col("hi_first")).otherwise(F.col("lo_first") - F.col("hi_last"))) / F.col("m")
-    out = ends.withColumn("vei", 100 * (F.col("med_last") - F.col("med_first")) / F.col("m")).withColumn("gap", gap)
-    out = out.withColumn("significance", F.when((F.abs("vei") > 10) & (F.col("gap") > 0), F.col("gap")))
+    up = F.col("_med_last") >= F.col("_med_first")
+    gap = 100 * (F.when(up, F.col("_lo_last") - F.col("_hi_first")).otherwise(F.col("_lo_first") - F.col("_hi_last"))) / F.col("_m")
+    out = ends.withColumn("vei", 100 * (F.col("_med_last") - F.col("_med_first")) / F.col("_m")).withColumn("_gap", gap)
+    out = out.withColumn("significance", F.when((F.abs("vei") > 10) & (F.col("_gap") > 0), F.col("_gap")))
     out = out.withColumn("verdict", F.when(F.col("significance") > 10, "unacceptable").otherwise("acceptable"))
-    return level.select(*keys, "n").join(out.drop("n", "m"), keys, "left").select(
-        *keys, "n", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "vei", "significance",
+    side = out.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(1).alias("_one"), "n_groups", "vei", "significance", "verdict")
+    same = [F.lit(1) == F.col("_one"), *[F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]]
+    return level.join(side, same, "left").select(
+        *keys, F.col("_n").alias("n"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "vei", "significance",
         F.coalesce("verdict", F.lit("insufficient_sample")).alias("verdict"),
     )
 
@@ -115,15 +127,15 @@ def ends_by(pairs: DataFrame, by: str, keys: list[str]) -> DataFrame:
 
 def tier_redistribution(df: DataFrame, assessed: str, value: str, keys: list[str]) -> DataFrame:
     """Per equal-count fifth by value: its share of assessment less its share of value, and the bottom two fifths' sum."""
-    rows = df.withColumns({"a": positive(assessed), "v": positive(value)}).where("a is not null and v is not null")
+    rows = df.withColumns({"_a": positive(assessed), "_v": positive(value)}).where("_a is not null and _v is not null")
     w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy("v", "a")) - 1
-    rows = rows.withColumn("tier", (F.floor(place * 5 / F.count(F.lit(1)).over(w)) + 1).cast("int"))
-    tiers = rows.groupBy(*keys, "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("v").alias("v"))
+    place = F.row_number().over(w.orderBy("_v", "_a")) - 1
+    rows = rows.withColumn("_tier", (F.floor(place * 5 / F.count(F.lit(1)).over(w)) + 1).cast("int"))
+    tiers = rows.groupBy(*keys, "_tier").agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_a"), F.sum("_v").alias("_v"))
     share = lambda c: F.col(c) / F.sum(c).over(w)
-    out = tiers.withColumn("over_share", share("a") - share("v"))
-    bottom = F.sum(F.when(F.col("tier") <= 2, F.col("over_share"))).over(w)
-    return out.select(*keys, "tier", "n", "over_share", bottom.alias("bottom40_over_share"))
+    out = tiers.withColumn("_over", share("_a") - share("_v"))
+    bottom = F.sum(F.when(F.col("_tier") <= 2, F.col("_over"))).over(w)
+    return out.select(*keys, F.col("_tier").alias("tier"), F.col("_n").alias("n"), F.col("_over").alias("over_share"), bottom.alias("bottom40_over_share"))
 
 
 def interval_row(df: DataFrame, low: str, high: str, actual: str, keys: list[str]) -> DataFrame:
