@@ -40,7 +40,7 @@ def geo_tract_join(spark, sf_dir):
     f"""WITH p AS (SELECT c_custkey AS point_id, {XY} FROM customer), s AS (SELECT s_suppkey % 100 AS id, CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS x1, CAST((s_suppkey * 104729) % 10009 AS DOUBLE) AS y1 FROM supplier),
 d AS (SELECT point_id, x_m, y_m, x1, y1, x1 + 500 AS x2, y1 + 300 AS y2, least(greatest(((x_m - x1) * 500 + (y_m - y1) * 300) / 340000.0e0, 0), 1) AS t FROM p, s),
 m AS (SELECT point_id, min(sqrt((x_m - x1 - t * 500) ** 2 + (y_m - y1 - t * 300) ** 2)) AS d FROM d GROUP BY point_id)
-SELECT point_id, {r("CASE WHEN d <= 1500 THEN d END", "distance")} FROM m"""
+SELECT point_id, {r("d", "distance")} FROM m"""
 )
 def geo_nearest_distance(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").selectExpr("CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS x1", "CAST((s_suppkey * 104729) % 10009 AS DOUBLE) AS y1")
@@ -91,7 +91,7 @@ def geo_stratified_sample(spark, sf_dir):
 @query(
     f"""WITH p AS (SELECT c_custkey AS id, c_acctbal AS v, {XY} FROM customer), m AS (SELECT avg(v) AS m, var_pop(v) AS s, count(*) AS n FROM p), z AS (SELECT id, v - m AS z, x_m, y_m FROM p, m),
 d AS (SELECT a.id, a.z, b.z AS y, (a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2 AS d, b.id AS o FROM z a JOIN z b ON a.id <> b.id),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS k FROM d WHERE d <= 4000000), l AS (SELECT id, avg(y) AS lag FROM k WHERE k <= 10 GROUP BY id)
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS k FROM d), l AS (SELECT id, avg(y) AS lag FROM k WHERE k <= 10 GROUP BY id)
 SELECT max(n) AS n, {r("avg(z * coalesce(lag, 0)) / max(s)", "morans_i")} FROM z LEFT JOIN l USING (id), m"""
 )
 def met_morans_i(spark, sf_dir):

@@ -92,9 +92,11 @@ def scr_review_queue(spark, sf_dir):
 
 @query(
     f"""WITH {FIN}, p AS (SELECT parcel_id, district AS a, display_median AS m, {V} / display_median AS q FROM scr WHERE display_median > 0 AND {V} > 0),
-f AS (SELECT x.parcel_id, count(*) AS n_peers, median(y.q) AS pm, avg(CAST(y.q < x.q AS INT)) AS sb, any_value(x.q) AS own FROM p x JOIN p y ON x.a = y.a AND x.parcel_id <> y.parcel_id AND y.m <= x.m * 1.5 AND y.m >= x.m / 1.5 GROUP BY x.parcel_id)
-SELECT parcel_id, n_peers, {r("CASE WHEN n_peers >= 20 THEN pm END", "peer_median")}, {r("CASE WHEN n_peers >= 20 THEN sb END", "share_below")},
-CASE WHEN n_peers >= 20 THEN CASE WHEN own / pm - 1 > 0.05 THEN 'above_peers' WHEN own / pm - 1 < -0.05 THEN 'below_peers' ELSE 'in_line' END END AS verdict FROM f"""
+f AS (SELECT x.parcel_id, count(*) AS n, median(y.q) AS m, avg(CAST(y.q < x.q AS INT)) AS sb FROM p x JOIN p y ON x.a = y.a AND x.parcel_id <> y.parcel_id AND y.m <= x.m * 1.5 AND y.m >= x.m / 1.5 GROUP BY x.parcel_id),
+g AS (SELECT x.parcel_id, count(*) AS n, median(y.q) AS m, avg(CAST(y.q < x.q AS INT)) AS sb FROM p x JOIN p y ON x.a = y.a AND x.parcel_id <> y.parcel_id WHERE x.parcel_id NOT IN (SELECT parcel_id FROM f WHERE n >= 40) GROUP BY x.parcel_id),
+h AS (SELECT p.parcel_id, p.q AS own, CASE WHEN f.n >= 40 THEN f.n WHEN g.n >= 40 THEN g.n ELSE coalesce(f.n, 0) END AS n_peers, CASE WHEN f.n >= 40 THEN f.m WHEN g.n >= 40 THEN g.m END AS pm, CASE WHEN f.n >= 40 THEN f.sb WHEN g.n >= 40 THEN g.sb END AS sb
+  FROM p LEFT JOIN f USING (parcel_id) LEFT JOIN g USING (parcel_id))
+SELECT parcel_id, n_peers, {r("pm", "peer_median")}, {r("sb", "share_below")}, CASE WHEN pm IS NOT NULL THEN CASE WHEN own / pm - 1 > 0.05 THEN 'above_peers' WHEN own / pm - 1 < -0.05 THEN 'below_peers' ELSE 'in_line' END END AS verdict FROM h"""
 )
 def scr_equity_context(spark, sf_dir):
     return screen.equity_context(_screen(spark, sf_dir), "district")

@@ -100,31 +100,32 @@ def _points(spark, sf_dir):
     return sales(spark, sf_dir).withColumns({"target_id": F.col("sale_id"), "evidence_id": F.col("sale_id"), "q": quarter_number("sale_date").cast("long"), "v": F.ln(F.col("sale_price") / F.col("area"))})
 
 
-#: How far neighbours are sought first: some 120 points on average, whatever the number of rows.  Targets short of
-#: neighbours look farther; the SQL still ends here.
-REACH = "ceil(sqrt(4.0e9 / (SELECT greatest(count(*), 1) FROM orders)))"
+#: How far neighbours are sought first: some 120 points on average.  Targets short of neighbours look farther.
+REACH_POINTS = 4.0e9
 
 
 def _reach(spark, sf_dir) -> float:
-    return float(math.ceil(math.sqrt(4.0e9 / max(1, read(spark, sf_dir, "orders").count()))))
+    return float(math.ceil(math.sqrt(REACH_POINTS / max(1, read(spark, sf_dir, "orders").count()))))
 
 
-_KNN = """c AS (SELECT a.sale_id AS target_id, b.v, sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2) AS d, b.sale_id AS o
-  FROM p a JOIN p b ON abs(a.x_m - b.x_m) <= {1} AND abs(a.y_m - b.y_m) <= {1} AND a.parcel_id <> b.parcel_id AND {0}),
-k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c WHERE d <= {1})"""
+# The k nearest at any distance: first how far the k-th is, then which they are, ties by id.
+_D = "sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2)"
+_KNN = f"""m AS (SELECT a.sale_id AS target_id, list_max(min({_D}, {{1}})) AS far FROM p a JOIN p b ON a.parcel_id <> b.parcel_id AND {{0}} GROUP BY a.sale_id),
+c AS (SELECT a.sale_id AS target_id, b.v, {_D} AS d, b.sale_id AS o FROM p a JOIN m ON m.target_id = a.sale_id JOIN p b ON a.parcel_id <> b.parcel_id AND {{0}} AND {_D} <= far),
+k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c)"""
 _FOUND = "SELECT target_id, sum(v / (d + 100)) / sum(1 / (d + 100)) AS val, count(*) AS cnt, avg(d) AS dist FROM k WHERE n <= {0} GROUP BY target_id"
 _P = f"{S}, p AS (SELECT *, (year(sale_date) - 1997) * 4 + quarter(sale_date) - 1 AS q, ln(sale_price / area) AS v FROM s)"
 _OUT = f"{r('val', 'knn_value')}, coalesce(cnt, 0) AS knn_n, {r('dist', 'knn_distance')}"
 
 
-@query(f"WITH {_P}, {_KNN.format('b.q < a.q', REACH)}, f AS ({_FOUND.format(15)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id")
+@query(f"WITH {_P}, {_KNN.format('b.q < a.q', 15)}, f AS ({_FOUND.format(15)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id")
 def mkt_knn_asof(spark, sf_dir):
     p = _points(spark, sf_dir)
     return signals.knn(p.select("target_id", "parcel_id", "x_m", "y_m", "q"), p, 15, _reach(spark, sf_dir) / 2, 2, "v", "q", widen=True)
 
 
 @query(
-    f"""WITH {_P}, {_KNN.format("b.area >= 1500 AND b.q < a.q", REACH)}, f AS ({_FOUND.format(10)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id"""
+    f"""WITH {_P}, {_KNN.format("b.area >= 1500 AND b.q < a.q", 10)}, f AS ({_FOUND.format(10)}) SELECT sale_id AS target_id, {_OUT} FROM p LEFT JOIN f ON sale_id = target_id"""
 )
 def mkt_newbuild_knn(spark, sf_dir):
     p = _points(spark, sf_dir)
@@ -134,7 +135,7 @@ def mkt_newbuild_knn(spark, sf_dir):
 @query(
     f"""WITH {_P}, c AS (SELECT t.c_custkey AS target_id, v, sqrt((CAST((c_custkey * 7919) % 10007 AS DOUBLE) - x_m) ** 2 + (CAST((c_custkey * 104729) % 10009 AS DOUBLE) - y_m) ** 2) AS d, sale_id AS o
   FROM customer t JOIN p ON parcel_id <> c_custkey AND sale_date < DATE '{ASOF}' AND date_diff('day', sale_date, DATE '{ASOF}') <= 1825),
-k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c WHERE d <= {REACH}), f AS ({_FOUND.format(15)})
+k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, o) AS n FROM c), f AS ({_FOUND.format(15)})
 SELECT c_custkey AS target_id, {_OUT} FROM customer LEFT JOIN f ON c_custkey = target_id"""
 )
 def mkt_knn_at_date(spark, sf_dir):
