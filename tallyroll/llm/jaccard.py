@@ -14,8 +14,8 @@ two sets differs in at most as many bits as their symmetric difference has shing
 * **Copies.**  Equal sets are one node from the start.  In a group of many sets with one key,
   only links to one pivot are tried at first.  Where that leaves a group in several components,
   the sketches of its members are compared across components, in blocks, and each member's
-  closest pairs within the bound are tried, more and more of them until none is left untried.
-  So no link between two components is missed, and pairs beyond the bound never become rows.
+  closest pairs within the bound are tried; groups with more pairs than that go on, with more and
+  more of them, until none is left untried.  So no link between two components is missed, and pairs beyond the bound never become rows.
 
 Nulls and empty texts have no shingles and link with nothing.  Very long texts are read whole.
 Repeated rows are copies.  A row without a doc_id links like any other and gets its component's
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import roots
 
 WIDTH = 4
@@ -129,8 +129,12 @@ def block_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A parity sketch of at least four bits a shingle; a power of two in length."""
-    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+    """A parity sketch of one to two bits a shingle; a power of two in length.
+
+    Sets that have little in common differ in some 0.4 bits a shingle or more, and the bound of
+    similar ones is 0.22 at most (0.8): that tells them apart, and sketches are what travels most.
+    """
+    bits = max(64, 1 << int(len(tokens) - 1).bit_length())
     flips = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -287,14 +291,15 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     links = written(both.mapInArrow(count, "a long, b long"), "jaccard-links")
+    discard(near, held)
     return links
 
 
 def _close_pairs(members: DataFrame, root: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
     """(a, b, cut): in groups of several components, pairs across components that pass the sketch's bound.
 
-    Each node gives its ``most`` closest; ``cut`` says that it had more.  Groups are dealt to tasks
-    in blocks of ``BLOCK_ROWS`` members, two blocks to a task.
+    Each node gives its ``most`` closest; where it had more, ``cut`` is the group.  Groups are dealt
+    to tasks in blocks of ``BLOCK_ROWS`` members, two blocks to a task.
     """
     placed = members.join(root, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
     torn = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
@@ -329,10 +334,12 @@ def _close_pairs(members: DataFrame, root: DataFrame, nodes: DataFrame, percent:
                 for m in found:
                     a.append(min(ids[k], ids[m]))
                     b.append(max(ids[k], ids[m]))
-                    cut.append(over)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+                    cut.append(group[s] if over else None)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.int64())], names=["a", "b", "cut"])
 
-    return rows.withColumn("deal", deal).groupBy("deal").applyInArrow(meet, "a long, b long, cut boolean")
+    close = written(rows.withColumn("deal", deal).groupBy("deal").applyInArrow(meet, "a long, b long, cut long"), "jaccard-close")
+    discard(rows)
+    return close
 
 
 def _fold(sketch_: bytes, size: int) -> np.ndarray:
@@ -357,7 +364,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     links = _verify(pairs, nodes, docs, text, doc_id, width, percent)
     tried, root, most = pairs, roots(links), 4
     while True:
-        close = written(_close_pairs(members, root, nodes, percent, most), "jaccard-close")
+        close = _close_pairs(members, root, nodes, percent, most)
         more = written(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not more.isEmpty():
             new = _verify(more, nodes, docs, text, doc_id, width, percent)
@@ -365,7 +372,11 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
             if not new.isEmpty():
                 links = links.unionByName(new)
                 root = roots(links)
-        if close.where("cut").isEmpty():
+        # Of the other groups all pairs within the bound have been tried now; links only join components.
+        left = close.where("cut is not null").select(F.col("cut").alias("group")).distinct()
+        members = written(members.join(left, "group", "left_semi"), "jaccard-members")
+        discard(close)
+        if members.isEmpty():
             break
         most *= 8
 
