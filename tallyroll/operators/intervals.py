@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def time_split(df: DataFrame, day: str, key: str, test: float = 0.1, validation: float = 0.1) -> DataFrame:
     """Adds split: the last rows by (day, key) are test, the last of the rest validation.
@@ -30,8 +34,13 @@ def stack_weight(df: DataFrame, a: str, b: str, y: str, keys: list[str]) -> Data
 
 
 def split_quantiles(df: DataFrame, residual: str, keys: list[str], alpha: float = 0.1) -> DataFrame:
-    """Lower and upper conformal offsets of each group: order statistics, infinite where there are too few rows."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    """Lower and upper conformal offsets of each group: order statistics, infinite where there are too few rows.
+
+    Without keys the whole table is one group; its order statistics come from counts per bucket.
+    """
+    if not keys:
+        return _split_quantiles_of_all(df, residual, alpha)
+    w = Window.partitionBy(*keys)
     ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(residual)), "_n": F.count(F.lit(1)).over(w)})
     up = F.ceil((F.col("_n") + 1) * (1 - alpha / 2))
     low = F.col("_n") + 1 - up
@@ -41,6 +50,18 @@ def split_quantiles(df: DataFrame, residual: str, keys: list[str], alpha: float
     return out.withColumns({"lo": F.coalesce("lo", F.lit(-inf)), "hi": F.coalesce("hi", F.lit(inf))})
 
 
+def _split_quantiles_of_all(df: DataFrame, residual: str, alpha: float) -> DataFrame:
+    spark, n = df.sparkSession, df.count()
+    up = math.ceil((n + 1) * (1 - alpha / 2))
+    inf = float("inf")
+    values = df.where(F.col(residual).isNotNull())
+    nulls = n - values.count()  # nulls come first in the order
+    at = lambda k: ranks.kth(values, residual, k - nulls) if 1 <= k <= n else None
+    lo, hi = at(n + 1 - up), at(up)
+    rows = [(n, -inf if lo is None else lo, inf if hi is None else hi)] if n else []
+    return spark.createDataFrame(rows, "n bigint, lo double, hi double")
+
+
 def district_offsets(df: DataFrame, residual: str, district: str, min_rows: int = 200, alpha: float = 0.1) -> DataFrame:
     """Each district's own offsets if it has enough rows, else those of all rows."""
     own = split_quantiles(df, residual, [district], alpha)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known, positive, ratio
+from . import ranks
 
 
 def sale_points(sales: DataFrame, low: float = 10.0, high: float = 2_000.0, areas: tuple[float, float] = (300.0, 10_000.0)) -> DataFrame:
@@ -57,7 +58,7 @@ def encode_levels(fit: DataFrame, df: DataFrame, c: str) -> DataFrame:
 
 def standardise(fit: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """``c_z``: median for nulls, then less the mean over the population deviation of the fit rows; and ``c_missing``."""
-    med = fit.agg(*[F.median(c).alias(c) for c in columns]).first()
+    med = {c: ranks.median(fit, c) for c in columns}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))) for c in columns}
     stats = fit.agg(*[f(filled[c]).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = {f"{c}_z": (filled[c] - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns}
