@@ -1,7 +1,7 @@
 """Market signals of a transfer from earlier transfers: block means, own history, nearest sales.
 
 Every join has an equality key (block and time bucket, parcel, or grid cell), so none becomes a
-nested loop; a hot block is split by time buckets as long as the window.
+nested loop.  A hot block costs no more than its days: daily totals meet, not sales.
 """
 
 from __future__ import annotations
@@ -20,23 +20,37 @@ def _day(c: str):
     return F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
 
 
+def _rolled(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Per (keys, day): weighted sums over the earlier days of the window, from one total a day."""
+    has = F.col("_ppsf").isNotNull()
+    daily = rows.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("n"), F.sum("sale_price").alias("p"), F.count_if(has).alias("m"), F.sum(F.coalesce("_ppsf", F.lit(0.0))).alias("q"))
+    bucket = F.floor(F.col("_day") / WINDOW_DAYS)
+    target = daily.select(*keys, "_day", F.explode(F.array(bucket, bucket - 1)).alias("_t"))
+    peers = daily.select(*keys, F.col("_day").alias("_d"), "n", "p", "m", "q", bucket.alias("_t"))
+    age = F.col("_day") - F.col("_d")
+    w = recency_weight(age)
+    sums = {"w": F.sum(w * F.col("n")), "p": F.sum(w * F.col("p")), "wq": F.sum(w * F.col("m")), "q": F.sum(w * F.col("q")), "n": F.sum("n"), "m": F.sum("m")}
+    near = target.join(peers, [*keys, "_t"]).where((age > 0) & (age <= WINDOW_DAYS))
+    return near.groupBy(*keys, "_day").agg(*[e.alias(f"{tag}_{c}") for c, e in sums.items()])
+
+
 def block_roll(sales: DataFrame, block: str = "block", prefix: str = "block", areas: tuple[float, float] = AREA_RANGE) -> DataFrame:
     """sale_id, weighted mean price and price per area of other parcels' earlier sales in the block, and their number.
 
-    Only sales strictly earlier and at most ``WINDOW_DAYS`` old count.
+    Only sales strictly earlier and at most ``WINDOW_DAYS`` old count.  The weight depends on the two
+    days alone, so days meet instead of sales: the block's totals of each day, less the parcel's own.
+    A block has no more days than the calendar, however many sales.
     """
-    rows = sales.where(F.col(block).isNotNull() & F.col("sale_date").isNotNull()).withColumn("_day", _day("sale_date"))
-    bucket = F.floor(F.col("_day") / WINDOW_DAYS)
-    target = rows.select("sale_id", "parcel_id", F.col(block).alias("_b"), "_day", F.explode(F.array(bucket, bucket - 1)).alias("_t"))
     ppsf = F.when(F.col("area").between(*areas), ratio("sale_price", "area"))
-    peers = rows.select(F.col("parcel_id").alias("_p"), F.col(block).alias("_b"), F.col("_day").alias("_d"), F.col("sale_price").alias("_price"), ppsf.alias("_ppsf"), bucket.alias("_t"))
-    age = F.col("_day") - F.col("_d")
-    near = target.join(peers, ["_b", "_t"]).where((age > 0) & (age <= WINDOW_DAYS) & (F.col("_p") != F.col("parcel_id")))
-    w = recency_weight(age)
-    means = near.groupBy("sale_id").agg(
-        F.try_divide(F.sum(w * F.col("_price")), F.sum(w)).alias(f"{prefix}_price"),
-        F.try_divide(F.sum(w * F.col("_ppsf")), F.sum(F.when(F.col("_ppsf").isNotNull(), w))).alias(f"{prefix}_ppsf"),
-        F.count(F.lit(1)).alias(f"{prefix}_n"),
+    rows = sales.where(F.col(block).isNotNull() & F.col("sale_date").isNotNull())
+    rows = rows.select("sale_id", "parcel_id", F.col(block).alias("_b"), "sale_price", _day("sale_date").alias("_day"), ppsf.alias("_ppsf"))
+    both = rows.join(_rolled(rows, ["_b"], "all"), ["_b", "_day"], "left").join(_rolled(rows, ["_b", "parcel_id"], "own"), ["_b", "parcel_id", "_day"], "left")
+    left = lambda c: F.coalesce(f"all_{c}", F.lit(0)) - F.coalesce(f"own_{c}", F.lit(0))
+    means = both.select(
+        "sale_id",
+        F.when(left("n") > 0, F.try_divide(left("p"), left("w"))).alias(f"{prefix}_price"),
+        F.when(left("m") > 0, F.try_divide(left("q"), left("wq"))).alias(f"{prefix}_ppsf"),
+        left("n").alias(f"{prefix}_n"),
     )
     return sales.select("sale_id").join(means, "sale_id", "left").withColumn(f"{prefix}_n", F.coalesce(f"{prefix}_n", F.lit(0)))
 
