@@ -90,10 +90,17 @@ def mdl_median_calibration(spark, sf_dir):
     return rows.join(level, "brand").select("line", "brand", (F.col("est") / F.col("m")).alias("calibrated"))
 
 
-@query("SELECT c_custkey AS parcel_id, c_name AS address FROM customer WHERE CAST(c_custkey AS VARCHAR) = '77' OR contains(c_name, '077') ORDER BY c_custkey LIMIT 5")
+@query(
+    """WITH a AS (SELECT s_suppkey AS ask_id, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 7 AS VARCHAR) ELSE concat('#', lpad(CAST(s_suppkey * 3 AS VARCHAR), 9, '0')) END AS ask FROM supplier),
+m AS (SELECT ask_id, c_custkey, row_number() OVER (PARTITION BY ask_id ORDER BY c_custkey) AS k FROM a JOIN customer ON CAST(c_custkey AS VARCHAR) = ask OR upper(right(c_name, 10)) = upper(ask)) SELECT ask_id, c_custkey AS parcel_id FROM m WHERE k = 1"""
+)
 def mdl_resolve_parcel(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parcel_id"), F.col("c_name").alias("address"))
-    return c.where((F.col("parcel_id").cast("string") == "77") | F.col("address").contains("077")).orderBy("parcel_id").limit(5)
+    """Each request, an account or an address's end, with the first parcel that it names."""
+    asks = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS ask_id", "CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 7 AS STRING) ELSE concat('#', lpad(CAST(s_suppkey * 3 AS STRING), 9, '0')) END AS ask")
+    names = F.explode(F.array(F.col("c_custkey").cast("string"), F.upper(F.right("c_name", F.lit(10)))))
+    known_as = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parcel_id"), names.alias("_name"))
+    found = asks.withColumn("_name", F.upper("ask")).join(known_as, "_name")
+    return found.groupBy("ask_id").agg(F.min("parcel_id").alias("parcel_id"))
 
 
 @query("SELECT 'residential' AS family, c_custkey AS parcel_id, c_acctbal AS area, CAST(NULL AS INT) AS floor FROM customer WHERE c_nationkey < 3 UNION ALL SELECT 'condo', c_custkey, NULL, c_nationkey FROM customer WHERE c_nationkey > 22")
