@@ -4,8 +4,10 @@
    class or id) is left out, as on many sites it differs from page to page and no count can find
    it.  If the page has an ``article`` or ``main`` element, only blocks inside count.
 2. Every container element is hashed with all its subtree, and with ``every_block`` so are
-   paragraphs, headings, list items and quotations.  The hashes are counted per host in Spark; of
-   pages with equal text one is counted, so that copies of a page count as one.
+   paragraphs, headings, list items and quotations outside ``article`` and ``main``: a sentence that
+   many articles hold inside their article element is text of theirs, a container there is not.
+   The hashes are counted per host in Spark; of pages with equal text one is counted, so that
+   copies of a page count as one.
 3. A subtree that recurs on at least ``min_pages`` of these and a share of ``min_share`` of the
    host's, or on ``sure_pages`` whatever their share, is site template; the blocks inside it are
    deleted.  What holds a page's whole text is none on that page.
@@ -128,7 +130,7 @@ def parse(page: str, hashed: frozenset[str] = CONTAINERS, lists: bool = True) ->
             open_[node.tag] -= 1
             mark = xxhash.xxh64_intdigest("\0".join(node.parts).encode("utf-8", "replace"))
             stack[-1].parts.append(f"{mark:x}")
-            if node.tag in hashed and len(blocks) > node.first:
+            if node.tag in hashed and len(blocks) > node.first and not (node.main and node.tag in LEAVES):
                 ranges.append((mark - (1 << 63), node.first, len(blocks)))
 
     def words(piece):

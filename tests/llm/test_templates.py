@@ -55,3 +55,10 @@ def test_deep_and_long_pages():
 def test_equal_blocks_and_ranges():
     blocks, ranges = html_text.parse("<div><p>a</p></div><div><p>a</p></div><div>b<div>c</div></div>")
     assert blocks == ["a", "a", "b", "c"] and [r[1:] for r in ranges] == [(0, 1), (1, 2), (3, 4), (2, 4)] and ranges[0][0] == ranges[1][0]
+
+
+def test_what_many_articles_say_stays(spark):
+    """A heading or paragraph inside the article element is the article's, a container inside it can be template."""
+    page = lambda i: f"<body><p>By us</p><article><h1>Weather report</h1><p>As every day</p><p>Story {i}</p><div><p>Share this</p></div></article></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(60)]
+    assert texts(spark, rows, every_block=True) == {i: f"Weather report\n\nAs every day\n\nStory {i}" for i in range(60)}
