@@ -140,7 +140,7 @@ def eq_segment_calibration(spark, sf_dir):
 _SCORES = "SELECT c_custkey AS parcel_id, CASE WHEN c_custkey % 3 = 0 THEN 'control' ELSE 'screened' END AS role, CASE WHEN c_custkey % 8 <> 0 THEN c_acctbal / 1000 END AS score FROM customer"
 
 
-@query(f"WITH s AS ({_SCORES}), t AS (SELECT quantile_cont(score, 0.9) AS t FROM s WHERE role = 'control') SELECT parcel_id, {r('score', 'score')}, score > t AS flag FROM s, t WHERE role = 'screened' AND score IS NOT NULL")
+@query(f"WITH s AS ({_SCORES}), t AS (SELECT quantile_cont(score, 0.9) AS t FROM s WHERE role = 'control') SELECT parcel_id, {r('score', 'score', 6)}, score > t AS flag FROM s, t WHERE role = 'screened' AND score IS NOT NULL", digits=6)
 def eq_control_threshold(spark, sf_dir):
     s = read(spark, sf_dir, "customer").selectExpr("c_custkey AS parcel_id", "CASE WHEN c_custkey % 3 = 0 THEN 'control' ELSE 'screened' END AS role", "CASE WHEN c_custkey % 8 <> 0 THEN c_acctbal / 1000 END AS score")
     return rs.control_threshold(s)
