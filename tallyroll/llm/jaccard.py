@@ -129,12 +129,11 @@ def block_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A parity sketch of one to two bits a shingle; a power of two in length.
+    """A parity sketch of two to four bits a shingle; a power of two in length.
 
-    Sets that have little in common differ in some 0.4 bits a shingle or more, and the bound of
-    similar ones is 0.22 at most (0.8): that tells them apart, and sketches are what travels most.
+    With so many, sets up to 0.03 less similar than asked for may pass the bound, and others don't.
     """
-    bits = max(64, 1 << int(len(tokens) - 1).bit_length())
+    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
     flips = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -295,51 +294,64 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
     return links
 
 
-def _close_pairs(members: DataFrame, root: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, cut): in groups of several components, pairs across components that pass the sketch's bound.
+def _torn(members: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, lo) of the groups of several components, and (lo, node, root) of all their members.
 
-    Each node gives its ``most`` closest; where it had more, ``cut`` is the group.  Groups are dealt
-    to tasks in blocks of ``BLOCK_ROWS`` members, two blocks to a task.
+    Groups with the same smallest root are one: near copies share many blocks, and together they
+    are compared once instead of once a block.
     """
     placed = members.join(root, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
-    torn = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rows = placed.join(torn.select("group", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")), "group")
-    rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    torn = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group", "lo")
+    torn = written(torn, "jaccard-groups")
+    return torn, written(placed.join(torn, "group").select("lo", "node", "root").distinct(), "jaccard-torn")
+
+
+def _close_pairs(rows: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, cut): of the torn groups' members, pairs across components that pass the sketch's bound.
+
+    A pair is given by the node whose component has fewer members in the group, so that a large
+    component beside a few single nodes costs no more than these.  Each node gives its ``most``
+    closest; where it had more, ``cut`` is the group.  Groups are dealt to tasks in blocks of
+    ``BLOCK_ROWS`` members, two blocks to a task.
+    """
+    sizes = rows.groupBy("lo", "root").agg(F.count(F.lit(1)).alias("same"))
+    groups = sizes.groupBy("lo").agg(F.ceil(F.sum("same") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["lo", "root"]).join(groups, "lo").join(nodes.select("node", "n", "sketch"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sketch")
-    rows = written(rows, "jaccard-torn")
-    tasks = max(64, -(-rows.count() // (4 * BLOCK_ROWS)))  # as many as the rows need, whatever their number
-    deal = F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks)).cast("int")
+    rows = rows.select("lo", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "same", "n", "sketch")
+    tasks = 64 * max(1, -(-groups.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] // 64)) if not groups.isEmpty() else 64
+    deal = F.pmod(F.xxhash64("lo", "i", "j"), F.lit(tasks)).cast("int")
 
     def meet(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        group, i, j, block, node, root_, n = (part[c].to_numpy() for c in ("group", "i", "j", "block", "node", "root", "n"))
+        part = part.sort_by([("lo", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        group, i, j, block, node, root_, same, n = (part[c].to_numpy() for c in ("lo", "i", "j", "block", "node", "root", "same", "n"))
         sketches = part["sketch"].to_pylist()
         start = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         a, b, cut = [], [], []
         for s, e in zip(start, np.append(start[1:], len(group))):
             size = min(map(len, sketches[s:e]))
             folded = np.stack([_fold(x, size) for x in sketches[s:e]])
-            own, roots_, sizes, ids = block[s:e], root_[s:e], n[s:e], node[s:e]
+            own, roots_, counts, sizes_, ids = block[s:e], root_[s:e], same[s:e], n[s:e], node[s:e]
             for k in range(e - s):
-                bits = np.bitwise_count(folded ^ folded[k]).sum(1, dtype=np.int64)
-                fit = (roots_ != roots_[k]) & ((100 + percent) * bits <= (100 - percent) * (sizes + sizes[k]))
-                fit &= 100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])
+                fit = (counts > counts[k]) | ((counts == counts[k]) & (roots_ > roots_[k]))
+                fit &= 100 * np.minimum(sizes_, sizes_[k]) >= percent * np.maximum(sizes_, sizes_[k])
                 if i[s] != j[s]:
                     fit &= own != own[k]
-                found = np.flatnonzero(fit)
+                others = np.flatnonzero(fit)
+                bits = np.bitwise_count(folded[others] ^ folded[k]).sum(1, dtype=np.int64)
+                near = (100 + percent) * bits <= (100 - percent) * (sizes_[others] + sizes_[k])
+                found, bits = others[near], bits[near]
                 over = len(found) > most
                 if over:
-                    found = found[np.argsort(bits[found], kind="stable")[:most]]
+                    found = found[np.argsort(bits, kind="stable")[:most]]
                 for m in found:
                     a.append(min(ids[k], ids[m]))
                     b.append(max(ids[k], ids[m]))
                     cut.append(group[s] if over else None)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.int64())], names=["a", "b", "cut"])
 
-    close = written(rows.withColumn("deal", deal).groupBy("deal").applyInArrow(meet, "a long, b long, cut long"), "jaccard-close")
-    discard(rows)
-    return close
+    return written(rows.withColumn("deal", deal).groupBy("deal").applyInArrow(meet, "a long, b long, cut long"), "jaccard-close")
 
 
 def _fold(sketch_: bytes, size: int) -> np.ndarray:
@@ -364,7 +376,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     links = _verify(pairs, nodes, docs, text, doc_id, width, percent)
     tried, root, most = pairs, roots(links), 4
     while True:
-        close = _close_pairs(members, root, nodes, percent, most)
+        torn, rows_ = _torn(members, root)
+        close = _close_pairs(rows_, nodes, percent, most)
         more = written(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not more.isEmpty():
             new = _verify(more, nodes, docs, text, doc_id, width, percent)
@@ -373,9 +386,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
                 links = links.unionByName(new)
                 root = roots(links)
         # Of the other groups all pairs within the bound have been tried now; links only join components.
-        left = close.where("cut is not null").select(F.col("cut").alias("group")).distinct()
+        left = torn.join(close.where("cut is not null").select(F.col("cut").alias("lo")).distinct(), "lo", "left_semi").select("group")
         members = written(members.join(left, "group", "left_semi"), "jaccard-members")
-        discard(close)
+        discard(close, torn, rows_)
         if members.isEmpty():
             break
         most *= 8
