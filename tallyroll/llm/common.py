@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,6 +34,19 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings are these inside a ``with`` block, and as before after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends there.
 
@@ -40,12 +54,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark, tag)
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
+    with settings(spark, {CLEAN_SHUFFLES: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,8 +67,3 @@ def discard(*frames: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-
-
-def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
-    """How many parts of about ``each`` bytes hold ``total_bytes``."""
-    return max(least, -(-int(total_bytes or 0) // each))

