@@ -12,7 +12,7 @@ import operator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.lake import scratch
+from ..sources.lake import kept, scratch
 
 POINT = "array<struct<x:double,y:double>>"
 
@@ -280,24 +280,46 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def contiguous_areas(points: DataFrame, area: str, radius: float, min_split: int) -> DataFrame:
-    """point_id, area, parent: pockets of an area apart from its largest one become areas of their own
-    (from ``min_split`` points on), smaller ones join the area of the nearest kept point within reach."""
-    edges = neighbour_edges(points, radius, [area])
-    comp = connected_components(points, edges).join(points, "point_id")
+def vote_areas(parcels: DataFrame, sale_points: DataFrame, k: int = 7, cell: float = 500.0) -> DataFrame:
+    """parcel_id and area: the label that most of the parcel's ``k`` nearest sale points have, ties to the lowest.
+
+    ``parcels``: parcel_id, x_m, y_m; those without a place get a null.  ``sale_points``: point_id, x_m,
+    y_m, area.
+    """
+    t = parcels.select(F.col("parcel_id").alias("target_id"), F.lit(0).alias("parcel_id"), "x_m", "y_m")
+    e = sale_points.select(F.col("point_id").alias("evidence_id"), F.lit(1).alias("parcel_id"), "x_m", "y_m", "area")
+    voted = modal_value(k_nearest(t, e, k, cell, 1, "area").withColumnRenamed("_v", "area"), "target_id", "area")
+    return parcels.select("parcel_id").join(voted.select(F.col("target_id").alias("parcel_id"), "area"), "parcel_id", "left")
+
+
+def pockets(points: DataFrame, area: str, radius: float) -> DataFrame:
+    """point_id, area, component, ``size`` and ``_k``: the connected pockets of each area, the largest one first (ties to the smaller id)."""
+    comp = connected_components(points, neighbour_edges(points, radius, [area])).join(points.select("point_id", area), "point_id")
     sizes = comp.groupBy(area, "component").agg(F.count(F.lit(1)).alias("size"))
-    w = Window.partitionBy(area).orderBy(F.desc("size"), "component")
-    ranked = sizes.withColumn("_k", F.row_number().over(w))
-    comp = comp.join(ranked, [area, "component"])
-    name = F.when(F.col("_k") == 1, F.col(area).cast("string")).when(F.col("size") >= min_split, F.concat(F.col(area).cast("string"), F.lit("."), F.col("component").cast("string")))
-    comp = comp.withColumn("new_area", name)
-    kept = comp.where("new_area is not null")
-    at = lambda c: F.floor(F.col(c) / (4 * radius)).cast("long")
-    span = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    stray = comp.where("new_area is null").withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
-    stray = stray.select("point_id", F.col("x_m").alias("_x"), F.col("y_m").alias("_y"), (at("x_m") + F.col("_dx")).alias("_cx"), (at("y_m") + F.col("_dy")).alias("_cy"))
-    host = kept.select(F.col("point_id").alias("_h"), "x_m", "y_m", F.col("new_area").alias("_a"), at("x_m").alias("_cx"), at("y_m").alias("_cy"))
-    d = F.pow(F.col("x_m") - F.col("_x"), 2) + F.pow(F.col("y_m") - F.col("_y"), 2)
-    nearest = stray.join(host, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "_h", "_a"))["_a"].alias("_near"))
-    out = comp.join(nearest, "point_id", "left")
-    return out.select("point_id", F.coalesce("new_area", "_near", F.col(area).cast("string")).alias("area"), F.col(area).alias("parent"))
+    order = Window.partitionBy(area).orderBy(F.desc("size"), "component")
+    return comp.join(sizes.withColumn("_k", F.row_number().over(order)), [area, "component"])
+
+
+def contiguous_areas(points: DataFrame, area: str, radius: float = 300.0, min_split: int = 50) -> DataFrame:
+    """point_id, area, parent: every area in one piece, parent being the area it was split from.
+
+    Of an area's pockets the largest keeps its name; others become areas of their own from ``min_split``
+    points on; the points of smaller ones join the area of the nearest kept point, however far it
+    is, and take its parent.  Such a point may lie out of reach of its new area, so what is still apart then becomes an area of its own.
+    """
+    located = points.select("point_id", "x_m", "y_m", F.col(area).cast("string").alias("area")).where("area IS NOT NULL AND x_m IS NOT NULL AND y_m IS NOT NULL")
+    first = pockets(located, "area", radius)
+    split = F.concat("area", F.lit("."), F.col("component").cast("string"))
+    named = first.withColumn("new_area", F.when(F.col("_k") == 1, F.col("area")).when(F.col("size") >= min_split, split))
+    named = kept(named.join(located.drop("area"), "point_id"), "pockets")
+    hosts = named.where("new_area IS NOT NULL").select("point_id", "x_m", "y_m", F.struct("new_area", F.col("area").alias("parent")).alias("to"))
+    strays = named.where("new_area IS NULL")
+    t = strays.select(F.col("point_id").alias("target_id"), F.lit(0).alias("parcel_id"), "x_m", "y_m")
+    e = hosts.select(F.col("point_id").alias("evidence_id"), F.lit(1).alias("parcel_id"), "x_m", "y_m", "to")
+    moved = k_nearest(t, e, 1, 4 * radius, 1, "to").select(F.col("target_id").alias("point_id"), F.col("_v")["new_area"].alias("new_area"), F.col("_v")["parent"].alias("parent"))
+    settled = hosts.select("point_id", "to.new_area", "to.parent").unionByName(moved)
+    settled = kept(settled.join(located.drop("area"), "point_id"), "moved")
+    again = pockets(settled.select("point_id", "x_m", "y_m", F.col("new_area").alias("area")), "area", radius)
+    apart = F.concat("area", F.lit("."), F.col("component").cast("string"))
+    final = again.select("point_id", F.when(F.col("_k") == 1, F.col("area")).otherwise(apart).alias("area"))
+    return final.join(settled.select("point_id", "parent"), "point_id")

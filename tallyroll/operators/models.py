@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 SEED = 7
 
 
@@ -66,20 +68,21 @@ def forest_quantiles(fitted: DataFrame, target: DataFrame, key: str, label: str,
     return out.select(key, F.least("_a", "_b").alias("q_low"), F.greatest("_a", "_b").alias("q_high"))
 
 
-def market_areas(points: DataFrame, n_areas: int, columns: tuple[str, ...] = ("x_m", "y_m", "level")) -> DataFrame:
-    """points with area: k-means on the scaled columns."""
-    stages = [
-        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-        KMeans(featuresCol="_scaled", predictionCol="area", k=n_areas, seed=SEED),
-    ]
+def market_areas(points: DataFrame, n_areas: int, columns: tuple[str, ...] = ("x_m", "y_m", "level"), scaled: bool = True) -> DataFrame:
+    """points with area: k-means on the columns, each divided by its deviation where ``scaled``."""
+    stages = [VectorAssembler(inputCols=list(columns), outputCol="_raw")]
+    if scaled:
+        stages.append(StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True))
+    stages.append(KMeans(featuresCol="_scaled" if scaled else "_raw", predictionCol="area", k=n_areas, seed=SEED))
     return Pipeline(stages=stages).fit(points).transform(points).drop("_raw", "_scaled")
 
 
 def districts(points: DataFrame, n_districts: int) -> DataFrame:
-    """area, district, n, level: k-means on the areas' centres with their size and median level."""
-    areas = points.groupBy("area").agg(F.avg("x_m").alias("x_m"), F.avg("y_m").alias("y_m"), F.count(F.lit(1)).alias("n"), F.median("level").alias("level"))
-    return market_areas(areas.withColumnRenamed("area", "_area"), n_districts, ("x_m", "y_m")).select(F.col("_area").alias("area"), F.col("area").alias("district"), "n", "level")
+    """area, district, n, level: k-means on the areas' centres, with their number of points and median level."""
+    areas = points.groupBy("area").agg(F.avg("x_m").alias("x_m"), F.avg("y_m").alias("y_m"))
+    stats = ranks.group_quantiles(points, ["area"], "level", {"level_": 0.5}).withColumnsRenamed({"_n": "n", "level_": "level"})
+    placed = market_areas(areas.withColumnRenamed("area", "_area"), n_districts, ("x_m", "y_m"), scaled=False).select(F.col("_area").alias("area"), F.col("area").alias("district"))
+    return placed.join(stats, "area")
 
 
 def drivers(model, df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -1,12 +1,18 @@
-"""Order statistics of whole tables without sorting them: counts per bucket first, then within a bucket."""
+"""Order statistics of whole tables and of groups of any size, without sorting a large group in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lake import kept
+
 BUCKETS = 4096
 FEW = 100_000
+#: Groups of more rows than this are sorted by range over all tasks; smaller ones each in one.
+IN_ONE_TASK = 1_000_000
 
 
 def kth(df: DataFrame, c: str, k: int) -> float | None:
@@ -37,8 +43,79 @@ def kth(df: DataFrame, c: str, k: int) -> float | None:
 
 def median(df: DataFrame, c: str) -> float | None:
     """The median of a numeric column, the mean of the middle two of an even number."""
+    return quantile(df, c, 0.5)
+
+
+def quantile(df: DataFrame, c: str, share: float) -> float | None:
+    """The ``share`` quantile of a numeric column, interpolated between the two values around it."""
     n = df.where(F.col(c).isNotNull()).count()
     if not n:
         return None
-    a = kth(df, c, (n + 1) // 2)
-    return a if n % 2 else (a + kth(df, c, n // 2 + 1)) / 2
+    at = share * (n - 1)
+    low = int(at)
+    a = kth(df, c, low + 1)
+    return a if at == low else a + (kth(df, c, low + 2) - a) * (at - low)
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """How many rows the largest group has; one number reaches the driver."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Left's rows with right's columns where all keys are alike; a null key is like another null."""
+    side = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    if not keys:
+        row = right.first()
+        return left.withColumns({c: F.lit(row[c]).cast(right.schema[c].dataType) for c in right.columns}) if row else left.limit(0)
+    alike = functools.reduce(Column.__and__, [left[k].eqNullSafe(side[f"_key_{k}"]) for k in keys])
+    return left.join(side, alike, how).drop(*[f"_key_{k}" for k in keys])
+
+
+def running(df: DataFrame, keys: list[str], order: list, name: str, weight: Column | None = None, in_one_task: int | None = None, size: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``weight`` (1 by default) over the group's rows up to and with this one.
+
+    Groups are ordered by ``order`` (names or columns).  Where the largest is too large for one task, the
+    rows are sorted by range over all of them and written; a row's sum is that in its part, plus
+    the sums of the parts before, of which there is one number for each part and group.  ``size``: the
+    largest group's rows, if known.
+    """
+    w = F.lit(1).cast("long") if weight is None else weight
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if (largest_group(df, keys) if size is None else size) <= (IN_ONE_TASK if in_one_task is None else in_one_task):
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(w).over(upto))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_w", w)
+    dealt = kept(dealt.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = kept(dealt.groupBy(*keys, "_part").agg(F.sum("_w").alias("_sum")), "range-sums")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    both = same_keys(dealt, sums, [*keys, "_part"])
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.sum("_w").over(inside) + F.col("_before")).drop("_w", "_part", "_before")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], c: str, shares: dict[str, float], in_one_task: int | None = None, size: int | None = None) -> DataFrame:
+    """keys, ``_n`` rows with a value, and for each name of ``shares`` that quantile of ``c``, interpolated.
+
+    Small groups go by Spark's own percentile, which holds their distinct values in memory; where
+    the largest is too large for that, the values are ranked over all tasks and those around each
+    quantile picked out.
+    """
+    rows = df.where(F.col(c).isNotNull())
+    if (largest_group(rows, keys) if size is None else size) <= (IN_ONE_TASK if in_one_task is None else in_one_task):
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(c, F.lit(s)).alias(name) for name, s in shares.items()])
+    ranked = kept(running(rows.select(*keys, F.col(c).cast("double").alias("_v")), keys, ["_v"], "_at", in_one_task=in_one_task, size=size), "ranked")
+    n = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    both = same_keys(ranked, n, keys).withColumn("_at", F.col("_at") - 1)
+
+    def at(share):
+        place = F.lit(share) * (F.col("_n") - 1)
+        low = F.max(F.when(F.col("_at") == F.floor(place), F.col("_v")))
+        high = F.max(F.when(F.col("_at") == F.ceil(place), F.col("_v")))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return both.groupBy(*keys).agg(F.max("_n").alias("_n"), *[at(s).alias(name) for name, s in shares.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import digitize, positive, ratio
+from . import ranks
 
 
 def clean_pairs(df: DataFrame, estimate: str, sale: str) -> DataFrame:
@@ -29,10 +30,12 @@ def ratio_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """median_ratio, COD, PRD, PRB and MKI of clean pairs; null below three pairs.
 
     The median is needed row by row, so it is joined back by group; the ranks of the Kakwani
-    index are taken within the group.  Keys may have any name but those of the result.
+    index are taken within the group, over all tasks where it is large.  Keys may have any name but
+    those of the result; a null key is a group.
     """
-    level = pairs.groupBy(*keys).agg(F.median("r").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    rows = _with_level(pairs, level, keys).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("sale", "est")))
+    size = ranks.largest_group(pairs, keys)
+    level = ranks.group_quantiles(pairs, keys, "r", {"_m": 0.5}, size=size)
+    rows = ranks.running(ranks.same_keys(pairs, level, keys), keys, ["sale", "est"], "_rank", size=size)
     value = F.log2((F.col("sale") + F.col("est") / F.col("_m")) / 2)
     n = F.max("_n")
     gini = lambda c: 2 * F.sum(F.col("_rank") * F.col(c)) / (n * F.sum(c)) - (n + 1) / n
@@ -47,16 +50,6 @@ def ratio_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _with_level(pairs: DataFrame, level: DataFrame, keys: list[str]) -> DataFrame:
-    """Each pair with its group's row; a null key is a group too."""
-    if not keys:
-        row = level.first()
-        return pairs.withColumns({c: F.lit(row[c]) for c in level.columns})
-    side = level.withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return pairs.join(side, same).drop(*[f"_key_{k}" for k in keys])
-
-
 def vertical_equity(pairs: DataFrame, keys: list[str], z: float = 1.64) -> DataFrame:
     """The vertical equity indicator per group with its significance and verdict.
 
@@ -64,22 +57,26 @@ def vertical_equity(pairs: DataFrame, keys: list[str], z: float = 1.64) -> DataF
     pairs, 4 from 51, 10 from 501.  Medians have a rank-based interval of ``z``.  Keys may have
     any name but those of the result.
     """
-    level = pairs.groupBy(*keys).agg(F.median("r").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    size = ranks.largest_group(pairs, keys)
+    level = ranks.group_quantiles(pairs, keys, "r", {"_m": 0.5}, size=size)
     count = F.when(F.col("_n") < 20, 0).when(F.col("_n") <= 50, 2).when(F.col("_n") <= 500, 4).otherwise(10)
-    rows = _with_level(pairs, level, keys).withColumn("_groups", count).withColumn("_proxy", 0.5 * F.col("sale") + 0.5 * (F.col("est") / F.col("_m")))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_proxy", "est", "sale")) - 1
-    rows = rows.where("_groups > 0").withColumn("_g", F.floor(place * F.col("_groups") / F.col("_n")).cast("int"))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_g").orderBy("r")) - 1)
-    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_g")))
+    rows = ranks.same_keys(pairs, level, keys).withColumn("_groups", count).withColumn("_proxy", 0.5 * F.col("sale") + 0.5 * (F.col("est") / F.col("_m")))
+    rows = ranks.running(rows.where("_groups > 0"), keys, ["_proxy", "est", "sale"], "_place", size=size)
+    rows = rows.withColumn("_g", F.floor((F.col("_place") - 1) * F.col("_groups") / F.col("_n")).cast("int"))
+    # The places of a group follow from its number, so its size is known without a count.
+    first = lambda g: F.ceil(g * F.col("_n") / F.col("_groups"))
+    rows = rows.withColumn("_size", first(F.col("_g") + 1) - first(F.col("_g")))
+    rows = ranks.running(rows, [*keys, "_g"], ["r"], "_k", size=-(-size // 2)).withColumn("_k", F.col("_k") - 1)
     offset = F.ceil(z * F.sqrt(F.col("_size").cast("double")) / 2 + F.when(F.col("_size") % 2 == 0, 0.5).otherwise(0.0))
     half = F.floor(F.col("_size") / 2)
     odd = F.col("_size") % 2 == 1
-    low = F.greatest(F.lit(0), F.when(odd, half - offset).otherwise(half - offset))
+    low = F.greatest(F.lit(0), half - offset)
     high = F.least(F.col("_size") - 1, F.when(odd, half + offset).otherwise(half - 1 + offset))
+    middle = (F.col("_k") == half) | (~odd & (F.col("_k") == half - 1))
     groups = rows.groupBy(*keys, "_g").agg(
         F.max("_m").alias("_m"),
         F.max("_groups").alias("_groups"),
-        F.median("r").alias("_med"),
+        F.avg(F.when(middle, F.col("r"))).alias("_med"),
         F.min(F.when(F.col("_k") == low, F.col("r"))).alias("_lo"),
         F.min(F.when(F.col("_k") == high, F.col("r"))).alias("_hi"),
     )
@@ -104,9 +101,9 @@ def vertical_equity(pairs: DataFrame, keys: list[str], z: float = 1.64) -> DataF
 
 def iqr_trim(pairs: DataFrame, keys: list[str], width: float = 3.0) -> DataFrame:
     """Pairs with ``is_outlier``: the ratio is more than ``width`` interquartile ranges outside the quartiles."""
-    q = pairs.groupBy(*keys).agg(F.percentile("r", F.lit(0.25)).alias("q1"), F.percentile("r", F.lit(0.75)).alias("q3"))
+    q = ranks.group_quantiles(pairs, keys, "r", {"q1": 0.25, "q3": 0.75}).drop("_n")
     iqr = F.col("q3") - F.col("q1")
-    return pairs.join(q, keys).withColumn("is_outlier", (F.col("r") < F.col("q1") - width * iqr) | (F.col("r") > F.col("q3") + width * iqr))
+    return ranks.same_keys(pairs, q, keys).withColumn("is_outlier", (F.col("r") < F.col("q1") - width * iqr) | (F.col("r") > F.col("q3") + width * iqr))
 
 
 def segments(pairs: DataFrame, category: str, edges: list[float]) -> DataFrame:
@@ -117,20 +114,20 @@ def segments(pairs: DataFrame, category: str, edges: list[float]) -> DataFrame:
 
 def ends_by(pairs: DataFrame, by: str, keys: list[str]) -> DataFrame:
     """Median ratio in the bottom and the top fifth of ``by``."""
-    cut = pairs.groupBy(*keys).agg(F.percentile(by, F.lit(0.2)).alias("lo"), F.percentile(by, F.lit(0.8)).alias("hi"))
-    rows = pairs.join(cut, keys)
-    return rows.groupBy(*keys).agg(
-        F.median(F.when(F.col(by) <= F.col("lo"), F.col("r"))).alias("q1_median"),
-        F.median(F.when(F.col(by) >= F.col("hi"), F.col("r"))).alias("q5_median"),
-    )
+    cut = ranks.group_quantiles(pairs, keys, by, {"lo": 0.2, "hi": 0.8}).drop("_n")
+    rows = ranks.same_keys(pairs, cut, keys)
+    rows = rows.withColumns({"_low": F.when(F.col(by) <= F.col("lo"), F.col("r")), "_high": F.when(F.col(by) >= F.col("hi"), F.col("r"))})
+    low, high = (ranks.group_quantiles(rows, keys, c, {name: 0.5}).drop("_n") for c, name in (("_low", "q1_median"), ("_high", "q5_median")))
+    return ranks.same_keys(low, high, keys)
 
 
 def tier_redistribution(df: DataFrame, assessed: str, value: str, keys: list[str]) -> DataFrame:
     """Per equal-count fifth by value: its share of assessment less its share of value, and the bottom two fifths' sum."""
     rows = df.withColumns({"_a": positive(assessed), "_v": positive(value)}).where("_a is not null and _v is not null")
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy("_v", "_a")) - 1
-    rows = rows.withColumn("_tier", (F.floor(place * 5 / F.count(F.lit(1)).over(w)) + 1).cast("int"))
+    w = Window.partitionBy(*keys)  # over the five tiers
+    rows = ranks.running(rows, keys, ["_v", "_a"], "_place")
+    rows = ranks.same_keys(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")), keys)
+    rows = rows.withColumn("_tier", (F.floor((F.col("_place") - 1) * 5 / F.col("_all")) + 1).cast("int"))
     tiers = rows.groupBy(*keys, "_tier").agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_a"), F.sum("_v").alias("_v"))
     share = lambda c: F.col(c) / F.sum(c).over(w)
     out = tiers.withColumn("_over", share("_a") - share("_v"))

@@ -1,8 +1,6 @@
 """Ratio studies put together from the metrics: convention ladders, certification windows, folds and arms.
 
-Where a study compares estimators, the estimator here is a least-squares line of log price on log
-area (and what the study adds to it), fitted in closed form by group, so that all folds and arms of
-a study are one plan.
+Where a study compares estimators, they are fitted by least squares on all features (``folds``).
 """
 
 from __future__ import annotations
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known
+from . import ranks
 from .ratio import clean_pairs, ends_by, iqr_trim, ratio_metrics, tier_redistribution
 
 METRICS = ("n", "median_ratio", "cod", "prd", "prb", "mki")
@@ -61,7 +60,7 @@ def redistribution(sales: DataFrame, levies: DataFrame, residents: int, least: i
     partial = last.year if last and last.month < 12 else None
     tiers = tier_redistribution(rows, "assessed", "sale_price", keys).groupBy(*keys).agg(F.sum("n").alias("n_sales"), F.max("bottom40_over_share").alias("bottom40"))
     pairs = clean_pairs(rows, "assessed", "sale_price")
-    level = pairs.groupBy(*keys).agg(F.median("r").alias("median_ratio"))
+    level = ranks.group_quantiles(pairs, keys, "r", {"median_ratio": 0.5}).drop("_n")
     ends = ends_by(pairs, "sale", keys)
     out = tiers.where(F.col("n_sales") >= least).join(level, keys).join(ends, keys).join(levies, "year", "left")
     shifted = F.col("bottom40") * F.coalesce("levy", F.lit(0.0))
@@ -76,14 +75,14 @@ def site_cards(sales: DataFrame, least: int = 50) -> DataFrame:
     financed, cash share and cash-to-financed gap of each district with enough of both."""
     pairs = clean_pairs(sales, "assessed", "sale_price")
     moved = clean_pairs(sales.where(~known("cash")).withColumn("_now", F.col("sale_price") * F.exp(F.coalesce("time_adj_log", F.lit(0.0)))), "assessed", "_now")
-    moved = iqr_trim(moved.withColumn("_all", F.lit("all")), ["_all"]).where("NOT is_outlier")
+    moved = iqr_trim(moved, []).where("NOT is_outlier")
     parts = []
     for card, rows in (("full", pairs), ("financed", moved)):
-        m = ratio_metrics(rows.withColumn("_one", F.lit(card)), ["_one"])
+        m = ratio_metrics(rows, [])
         parts.append(m.select(F.lit(card).alias("card"), F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col("n").alias("n"), F.col(c).alias("value")) for c in ("median_ratio", "cod", "prd")])).alias("x")).select("card", "x.*"))
-    cuts = moved.groupBy("_all").agg(F.percentile("sale", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("_cuts"))
-    tier = F.size(F.filter("_cuts", lambda c: c <= F.col("sale"))) + 1
-    tiers = moved.join(cuts, "_all").groupBy(tier.cast("string").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.median("r").alias("value"))
+    cuts = [ranks.quantile(moved, "sale", k / 5) for k in range(1, 5)]
+    tier = sum((F.when(F.col("sale") >= c, 1).otherwise(0) for c in cuts if c is not None), F.lit(1))
+    tiers = ranks.group_quantiles(moved.withColumn("part", tier.cast("string")), ["part"], "r", {"value": 0.5}).withColumnRenamed("_n", "n")
     parts.append(tiers.select(F.lit("tier").alias("card"), "part", "n", "value"))
     by = pairs.groupBy(F.col("district").cast("string").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(known("cash").cast("double")).alias("cash_share"), F.count_if(known("cash")).alias("_c"), F.count_if(~known("cash")).alias("_f"),
@@ -113,12 +112,12 @@ def leakage_split(predictions: DataFrame, permits: DataFrame) -> DataFrame:
 
 def segment_knots(df: DataFrame, prediction: str, actual: str, segments: int = 5) -> DataFrame:
     """segment, n, center and correction of equal-count segments of the prediction, calibrated values never falling."""
-    shares = [k / segments for k in range(1, segments)]
-    edges = df.agg(F.percentile(prediction, F.array(*map(F.lit, shares))).alias("e")).first()["e"] or []
+    edges = [ranks.quantile(df, prediction, k / segments) for k in range(1, segments)]
+    edges = [] if None in edges else edges
     place = sum((F.when(F.col(prediction) >= e, 1).otherwise(0) for e in edges), F.lit(0)) + 1
-    rows = df.withColumn("segment", place).groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n"), F.median(prediction).alias("center"), F.median(F.col(actual) - F.col(prediction)).alias("_c")
-    )
+    placed = df.withColumns({"segment": place, "_off": F.col(actual) - F.col(prediction)})
+    center = ranks.group_quantiles(placed, ["segment"], prediction, {"center": 0.5}).withColumnRenamed("_n", "n")
+    rows = ranks.same_keys(center, ranks.group_quantiles(placed, ["segment"], "_off", {"_c": 0.5}).drop("_n"), ["segment"])
     upto = Window.partitionBy(F.lit(1)).orderBy("segment")  # as many rows as segments
     return rows.select("segment", "n", "center", (F.max(F.col("center") + F.col("_c")).over(upto) - F.col("center")).alias("correction"))
 
@@ -137,46 +136,11 @@ def apply_knots(df: DataFrame, knots: DataFrame, prediction: str) -> DataFrame:
 
 def control_threshold(scores: DataFrame, level: float = 0.9) -> DataFrame:
     """Screened parcels with their score and whether it is above the controls' ``level`` quantile."""
-    limit = scores.where("role = 'control'").agg(F.percentile("score", F.lit(level)).alias("t")).first()["t"]
+    limit = ranks.quantile(scores.where("role = 'control'"), "score", level)
     kept = scores.where("role = 'screened' and score is not null")
     return kept.select("parcel_id", "score", (F.col("score") > F.lit(limit)).alias("flag") if limit is not None else F.lit(None).cast("boolean").alias("flag"))
 
 
-def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, slope and intercept of y on x."""
-    return df.groupBy(*keys).agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
-
-
-def _tested(df: DataFrame, fits: DataFrame, test: DataFrame, keys: list[str], x: str) -> DataFrame:
-    return test.join(fits, keys).withColumn("predicted", F.col("intercept") + F.col("slope") * F.col(x))
-
-
-def rolling_folds(df: DataFrame, period: str, first: int, folds: int, x: str = "log_area", y: str = "log_price") -> DataFrame:
-    """Test rows of each fold with their prediction from all rows of earlier periods.
-
-    ``period``: consecutive chunks numbered from 0; fold f tests period ``first + f``.
-    """
-    numbers = F.array(*[F.lit(i) for i in range(folds)])
-    fits = df.withColumn("fold", F.explode(numbers)).where(F.col(period) < F.col("fold") + first)
-    test = df.where(F.col(period).between(first, first + folds - 1)).withColumn("fold", F.col(period) - first)
-    return _tested(df, line(fits, ["fold"], x, y), test, ["fold"], x)
-
-
-def left_out_folds(df: DataFrame, group: str, least: int, x: str = "log_area", y: str = "log_price") -> DataFrame:
-    """Test rows of each group with at least ``least`` rows, predicted from all other groups.
-
-    The sums of a line over all rows less the group's own are those of the others, so no row is
-    copied once a group.
-    """
-    sums = {"n": F.count(F.lit(1)), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y))}
-    own = df.groupBy(group).agg(*[e.alias(c) for c, e in sums.items()])
-    total = own.agg(*[F.sum(c).alias(c) for c in sums]).first()
-    rest = {c: F.lit(total[c]) - F.col(c) for c in sums}
-    slope = (rest["n"] * rest["sxy"] - rest["sx"] * rest["sy"]) / (rest["n"] * rest["sxx"] - rest["sx"] * rest["sx"])
-    fits = own.where(F.col("n") >= least).withColumn("slope", slope).select(group, "slope", ((rest["sy"] - F.col("slope") * rest["sx"]) / rest["n"]).alias("intercept"))
-    return _tested(df, fits, df, [group], x)
-
-
 def fold_summary(tested: DataFrame, fold: str, price: str = "sale_price") -> DataFrame:
     """One row: folds, and mean, deviation, least and greatest of their COD."""
     pairs = clean_pairs(tested.withColumn("_e", F.exp("predicted")), "_e", price)
@@ -191,35 +155,3 @@ def group_gap(tested: DataFrame, keys: list[str], group: str, actual: str = "log
         F.count_if(known(group)).alias("n_group"), F.count_if(~known(group)).alias("n_rest"),
         (F.median(F.when(known(group), error)) - F.median(F.when(~known(group), error))).alias("gap"),
     )
-
-
-def coarse_and_rich(df: DataFrame, area: str, x: str = "log_area", y: str = "log_price") -> DataFrame:
-    """Every row under two models (column ``model``): one line for all, and one line with a level for each area."""
-    coarse = df.withColumn("_k", F.lit(1)).join(line(df.withColumn("_k", F.lit(1)), ["_k"], x, y), "_k").drop("_k")
-    coarse = coarse.select(*df.columns, (F.col("intercept") + F.col("slope") * F.col(x)).alias("predicted"), F.lit("coarse").alias("model"))
-    means = df.groupBy(area).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    inner = df.join(means, area)
-    slope = inner.agg(F.regr_slope(F.col(y) - F.col("_my"), F.col(x) - F.col("_mx")).alias("s")).first()["s"] or 0.0
-    rich = inner.select(*df.columns, (F.col("_my") + slope * (F.col(x) - F.col("_mx"))).alias("predicted"), F.lit("rich").alias("model"))
-    return coarse.unionByName(rich)
-
-
-def arms_by_training(df: DataFrame, arms: dict[str, str], test: str, x: str = "log_area", y: str = "log_price") -> DataFrame:
-    """The test rows under a line fitted on each arm's rows (column ``arm``)."""
-    out = None
-    for arm, rows in arms.items():
-        fit = df.where(rows).agg(F.regr_slope(F.col(y), F.col(x)).alias("s"), F.regr_intercept(F.col(y), F.col(x)).alias("i")).first()
-        part = df.where(test).withColumns({"predicted": F.lit(fit["i"]) + F.lit(fit["s"]) * F.col(x), "arm": F.lit(arm)})
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def two_features(df: DataFrame, train: str, x: str, z: str, y: str) -> tuple[float, float, float]:
-    """Intercept and slopes of y on x and z by their covariances (z unused where they are collinear)."""
-    v = df.where(train).agg(*[F.avg(c).alias(f"m_{n}") for n, c in (("x", x), ("z", z), ("y", y))], *[F.covar_pop(a, b).alias(n) for n, a, b in (("xx", x, x), ("zz", z, z), ("xz", x, z), ("xy", x, y), ("zy", z, y))]).first()
-    det = v["xx"] * v["zz"] - v["xz"] ** 2
-    if det > 1e-12 * v["xx"] * v["zz"]:
-        b, c = (v["xy"] * v["zz"] - v["zy"] * v["xz"]) / det, (v["zy"] * v["xx"] - v["xy"] * v["xz"]) / det
-    else:
-        b, c = v["xy"] / v["xx"], 0.0
-    return v["m_y"] - b * v["m_x"] - c * v["m_z"], b, c

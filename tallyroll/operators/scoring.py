@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known
+from . import ranks
 from .geometry import k_nearest
 from .ratio_studies import apply_knots
 
@@ -48,9 +49,9 @@ def conformal_knn(targets: DataFrame, calibration: DataFrame, k: int = 500, alph
     evidence = placed.select(F.col("cal_id").alias("evidence_id"), F.lit(-1).cast("long").alias("parcel_id"), "x_m", "y_m", F.col("residual").alias("v"))
     t = targets.select("target_id", F.col("target_id").alias("parcel_id"), "x_m", "y_m")
     local = weighted_offsets(k_nearest(t, evidence, kk, cell, 2, "v"), F.lit(level))
-    ranks = calibration.where("residual is not null").agg(F.percentile("residual", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")).first()["q"] or [None, None]
+    ends = [ranks.quantile(calibration, "residual", q) for q in (alpha / 2, 1 - alpha / 2)]
     out = targets.select("target_id").join(local, "target_id", "left")
-    return out.select("target_id", *[F.coalesce(c, F.lit(q).cast("double")).alias(c) for c, q in zip(("lo", "hi"), ranks)])
+    return out.select("target_id", *[F.coalesce(c, F.lit(q).cast("double")).alias(c) for c, q in zip(("lo", "hi"), ends)])
 
 
 def sigma_design(df: DataFrame, family: str = "residential") -> DataFrame:

@@ -162,14 +162,6 @@ def mdl_point_score(spark, sf_dir):
     return scoring.point_score(d.where("period > 4"), "a", "b", w, knots, "time_adj_log").select("sale_id", "score")
 
 
-@query(f"WITH {D} SELECT style, count(*) AS n, {r('regr_slope(log_price, log_area)', 'slope')}, {r('regr_intercept(log_price, log_area)', 'intercept')} FROM d WHERE NOT cash GROUP BY style")
-def mdl_retail(spark, sf_dir):
-    d = _study_sales(spark, sf_dir).where("NOT cash")
-    fits = rs.line(d, ["style"], "log_area", "log_price")
-    counts = d.groupBy("style").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(fits, counts["style"].eqNullSafe(fits["style"])).select(counts["style"], "n", "slope", "intercept")
-
-
 _SIGMA = {
     "sale_id": "o_orderkey", "knn_distance": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 900 AS DOUBLE) END", "roll_price": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END",
     "style": "CASE o_orderkey % 5 WHEN 0 THEN 'twin' WHEN 1 THEN 'detached' WHEN 2 THEN NULL WHEN 3 THEN 'other' ELSE 'row' END", "new_build": "o_orderkey % 2", "newbuild_n": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 6 END",
@@ -193,16 +185,16 @@ _CAL = "o_orderkey AS cal_id, CAST((o_custkey * 7919) % 10007 AS DOUBLE) AS x_m,
 
 
 @query(
-    f"""WITH t AS (SELECT c_custkey AS target_id, CASE WHEN c_custkey % 10 <> 0 THEN CAST((c_custkey * 7919) % 10007 AS DOUBLE) + 3 END AS x, CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y FROM customer), c AS (SELECT {_CAL} FROM orders WHERE o_orderkey % 8 = 1),
-m AS (SELECT target_id, list_max(min((x - x_m) ** 2 + (y - y_m) ** 2, 40)) AS far FROM t, c WHERE x IS NOT NULL GROUP BY target_id), k AS (SELECT target_id, residual AS v, sqrt((x - x_m) ** 2 + (y - y_m) ** 2) AS d, row_number() OVER (PARTITION BY target_id ORDER BY (x - x_m) ** 2 + (y - y_m) ** 2, cal_id) AS n FROM t JOIN m USING (target_id), c WHERE (x - x_m) ** 2 + (y - y_m) ** 2 <= far),
-w AS (SELECT target_id, v, sum(1 / (d + 250)) OVER (PARTITION BY target_id) AS s, sum(1 / (d + 250)) OVER (PARTITION BY target_id ORDER BY v, d ROWS UNBOUNDED PRECEDING) AS u, sum(1 / (d + 250)) OVER (PARTITION BY target_id ORDER BY v DESC, d ROWS UNBOUNDED PRECEDING) AS e FROM k WHERE n <= 40),
-lv AS (SELECT least(1, 0.95 * 41 / 40.0) - 1e-12 AS l), o AS (SELECT target_id, coalesce(max(v) FILTER (e / s >= l), min(v)) AS lo, coalesce(min(v) FILTER (u / s >= l), max(v)) AS hi FROM w, lv GROUP BY target_id)
+    f"""WITH t AS (SELECT c_custkey AS target_id, CASE WHEN c_custkey % 10 <> 0 THEN CAST((c_custkey * 7919) % 10007 AS DOUBLE) + 3 END AS x, CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y FROM customer), c AS (SELECT {_CAL} FROM orders),
+m AS (SELECT target_id, list_max(min((x - x_m) ** 2 + (y - y_m) ** 2, CAST(least(500, (SELECT count(*) FROM c)) AS BIGINT))) AS far FROM t, c WHERE x IS NOT NULL GROUP BY target_id), k AS (SELECT target_id, residual AS v, sqrt((x - x_m) ** 2 + (y - y_m) ** 2) AS d, row_number() OVER (PARTITION BY target_id ORDER BY (x - x_m) ** 2 + (y - y_m) ** 2, cal_id) AS n FROM t JOIN m USING (target_id), c WHERE (x - x_m) ** 2 + (y - y_m) ** 2 <= far),
+w AS (SELECT target_id, v, sum(1 / (d + 250)) OVER (PARTITION BY target_id) AS s, sum(1 / (d + 250)) OVER (PARTITION BY target_id ORDER BY v, d ROWS UNBOUNDED PRECEDING) AS u, sum(1 / (d + 250)) OVER (PARTITION BY target_id ORDER BY v DESC, d ROWS UNBOUNDED PRECEDING) AS e FROM k WHERE n <= 500),
+lv AS (SELECT least(1, 0.95 * (k + 1) / k) - 1e-12 AS l FROM (SELECT least(500, count(*)) AS k FROM c)), o AS (SELECT target_id, coalesce(max(v) FILTER (e / s >= l), min(v)) AS lo, coalesce(min(v) FILTER (u / s >= l), max(v)) AS hi FROM w, lv GROUP BY target_id)
 SELECT target_id, {r('coalesce(lo, (SELECT quantile_cont(residual, 0.05) FROM c))', 'lo')}, {r('coalesce(hi, (SELECT quantile_cont(residual, 0.95) FROM c))', 'hi')} FROM t LEFT JOIN o USING (target_id)"""
 )
 def mdl_conformal_knn(spark, sf_dir):
     t = read(spark, sf_dir, "customer").selectExpr("c_custkey AS target_id", "CASE WHEN c_custkey % 10 <> 0 THEN CAST((c_custkey * 7919) % 10007 AS DOUBLE) + 3 END AS x_m", "CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y_m")
-    cal = read(spark, sf_dir, "orders").where("o_orderkey % 8 = 1").selectExpr(*_split(_CAL))
-    return scoring.conformal_knn(t, cal, k=40)
+    cal = read(spark, sf_dir, "orders").selectExpr(*_split(_CAL))
+    return scoring.conformal_knn(t, cal)
 
 
 @query(
@@ -227,18 +219,18 @@ def mdl_appeal_points(spark, sf_dir):
     return scoring.appeal_points(spark.sql(_DRIVERS.replace("FROM customer", "FROM _appeal_customer")))
 
 
-@query(f"SELECT o_orderkey AS sale_id, {r('CASE WHEN o_orderkey % 3 = 0 THEN 0.9 ELSE o_custkey % 10 / 10.0 END', 'probability')} FROM orders")
+@query(f"SELECT o_orderkey AS sale_id, {r('CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 100 / 100.0 ELSE o_custkey % 10 / 10.0 END', 'probability')} FROM orders")
 def mdl_transition_reuse(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    stored = o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS sale_id", "0.9E0 AS probability")
+    stored = o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey AS sale_id", "o_orderkey % 100 / 100.0E0 AS probability")
     return scoring.reuse_probability(o.selectExpr("o_orderkey AS sale_id", "o_custkey % 10 / 10.0E0 AS now"), stored, "now").select("sale_id", "probability")
 
 
 @query()
 def mdl_rbf_basis(spark, sf_dir):
     p = sales(spark, sf_dir)
-    centres, bandwidth = scoring.rbf_centres(p, 16)
-    return scoring.rbf_basis(p, centres, bandwidth).select("sale_id", F.aggregate("basis", F.lit(0.0), lambda a, x: a + x).alias("mass"))
+    centres, bandwidth = scoring.rbf_centres(p)
+    return scoring.rbf_basis(p, centres, bandwidth).select("sale_id", F.posexplode("basis").alias("centre", "value"))
 
 
 @query()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import geometry, intervals, models
+from ..operators import comps, geometry, intervals, models
 from .adapters import read, sales
 from .catalog import query, r
 
@@ -112,21 +113,48 @@ def stg_parcel_shapes(spark, sf_dir):
     return geometry.shape_measures(rows.withColumn("ring", geometry.ring_of("g")), "ring").drop("g", "ring")
 
 
+N_AREAS, N_DISTRICTS, VOTES = 350, 18, 7
+
+
+def _sale_points(spark, sf_dir):
+    """Orders as sale points: log price per area less the median of its month."""
+    p = sales(spark, sf_dir).select(F.col("sale_id").alias("point_id"), "x_m", "y_m", F.trunc("sale_date", "month").alias("month"), F.ln(F.col("sale_price") / F.col("area")).alias("v"))
+    months = p.groupBy("month").agg(F.median("v").alias("_m"))
+    return p.join(months, "month").select("point_id", "x_m", "y_m", (F.col("v") - F.col("_m")).alias("level"))
+
+
+def _parcels(spark, sf_dir):
+    return _points(spark, sf_dir).select(F.col("point_id").alias("parcel_id"), F.when(F.col("point_id") % 19 > 0, F.col("x_m") + 3).alias("x_m"), "y_m")
+
+
 @query()
 def geo_market_areas(spark, sf_dir):
-    return models.market_areas(_points(spark, sf_dir).withColumn("level", F.col("c_acctbal")), 12).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+    return geometry.vote_areas(_parcels(spark, sf_dir), models.market_areas(_sale_points(spark, sf_dir), N_AREAS), VOTES)
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS parcel_id, CASE WHEN c_custkey % 19 > 0 THEN CAST((c_custkey * 7919) % 10007 AS DOUBLE) + 3 END AS x, CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y FROM customer),
+s AS (SELECT o_orderkey AS point_id, CAST((o_custkey * 7919) % 10007 AS DOUBLE) AS x_m, CAST((o_custkey * 104729) % 10009 AS DOUBLE) AS y_m, o_orderkey % 5 AS area FROM orders),
+m AS (SELECT parcel_id, list_max(min((x - x_m) ** 2 + (y - y_m) ** 2, {VOTES})) AS far FROM p, s WHERE x IS NOT NULL GROUP BY parcel_id),
+k AS (SELECT parcel_id, area, row_number() OVER (PARTITION BY parcel_id ORDER BY sqrt((x - x_m) ** 2 + (y - y_m) ** 2), point_id) AS k FROM p JOIN m USING (parcel_id), s WHERE (x - x_m) ** 2 + (y - y_m) ** 2 <= far),
+v AS (SELECT parcel_id, area, row_number() OVER (PARTITION BY parcel_id ORDER BY count(*) DESC, area) AS r FROM k WHERE k <= {VOTES} GROUP BY parcel_id, area)
+SELECT p.parcel_id, v.area FROM p LEFT JOIN v ON p.parcel_id = v.parcel_id AND r = 1"""
+)
+def geo_area_vote(spark, sf_dir):
+    points = sales(spark, sf_dir).select(F.col("sale_id").alias("point_id"), "x_m", "y_m", (F.col("sale_id") % 5).alias("area"))
+    return geometry.vote_areas(_parcels(spark, sf_dir), points, VOTES)
 
 
 @query()
 def geo_districts(spark, sf_dir):
-    areas = models.market_areas(_points(spark, sf_dir).withColumn("level", F.col("c_acctbal")), 12)
-    return models.districts(areas, 4)
+    return models.districts(models.market_areas(_sale_points(spark, sf_dir), N_AREAS), N_DISTRICTS)
 
 
 @query()
 def geo_contiguity(spark, sf_dir):
-    p = _points(spark, sf_dir).withColumn("area", F.col("c_nationkey") % 5)
-    return geometry.contiguous_areas(p, "area", 400.0, 20)
+    labels = models.market_areas(_sale_points(spark, sf_dir), N_AREAS)
+    voted = geometry.vote_areas(_parcels(spark, sf_dir), labels, VOTES).join(_parcels(spark, sf_dir), "parcel_id")
+    return geometry.contiguous_areas(voted.withColumnRenamed("parcel_id", "point_id"), "area")
 
 
 NUMERIC, CATEGORICAL = ["area", "x_m", "y_m", "month"], ["priority"]
@@ -184,3 +212,25 @@ def mdl_drivers(spark, sf_dir):
     model = models.fit_arm(rows.where("split = 'fit'"), "ridge", NUMERIC, [], "label")
     found = models.drivers(model, model.transform(rows), "sale_id", NUMERIC)
     return found.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("contribution")).alias("mean_size"))
+
+
+def comps_inputs(spark, sf_dir):
+    """Every customer as a target of the newest month, every order as a sale; both with the leaves of one boosted arm."""
+    c = read(spark, sf_dir, "customer")
+    place = {"lon": F.lit(-75.3) + F.col("x_m") / 85_000, "lat": F.lit(39.85) + F.col("y_m") / 110_540}
+    rows = _sample(spark, sf_dir).join(c.select(F.col("c_custkey").alias("parcel_id"), F.col("c_mktsegment").alias("style")), "parcel_id")
+    model = models.fit_arm(rows.where("split = 'fit'"), "gbt", NUMERIC, CATEGORICAL, "label")
+    model.stages[-1].setLeafCol("leaf_vector")
+    newest = rows.agg(F.month(F.max("sale_date")).cast("double").alias("m")).first()["m"]
+    targets = c.selectExpr(
+        "c_custkey AS parcel_id", "c_mktsegment AS style", "CAST(300 + (c_custkey * 37) % 2500 AS DOUBLE) AS area", *_XY, "'3-MEDIUM' AS priority"
+    ).withColumn("month", F.lit(newest))
+    leaves = vector_to_array(F.col("leaf_vector")).cast("array<int>")
+    scored = model.transform(targets).withColumns(place).select("parcel_id", "style", "area", "lon", "lat", leaves.alias("leaves"))
+    sold = model.transform(rows).withColumns(place).withColumn("time_adj_log", (F.col("sale_id") % 20) / 100)
+    return scored, sold.select("sale_id", "parcel_id", "sale_date", "sale_price", "time_adj_log", "style", "area", "lon", "lat", leaves.alias("leaves"))
+
+
+@query()
+def mdl_comps(spark, sf_dir):
+    return comps.find_comps(*comps_inputs(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..operators import ratio_studies as rs
 from ..operators.ratio import clean_pairs, ratio_metrics
 from .adapters import EVENTS, events, read
@@ -23,6 +24,11 @@ _SALE = {
     "assessed": "o_totalprice * (0.5E0 + (o_custkey % 97) / 100.0E0)",
     "log_price": "ln(o_totalprice)",
     "log_area": "ln(300.0E0 + (o_custkey * 37) % 2500)",
+    "beds": "1.0E0 + o_custkey % 5",
+    "age": "(o_custkey * 13 + o_orderkey) % 120 / 10.0E0",
+    "is_twin": "CASE WHEN o_custkey % 5 = 1 THEN 1.0E0 ELSE 0.0E0 END",
+    "is_detached": "CASE WHEN o_custkey % 5 = 2 THEN 1.0E0 ELSE 0.0E0 END",
+    **{f"in_{k}": f"CASE WHEN o_custkey % 6 = {k} THEN 1.0E0 ELSE 0.0E0 END" for k in range(1, 6)},
     "context": "(o_custkey % 11) / 10.0E0",
     "minority": "o_custkey % 7 = 0",
     "period": "year(o_orderdate) - 1992",
@@ -74,20 +80,20 @@ _ROLLS = "SELECT c_custkey AS parcel_id, y AS roll_year, 50000.0E0 + c_custkey %
 
 @query(
     f"""WITH {D}, rolls AS ({_ROLLS}), j AS (SELECT d.*, roll_year, roll_value, CASE WHEN year(sale_date) = roll_year - 2 THEN 'before_certification' WHEN sale_date BETWEEN make_date(roll_year - 1, 7, 1) AND make_date(roll_year, 6, 30) THEN 'after_certification' END AS window_ FROM d JOIN rolls USING (parcel_id)),
-raw AS (SELECT roll_year, window_, avg(CAST(abs(roll_value / sale_price - 1) <= 0.02 AS INT)) AS w FROM j WHERE window_ IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+raw AS (SELECT roll_year, window_, avg(CAST(abs(roll_value / sale_price - 1) <= 0.02 AS INT)) AS w FROM j WHERE window_ IS NOT NULL GROUP BY ALL HAVING count(*) >= 200),
 p AS (SELECT roll_year, window_, roll_value AS est, {NOW} AS sale, roll_value / ({NOW}) AS r FROM j WHERE window_ IS NOT NULL), {_trim('p', 'roll_year, window_', 't')}, k AS (SELECT * FROM t WHERE NOT outlier), {_metrics('k', 'roll_year, window_')}
 SELECT CAST(roll_year AS INT) AS roll_year, window_ AS "window", n, {r('median_ratio', 'median_ratio')}, {r('cod', 'cod')}, {r('prd', 'prd')}, {r('prb', 'prb')}, {r('w', 'within_2pct')} FROM met JOIN raw USING (roll_year, window_)"""
 )
 def eq_sale_chasing(spark, sf_dir):
     rolls = read(spark, sf_dir, "customer").selectExpr("c_custkey AS parcel_id", "explode(array(1996, 1998)) AS roll_year", "50000.0E0 + c_custkey % 97 * 1000 AS roll_value")
-    return rs.sale_chasing(_sales(spark, sf_dir), rolls, least=100)
+    return rs.sale_chasing(_sales(spark, sf_dir), rolls)
 
 
 @query(
     f"""WITH {D}, y AS (SELECT *, CAST(year(sale_date) AS INT) AS year, unnest(CASE WHEN cash THEN ['raw_sale'] ELSE ['raw_sale', 'financed'] END) AS benchmark FROM d), p AS (SELECT year, benchmark, assessed AS est, sale_price AS sale, assessed / sale_price AS r FROM y),
 t AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY year, benchmark ORDER BY sale, est) - 1) * 5 / count(*) OVER (PARTITION BY year, benchmark)) + 1 AS INT) AS tier FROM p),
 g AS (SELECT year, benchmark, tier, count(*) AS n, sum(est) AS a, sum(sale) AS v FROM t GROUP BY ALL), o AS (SELECT *, a / sum(a) OVER w - v / sum(v) OVER w AS os FROM g WINDOW w AS (PARTITION BY year, benchmark)),
-b AS (SELECT year, benchmark, sum(n) AS n_sales, sum(os) FILTER (tier <= 2) AS bottom40 FROM o GROUP BY ALL HAVING sum(n) >= 50), q AS (SELECT year, benchmark, median(r) AS m, quantile_cont(sale, 0.2) AS lo, quantile_cont(sale, 0.8) AS hi FROM p GROUP BY ALL),
+b AS (SELECT year, benchmark, sum(n) AS n_sales, sum(os) FILTER (tier <= 2) AS bottom40 FROM o GROUP BY ALL HAVING sum(n) >= 500), q AS (SELECT year, benchmark, median(r) AS m, quantile_cont(sale, 0.2) AS lo, quantile_cont(sale, 0.8) AS hi FROM p GROUP BY ALL),
 e AS (SELECT year, benchmark, median(r) FILTER (sale <= lo) AS a, median(r) FILTER (sale >= hi) AS b FROM p JOIN q USING (year, benchmark) GROUP BY ALL), l AS (SELECT CAST(year(o_orderdate) AS INT) AS year, sum(o_totalprice) * 0.013998 AS levy FROM orders GROUP BY ALL),
 z AS (SELECT max(sale_date) AS d FROM d)
 SELECT year, benchmark, CASE WHEN month(z.d) < 12 THEN year = year(z.d) ELSE false END AS partial_year, CAST(n_sales AS BIGINT) AS n_sales, {r('m', 'median_ratio')}, {r('a / e.b', 'q1_q5_ratio')}, {r('bottom40', 'bottom40')}, {r('bottom40 * coalesce(levy, 0)', 'shifted', 2)}, {r('bottom40 * coalesce(levy, 0) / 1000', 'per_resident', 3)}
@@ -95,7 +101,7 @@ FROM b JOIN q USING (year, benchmark) JOIN e USING (year, benchmark) LEFT JOIN l
 )
 def eq_redistribution(spark, sf_dir):
     levies = read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg((F.sum("o_totalprice") * 0.013998).alias("levy"))
-    out = rs.redistribution(_sales(spark, sf_dir), levies, 1000, least=50)
+    out = rs.redistribution(_sales(spark, sf_dir), levies, 1000)
     return out.withColumns({"shifted": F.round("shifted", 2), "per_resident": F.round("per_resident", 3)})
 
 
@@ -146,65 +152,94 @@ def eq_control_threshold(spark, sf_dir):
     return rs.control_threshold(s)
 
 
-_ROLL = f"""{D}, f AS (SELECT unnest(range(0, 4)) AS fold), l AS (SELECT fold, regr_slope(log_price, log_area) AS s, regr_intercept(log_price, log_area) AS i FROM d JOIN f ON period < fold + 3 GROUP BY fold),
-te AS (SELECT d.*, fold, i + s * log_area AS predicted FROM d JOIN l ON period = fold + 3)"""
+FEATURES = ["log_area", "beds", "age", "is_twin", "is_detached"]
+PLACES = [f"in_{k}" for k in range(1, 6)]
+
+
+def _ols(source: str, key: str, columns: list[str], tag: str = "") -> str:
+    """CTEs ending in ``fit{tag}``: ``source`` (key, learns, columns, log_price) with ``predicted`` by least squares.
+
+    Every column is freed of those before it, from the constant on, with factors of the rows that learn; what is then
+    left of the price is the error of the prediction.
+    """
+    left = ["one", *columns, "left_y"]
+    parts = [f"z{tag}0 AS (SELECT *, 1.0 AS one, log_price AS left_y FROM {source})"]
+    for i, v in enumerate(left[:-1]):
+        others = left[i + 1 :]
+        free = ", ".join(f"{o} - {v} * coalesce(sum({o} * {v}) FILTER (learns) OVER g / nullif(sum({v} * {v}) FILTER (learns) OVER g, 0), 0) AS {o}" for o in others)
+        parts.append(f"z{tag}{i + 1} AS (SELECT * REPLACE ({free}) FROM z{tag}{i} WINDOW g AS (PARTITION BY {key}))")
+    return ",\n".join([*parts, f"fit{tag} AS (SELECT *, log_price - left_y AS predicted FROM z{tag}{len(left) - 1})"])
+
+
+_ROLL = f"""{D}, f AS (SELECT fold FROM (SELECT unnest(range(0, 4)) AS fold) WHERE fold + 3 > (SELECT min(period) FROM d)), u AS (SELECT d.*, fold, period < fold + 3 AS learns FROM d JOIN f ON period <= fold + 3),
+{_ols("u", "fold", FEATURES)}, te AS (SELECT * FROM fit WHERE NOT learns)"""
 _SUMMARY = f"SELECT count(*) AS folds, {r('avg(cod)', 'mean', 3)}, {r('stddev_pop(cod)', 'sd', 3)}, {r('min(cod)', 'min', 3)}, {r('max(cod)', 'max', 3)} FROM met"
 
 
 @query(f"WITH {_ROLL}, p AS (SELECT fold, exp(predicted) AS est, sale_price AS sale, exp(predicted) / sale_price AS r FROM te), {_metrics('p', 'fold')} {_SUMMARY}", digits=3)
 def eq_temporal_cv(spark, sf_dir):
-    return rs.fold_summary(rs.rolling_folds(_sales(spark, sf_dir), "period", 3, 4), "fold").select("folds", "mean", "sd", "min", "max")
+    return rs.fold_summary(folds.rolling_folds(_sales(spark, sf_dir), "period", 3, 4, FEATURES), "fold").select("folds", "mean", "sd", "min", "max")
 
 
 @query(
-    f"""WITH {D}, g AS (SELECT district FROM d GROUP BY district HAVING count(*) >= 100), l AS (SELECT g.district, regr_slope(log_price, log_area) AS s, regr_intercept(log_price, log_area) AS i FROM g JOIN d ON d.district <> g.district GROUP BY g.district),
-p AS (SELECT district, exp(i + s * log_area) AS est, sale_price AS sale, exp(i + s * log_area) / sale_price AS r FROM d JOIN l USING (district)), {_metrics('p', 'district')} {_SUMMARY}""",
+    f"""WITH {D}, g AS (SELECT district AS fold FROM d GROUP BY district HAVING count(*) >= 500), u AS (SELECT d.*, fold, district <> fold AS learns FROM d, g), {_ols("u", "fold", FEATURES)},
+p AS (SELECT fold, exp(predicted) AS est, sale_price AS sale, exp(predicted) / sale_price AS r FROM fit WHERE NOT learns), {_metrics('p', 'fold')} {_SUMMARY}""",
     digits=3,
 )
 def eq_spatial_cv(spark, sf_dir):
-    return rs.fold_summary(rs.left_out_folds(_sales(spark, sf_dir), "district", 100), "district").select("folds", "mean", "sd", "min", "max")
+    return rs.fold_summary(folds.left_out_folds(_sales(spark, sf_dir), "district", 500, FEATURES), "fold").select("folds", "mean", "sd", "min", "max")
+
+
+_GAP = f"count(*) FILTER (minority) AS n_group, count(*) FILTER (NOT minority) AS n_rest, {r('median(predicted - log_price) FILTER (minority) - median(predicted - log_price) FILTER (NOT minority)', 'gap')}"
 
 
-@query(f"WITH {_ROLL} SELECT CAST(fold AS INT) AS fold, count(*) FILTER (minority) AS n_group, count(*) FILTER (NOT minority) AS n_rest, {r('median(predicted - log_price) FILTER (minority) - median(predicted - log_price) FILTER (NOT minority)', 'gap')} FROM te GROUP BY fold")
+@query(f"WITH {_ROLL} SELECT CAST(fold AS INT) AS fold, {_GAP} FROM te GROUP BY fold")
 def eq_gap_cv(spark, sf_dir):
-    return rs.group_gap(rs.rolling_folds(_sales(spark, sf_dir), "period", 3, 4), ["fold"], "minority").withColumn("fold", F.col("fold").cast("int"))
+    return rs.group_gap(folds.rolling_folds(_sales(spark, sf_dir), "period", 3, 4, FEATURES), ["fold"], "minority")
+
+
+_MODELS = {"coarse": FEATURES, "rich": [*FEATURES, *PLACES, "context"]}
 
 
 @query(
-    f"""WITH {D}, a AS (SELECT regr_slope(log_price, log_area) AS s, regr_intercept(log_price, log_area) AS i FROM d), mm AS (SELECT district, avg(log_area) AS mx, avg(log_price) AS my FROM d GROUP BY district), w AS (SELECT d.*, mx, my FROM d JOIN mm USING (district)),
-b AS (SELECT regr_slope(log_price - my, log_area - mx) AS s FROM w), x AS (SELECT 'coarse' AS model, i + s * log_area - log_price AS e, minority FROM d, a UNION ALL SELECT 'rich', my + s * (log_area - mx) - log_price, minority FROM w, b)
-SELECT model, count(*) FILTER (minority) AS n_group, count(*) FILTER (NOT minority) AS n_rest, {r('median(e) FILTER (minority) - median(e) FILTER (NOT minority)', 'gap')} FROM x GROUP BY model"""
+    f"WITH {D}, u AS (SELECT *, 1 AS k, period < 5 AS learns FROM d), {_ols('u', 'k', _MODELS['coarse'], 'a')}, {_ols('u', 'k', _MODELS['rich'], 'b')}, "
+    + "x AS (SELECT 'coarse' AS model_, minority, predicted, log_price FROM fita WHERE NOT learns UNION ALL SELECT 'rich', minority, predicted, log_price FROM fitb WHERE NOT learns) "
+    + f"SELECT model_ AS model, {_GAP} FROM x GROUP BY model_"
 )
 def eq_mechanism(spark, sf_dir):
-    d = _sales(spark, sf_dir).drop("model")
-    return rs.group_gap(rs.coarse_and_rich(d, "district"), ["model"], "minority")
+    tested = folds.arms_by_features(_sales(spark, sf_dir).drop("model"), _MODELS, "period < 5", "period >= 5")
+    return rs.group_gap(tested.withColumnRenamed("arm", "model"), ["model"], "minority")
 
 
 _ARMS = {"retail": "NOT cash AND period < 5", "blend": "period < 5"}
 
 
 @query(
-    f"""WITH {D}, """ + ", ".join(f"a_{a} AS (SELECT regr_slope(log_price, log_area) AS s, regr_intercept(log_price, log_area) AS i FROM d WHERE {w})" for a, w in _ARMS.items()) + ", te AS ("
-    + " UNION ALL ".join(f"SELECT '{a}' AS arm, unnest(['overall', CASE WHEN cash THEN 'cash' ELSE 'financed' END]) AS segment, exp(i + s * log_area) AS est, sale_price AS sale FROM d, a_{a} WHERE period >= 5" for a in _ARMS)
+    f"WITH {D}, " + ", ".join(f"u_{a} AS (SELECT *, 1 AS k, {w} AS learns FROM d), {_ols(f'u_{a}', 'k', FEATURES, a)}" for a, w in _ARMS.items()) + ", te AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS arm, unnest(['overall', CASE WHEN cash THEN 'cash' ELSE 'financed' END]) AS segment, exp(predicted) AS est, sale_price AS sale FROM fit{a} WHERE period >= 5" for a in _ARMS)
     + f"), p AS (SELECT *, est / sale AS r FROM te), {_metrics('p', 'arm, segment')} SELECT arm, segment, n, {_SHOW} FROM met"
 )
 def eq_retail_vs_blend(spark, sf_dir):
-    tested = rs.arms_by_training(_sales(spark, sf_dir), _ARMS, "period >= 5")
+    tested = folds.arms_by_training(_sales(spark, sf_dir), _ARMS, "period >= 5", FEATURES)
     rows = tested.withColumns({"_e": F.exp("predicted"), "segment": F.explode(F.array(F.lit("overall"), F.when(F.col("cash"), "cash").otherwise("financed")))})
     return ratio_metrics(clean_pairs(rows, "_e", "sale_price"), ["arm", "segment"])
 
 
+_WITH = {"baseline": FEATURES, "with_context": [*FEATURES, "context"]}
+
+
 @query(
-    f"""WITH {D}, t AS (SELECT log_area AS x, context AS z, log_price AS y FROM d WHERE period < 5), v AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM t),
-w AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS c, xy / xx AS b1 FROM v),
-te AS (SELECT 'baseline' AS arm, minority, exp(my + b1 * (log_area - mx)) AS est, sale_price AS sale FROM d, w WHERE period >= 5 UNION ALL SELECT 'with_context', minority, exp(my + b * (log_area - mx) + c * (context - mz)), sale_price FROM d, w WHERE period >= 5),
-p AS (SELECT *, est / sale AS r FROM te), {_metrics('p', 'arm, minority')} SELECT arm, minority, n, {_SHOW} FROM met"""
+    f"WITH {D}, u AS (SELECT *, 1 AS k, period < 5 AS learns FROM d), " + ", ".join(_ols("u", "k", c, a) for a, c in _WITH.items()) + ", te AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS arm, minority, exp(predicted) AS est, sale_price AS sale FROM fit{a} WHERE NOT learns" for a in _WITH)
+    + f"), p AS (SELECT *, est / sale AS r FROM te), {_metrics('p', 'arm, minority')} SELECT arm, minority, n, {_SHOW} FROM met"
 )
 def eq_acs_sensitivity(spark, sf_dir):
-    d = _sales(spark, sf_dir)
-    base = d.withColumn("_none", F.lit(0.0))
-    arms = []
-    for arm, z in (("baseline", "_none"), ("with_context", "context")):
-        i, b, c = rs.two_features(base, "period < 5", "log_area", z, "log_price")
-        arms.append(base.where("period >= 5").withColumns({"arm": F.lit(arm), "_e": F.exp(i + b * F.col("log_area") + c * F.col(z))}))
-    return ratio_metrics(clean_pairs(arms[0].unionByName(arms[1]), "_e", "sale_price"), ["arm", "minority"])
+    tested = folds.arms_by_features(_sales(spark, sf_dir), _WITH, "period < 5", "period >= 5").withColumn("_e", F.exp("predicted"))
+    return ratio_metrics(clean_pairs(tested, "_e", "sale_price"), ["arm", "minority"])
+
+
+@query(f"WITH {D}, u AS (SELECT *, 1 AS k, NOT cash AND period < 5 AS learns FROM d), {_ols('u', 'k', [*FEATURES, *PLACES])} SELECT sale_id, cash, {r('exp(predicted)', 'retail', 2)} FROM fit WHERE period >= 5", digits=2)
+def mdl_retail(spark, sf_dir):
+    """Every later sale at the level of the financed ones: the arm learns from these only."""
+    tested = folds.arms_by_training(_sales(spark, sf_dir), {"retail": "NOT cash AND period < 5"}, "period >= 5", [*FEATURES, *PLACES])
+    return tested.select("sale_id", "cash", F.exp("predicted").alias("retail"))

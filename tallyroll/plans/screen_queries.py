@@ -162,10 +162,10 @@ def mdl_conformal_global(spark, sf_dir):
 @query(
     f"""WITH {CLEAN}, {_RES}, {_Q.format("brand")}, g AS (SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM res),
 t AS (SELECT max(e) FILTER (k = n + 1 - ceil((n + 1) * 0.95)) AS lo, max(e) FILTER (k = ceil((n + 1) * 0.95)) AS hi FROM g)
-SELECT brand, n, {r("CASE WHEN n >= 2400 THEN q.lo ELSE t.lo END", "lo")}, {r("CASE WHEN n >= 2400 THEN q.hi ELSE t.hi END", "hi")}, n >= 2400 AS own FROM q, t"""
+SELECT brand, n, {r("CASE WHEN n >= 200 THEN q.lo ELSE t.lo END", "lo")}, {r("CASE WHEN n >= 200 THEN q.hi ELSE t.hi END", "hi")}, n >= 200 AS own FROM q, t"""
 )
 def mdl_conformal_district(spark, sf_dir):
-    return intervals.district_offsets(_residuals(spark, sf_dir), "e", "brand", 2400)
+    return intervals.district_offsets(_residuals(spark, sf_dir), "e", "brand")
 
 
 @query(

@@ -18,9 +18,28 @@ PREFIX = {"staged": "stg", "mart": "mart"}
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.gettempdir() + f'/tallyroll-{os.getpid()}').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A fresh folder under spark.checkpoint.dir; only on one machine, where that is unset, a local one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tallyroll-{os.getpid()}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back: lineage ends there, and its shuffle files go."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_snapshot(df: DataFrame, base: str, source: str, dataset: str, stamp: str) -> str:
