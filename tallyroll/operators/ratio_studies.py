@@ -16,18 +16,42 @@ METRICS = ("n", "median_ratio", "cod", "prd", "prb", "mki")
 
 
 def convention_ladder(cases: DataFrame, trim_width: float = 3.0, least: int = 50) -> DataFrame:
-    """Metrics of each (estimator, step) overall and per style of at least ``least`` rows.
+    """Metrics of each (estimator, step) overall and, where outliers are left out, per style of at least ``least`` rows.
 
     ``cases``: estimator, step, estimate, price, style, trim: whether the step leaves outliers out.
     """
     keys = ["estimator", "step"]
     pairs = iqr_trim(clean_pairs(cases, "estimate", "price"), keys, trim_width).withColumn("_out", F.col("trim") & F.col("is_outlier"))
     gone = pairs.groupBy(*keys).agg(F.count_if("_out").alias("n_trimmed"))
-    rows = pairs.where("NOT _out").withColumn("segment", F.explode(F.array_compact(F.array(F.lit("overall"), F.col("style")))))
+    rows = pairs.where("NOT _out").withColumn("segment", F.explode(F.array_compact(F.array(F.lit("overall"), F.when(F.col("trim"), F.col("style"))))))
     out = ratio_metrics(rows, [*keys, "segment"]).where((F.col("segment") == "overall") | (F.col("n") >= least))
     return out.join(gone, keys)
 
 
+#: The ladder from the plain out-of-time comparison to that of a published study, in its order.
+BRIDGE = ("out_of_time", "time_adjusted", "fresh_roll", "in_window_model", "iaao_trimmed")
+
+
+def bridge_cases(test: DataFrame, rolls: DataFrame) -> DataFrame:
+    """The cases of ``convention_ladder`` for a model and a roll, with ``at``: the step's place in ``BRIDGE``.
+
+    ``test``: parcel_id, sale_price, time_adj_log, style, roll (the value of the sale's own year) and two log predictions of
+    today's price: ``before``, learned from earlier sales only, and ``within``, learned from sales of the
+    window too, as a reassessment is.  ``rolls``: parcel_id, roll_year, roll_value; the newest year of all is the fresh roll.
+    """
+    newest = rolls.agg(F.max("roll_year").alias("y")).first()["y"]
+    fresh = rolls.where(F.col("roll_year") == F.lit(newest)).groupBy("parcel_id").agg(F.max("roll_value").alias("_fresh"))
+    adjust = F.coalesce("time_adj_log", F.lit(0.0))
+    today = F.col("sale_price") * F.exp(adjust)
+    steps = (
+        ("roll", 0, F.col("roll"), F.col("sale_price")), ("model", 0, F.exp(F.col("before") - adjust), F.col("sale_price")),
+        ("roll", 1, F.col("roll"), today), ("model", 1, F.exp("before"), today), ("roll", 2, F.col("_fresh"), today), ("model", 3, F.exp("within"), today),
+        ("roll", 4, F.col("_fresh"), today), ("model", 4, F.exp("within"), today),
+    )
+    cases = F.array(*[F.struct(F.lit(e).alias("estimator"), F.lit(k).alias("at"), F.lit(BRIDGE[k]).alias("step"), v.cast("double").alias("estimate"), p.alias("price"), F.lit(k == 4).alias("trim")) for e, k, v, p in steps])
+    return test.join(fresh, "parcel_id", "left").select("style", F.explode(cases).alias("c")).select("c.*", "style")
+
+
 def sale_chasing(sales: DataFrame, rolls: DataFrame, least: int = 200) -> DataFrame:
     """The same roll against sales its assessor could see and sales that came after it.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, intervals, marts, models, scoring
+from ..operators import features, intervals, marts, models, risk, scoring
 from ..operators import ratio_studies as rs
+from ..sources import lake
 from .adapters import SALES, events, read, sales
 from .catalog import SQL, query, r
 from .feature_queries import _ADJ, _CONDO_SALES, _UNITS, _split, _units
@@ -251,10 +252,47 @@ def mdl_condo(spark, sf_dir):
     return scored.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col("gbt") - F.col("label"), 2))).alias("rmse"))
 
 
+RISK_INPUTS = ["width", "disagreement", "neighbours", "conflict", "age"]
+
+
+def risk_inputs(spark, sf_dir):
+    """Validation and test sales with two arms' disagreement, the forest's own width, evidence, and the mean's absolute log error."""
+    rows = _sample(spark, sf_dir).withColumns({"neighbours": (F.col("parcel_id") % 13).cast("double"), "conflict": (F.col("parcel_id") % 7 == 0).cast("double"), "age": (F.col("sale_id") % 90).cast("double")})
+    fit = rows.where("split = 'fit'")
+    names = [*rows.columns, "gbt", "forest"]
+    gbt = models.fit_arm(fit, "gbt", NUMERIC, CATEGORICAL, "label")
+    forest = models.fit_arm(fit, "forest", NUMERIC, CATEGORICAL, "label")
+    both = lambda df: forest.transform(gbt.transform(df).select(*rows.columns, "gbt")).select(*names, "leaves")
+    scored = lake.kept(both(rows), "risk-arms")
+    later = scored.where("split <> 'fit'")
+    width = models.forest_quantiles(scored.where("split = 'fit'"), later, "sale_id", "label")
+    out = later.drop("leaves").join(width, "sale_id", "left")
+    point = (F.col("gbt") + F.col("forest")) / 2
+    out = lake.kept(out.withColumns({"width": F.greatest(F.col("q_high") - F.col("q_low"), F.lit(0.0)), "disagreement": F.abs(F.col("gbt") - F.col("forest")), "error": F.abs(F.col("label") - point)}), "risk-inputs")
+    return out.where("split = 'validation'"), out.where("split = 'test'")
+
+
 @query()
 def mdl_risk(spark, sf_dir):
-    rows = _sample(spark, sf_dir)
-    arm = models.fit_arm(rows.where("split = 'fit'"), "gbt", NUMERIC, CATEGORICAL, "label").transform(rows).drop("features")
-    arm = arm.withColumn("error", F.abs(F.col("gbt") - F.col("label"))).drop(*[c for c in arm.columns if c.startswith("_")])
-    risk = models.fit_arm(arm.where("split = 'validation'"), "forest", [*NUMERIC, "gbt"], [], "error").transform(arm.where("split = 'test'"))
-    return scoring.risk_tiers(risk, "forest", "error")[1]
+    """The risk of every test sale; all are standard unless the model is admitted."""
+    validation, test = risk_inputs(spark, sf_dir)
+    fitted = risk.fit_risk(validation, test, RISK_INPUTS, "error", ["sale_date", "sale_id"])
+    return fitted.score(test.fillna(0.0, RISK_INPUTS)).select("sale_id", "risk_score", "risk_tier", "error", F.lit(fitted.rejected is None).alias("promoted"))
+
+
+_RISK = "floor((o_custkey * 37) % 50 / 5) / 10.0E0 AS s, ((o_custkey * 37) % 50) / 100.0E0 * (0.5E0 + (o_orderkey % 17) / 10.0E0) AS e"
+
+
+@query(
+    f"""WITH x AS (SELECT {_RISK} FROM orders), n AS (SELECT count(*) AS n FROM x), k AS (SELECT s, e, row_number() OVER (ORDER BY s, e) AS k, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.7 THEN 'elevated' ELSE 'standard' END AS tier FROM x),
+a AS (SELECT 'tier' AS view_, tier AS segment, s, e FROM k UNION ALL SELECT 'risk_coverage', 'retain_' || f, s, e FROM k, n, (VALUES ('0.25', 0.25), ('0.50', 0.5), ('0.75', 0.75), ('0.90', 0.9), ('1.00', 1.0)) v(f, v) WHERE k <= greatest(1, ceil(n * v))),
+g AS (SELECT view_, segment, count(*) AS n, avg(s) AS ms, avg(e) AS me, sqrt(avg(e * e)) AS rm FROM a GROUP BY ALL), r AS (SELECT (rank() OVER (ORDER BY s) + count(*) OVER (PARTITION BY s) / 2.0) AS ra, (rank() OVER (ORDER BY e) + count(*) OVER (PARTITION BY e) / 2.0) AS rb FROM x), c AS (SELECT corr(ra, rb) AS c FROM r),
+t AS (SELECT max(me) FILTER (segment = 'standard') AS a, max(me) FILTER (segment = 'elevated') AS b, max(me) FILTER (segment = 'high') AS d, max(rm) FILTER (segment = 'standard') AS ra, max(rm) FILTER (segment = 'high') AS rd FROM g WHERE view_ = 'tier')
+SELECT view_ AS view, segment, g.n, {r('g.n / n.n', 'share')}, {r('ms', 'mean_score')}, {r('me', 'mean_error')}, {r('rm', 'rmse')}, {r('c', 'spearman')}, coalesce(c >= 0.1 AND t.a < t.b AND t.b < t.d AND t.rd >= 1.2 * t.ra, false) AS promoted FROM g, n, c, t"""
+)
+def mdl_risk_rule(spark, sf_dir):
+    """The rule by itself, on a score and an error with ties."""
+    rows = read(spark, sf_dir, "orders").selectExpr(*_split(_RISK))
+    told = risk.evaluate(rows, "s", "e", 0.7, 0.9)
+    found = risk.spearman(rows, "s", "e")
+    return told.withColumns({"spearman": F.lit(found).cast("double"), "promoted": F.lit(risk.promotion(told, found) is None)})

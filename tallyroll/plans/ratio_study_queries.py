@@ -56,25 +56,6 @@ def _trim(src: str, keys: str, out: str) -> str:
 
 
 _SHOW = ", ".join(r(c, c) for c in ("median_ratio", "cod", "prd", "prb", "mki"))
-_STEPS = {"out_of_time": ("sale_price", False), "time_adjusted": (NOW, False), "trimmed": (NOW, True)}
-_CASES = " UNION ALL ".join(f"SELECT '{e}' AS estimator, '{s}' AS step, {e} AS est, {p} AS sale, style, {t} AS trim FROM d" for e in ("model", "assessed") for s, (p, t) in _STEPS.items())
-
-
-@query(
-    f"""WITH {D}, c AS ({_CASES}), p AS (SELECT *, est / sale AS r FROM c WHERE est > 0 AND sale > 0), {_trim('p', 'estimator, step', 't')},
-g AS (SELECT estimator, step, count(*) FILTER (trim AND outlier) AS n_trimmed FROM t GROUP BY ALL), x AS (SELECT *, unnest(list_filter(['overall', style], lambda z: z IS NOT NULL)) AS segment FROM t WHERE NOT (trim AND outlier)),
-{_metrics('x', 'estimator, step, segment')} SELECT estimator, step, segment, n, {_SHOW}, n_trimmed FROM met JOIN g USING (estimator, step) WHERE segment = 'overall' OR n >= 50"""
-)
-def eq_iaao_bridge(spark, sf_dir):
-    d = _sales(spark, sf_dir)
-    cases = None
-    for e in ("model", "assessed"):
-        for s, (p, t) in _STEPS.items():
-            part = d.select(F.lit(e).alias("estimator"), F.lit(s).alias("step"), F.col(e).alias("estimate"), F.expr(p).alias("price"), "style", F.lit(t).alias("trim"))
-            cases = part if cases is None else cases.unionByName(part)
-    return rs.convention_ladder(cases)
-
-
 _ROLLS = "SELECT c_custkey AS parcel_id, y AS roll_year, 50000.0E0 + c_custkey % 97 * 1000 AS roll_value FROM customer, (SELECT unnest([1996, 1998]) AS y)"
 
 
@@ -243,3 +224,28 @@ def mdl_retail(spark, sf_dir):
     """Every later sale at the level of the financed ones: the arm learns from these only."""
     tested = folds.arms_by_training(_sales(spark, sf_dir), {"retail": "NOT cash AND period < 5"}, "period >= 5", [*FEATURES, *PLACES])
     return tested.select("sale_id", "cash", F.exp("predicted").alias("retail"))
+
+
+_NEWEST = "SELECT c_custkey AS parcel_id, y AS roll_year, 60000.0E0 + c_custkey % 89 * 1500 + y AS roll_value FROM customer, (SELECT unnest([1997, 1999]) AS y) WHERE c_custkey % 12 > 0"
+_STEP = {
+    "roll": (("assessed", "sale_price", 0), ("assessed", NOW, 1), ("fresh", NOW, 2), ("fresh", NOW, 4)),
+    "model": (("exp(before - coalesce(time_adj_log, 0))", "sale_price", 0), ("exp(before)", NOW, 1), ("exp(within)", NOW, 3), ("exp(within)", NOW, 4)),
+}
+_CASES = " UNION ALL ".join(f"SELECT '{e}' AS estimator, '{rs.BRIDGE[k]}' AS step, {v} AS est, {p} AS sale, style, {k == 4} AS trim FROM w" for e, steps in _STEP.items() for v, p, k in steps)
+
+
+@query(
+    f"""WITH {D}, h AS (SELECT * REPLACE (log_price + coalesce(time_adj_log, 0) AS log_price) FROM d), ua AS (SELECT *, 1 AS k, period < 5 AS learns FROM h), {_ols('ua', 'k', [*FEATURES, *PLACES], 'a')}, ub AS (SELECT *, 1 AS k, true AS learns FROM h), {_ols('ub', 'k', [*FEATURES, *PLACES], 'b')},
+w AS (SELECT fita.*, fita.predicted AS before, fitb.predicted AS within, roll_value AS fresh FROM fita JOIN fitb USING (sale_id) LEFT JOIN (SELECT * FROM ({_NEWEST}) WHERE roll_year = 1999) n ON n.parcel_id = fita.parcel_id WHERE fita.period >= 5),
+c AS ({_CASES}), p AS (SELECT *, est / sale AS r FROM c WHERE est > 0 AND sale > 0), {_trim('p', 'estimator, step', 't')},
+g AS (SELECT estimator, step, count(*) FILTER (trim AND outlier) AS n_trimmed FROM t GROUP BY ALL), x AS (SELECT *, unnest(list_filter(['overall', CASE WHEN trim THEN style END], lambda z: z IS NOT NULL)) AS segment FROM t WHERE NOT (trim AND outlier)),
+{_metrics('x', 'estimator, step, segment')} SELECT estimator, step, segment, n, {_SHOW}, n_trimmed FROM met JOIN g USING (estimator, step) WHERE segment = 'overall' OR n >= 50"""
+)
+def eq_iaao_bridge(spark, sf_dir):
+    d = _sales(spark, sf_dir).withColumn("log_price", F.col("log_price") + F.coalesce("time_adj_log", F.lit(0.0)))
+    arms = folds.arms_by_training(d, {"before": "period < 5", "within": "true"}, "period >= 5", [*FEATURES, *PLACES])
+    names = ["sale_id", "parcel_id", "sale_price", "time_adj_log", "style"]
+    test = arms.groupBy(*names, F.col("assessed").alias("roll")).agg(*[F.max(F.when(F.col("arm") == a, F.col("predicted"))).alias(a) for a in ("before", "within")])
+    c = read(spark, sf_dir, "customer").where("c_custkey % 12 > 0")
+    rolls = c.selectExpr("c_custkey AS parcel_id", "explode(array(1997, 1999)) AS roll_year", "c_custkey % 89 AS m").selectExpr("parcel_id", "roll_year", "60000.0E0 + m * 1500 + roll_year AS roll_value")
+    return rs.convention_ladder(rs.bridge_cases(test, rolls))

@@ -178,13 +178,42 @@ def src_latest_snapshot(spark, sf_dir):
     return latest.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("last"))
 
 
-@query("SELECT 'city' AS source, 'customers' AS dataset, s AS fetched_at, true AS complete FROM (VALUES ('20240101T000000Z'), ('20240108T000000Z')) t(s) WHERE (SELECT count(*) FROM customer) > 0")
-def src_list_snapshots(spark, sf_dir):
+# Snapshots of orders, one dataset for each priority, stamped with the day of their newest order before a cut.
+_CUTS = ("1997-01-01", "1999-06-01")
+
+
+def order_snapshots(spark, sf_dir):
+    """(base, newest stamp): the snapshots written; one of them breaks off before it is finished."""
     base = lake.scratch(spark, "snapshots")
-    c = read(spark, sf_dir, "customer")
-    for stamp in ("20240108T000000Z", "20240101T000000Z"):
-        lake.write_snapshot(c, base, "city", "customers", stamp)
-    return lake.list_snapshots(spark, base)
+    o = read(spark, sf_dir, "orders").withColumn("dataset", F.lower(F.substring("o_orderpriority", 3, 20)))
+    stamp = F.date_format(F.max("o_orderdate"), "yyyyMMdd'T000000Z'")
+    for cut in _CUTS:
+        for r_ in o.where(F.col("o_orderdate") < cut).groupBy("dataset").agg(stamp.alias("at")).collect():  # a row for each priority
+            rows = o.where((F.col("dataset") == r_["dataset"]) & (F.col("o_orderdate") < cut))
+            if r_["dataset"] == "low" and cut == _CUTS[1]:
+                rows.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/raw/source=city/dataset=low/fetched_at={r_['at']}")
+            else:
+                lake.write_snapshot(rows, base, "city", r_["dataset"], r_["at"])
+    return base, o.agg(stamp.alias("at")).first()["at"]
+
+
+_SNAPSHOTS = "s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS cut, lower(substr(o_orderpriority, 3)) AS dataset, strftime(max(o_orderdate), '%Y%m%dT000000Z') AS fetched_at FROM orders WHERE o_orderdate < '{c}' GROUP BY ALL" for c in _CUTS) + f"), done AS (SELECT * FROM s WHERE NOT (dataset = 'low' AND cut = '{_CUTS[1]}'))"
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT DISTINCT 'city' AS source, dataset, fetched_at, true AS complete FROM done")
+def src_list_snapshots(spark, sf_dir):
+    return lake.list_snapshots(spark, order_snapshots(spark, sf_dir)[0])
+
+
+@query(
+    f"""WITH {_SNAPSHOTS}, l AS (SELECT dataset, max(fetched_at) AS fetched_at FROM done GROUP BY dataset), e AS (SELECT DISTINCT lower(substr(o_orderpriority, 3)) AS dataset FROM orders UNION ALL SELECT 'parcels'),
+a AS (SELECT e.dataset, fetched_at, date_diff('day', strptime(fetched_at, '%Y%m%dT000000Z'), (SELECT date_trunc('day', max(o_orderdate)) FROM orders)) AS age FROM e LEFT JOIN l USING (dataset))
+SELECT dataset, fetched_at, {r("age", "age_days")}, CASE WHEN age IS NULL THEN 'MISSING' WHEN age > 30 THEN 'STALE' ELSE 'ok' END AS status FROM a"""
+)
+def cat_freshness(spark, sf_dir):
+    base, newest = order_snapshots(spark, sf_dir)
+    expected = read(spark, sf_dir, "orders").select(F.lower(F.substring("o_orderpriority", 3, 20)).alias("dataset")).distinct()
+    return lake.freshness(spark, base, expected.unionByName(spark.createDataFrame([("parcels",)], "dataset string")), newest, 30)
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) + 0.0 AS total FROM customer GROUP BY ALL")
@@ -211,14 +240,40 @@ def src_sql_views(spark, sf_dir):
     return spark.sql("SELECT count(*) AS rows_, CAST(round(sum(c_acctbal)) AS BIGINT) AS total FROM stg_customers")
 
 
-@query("SELECT 'mart' AS layer, 'screen' AS \"table\", 'staged' AS input_layer, 'sales' AS input_table FROM (SELECT count(*) AS n FROM customer) WHERE n > 0")
-def cat_stale_gate(spark, sf_dir):
+# Derived tables of the lake: what each holds, what it was built from; it was built on the day of its newest row.
+_LAKE = (
+    ("staged", "roll", "o_orderkey % 9 = 0 AND o_orderdate < '1996-06-01'", ()),
+    ("staged", "sales", "o_orderdate < '1998-01-01'", ()),
+    ("mart", "areas", "o_orderdate < '1996-09-01'", ("staged/roll",)),
+    ("mart", "features", "o_orderdate < '1997-06-01'", ("staged/sales", "mart/areas")),
+    ("mart", "screen", "o_orderdate < '1998-07-01'", ("mart/features", "staged/roll")),
+)
+
+
+def order_lake(spark, sf_dir):
     base = lake.scratch(spark, "lake")
-    c = read(spark, sf_dir, "customer")
-    lake.write_derived(c, base, "staged", "roll", {}, built_at="2024-01-01T00:00:00Z")
-    lake.write_derived(c, base, "mart", "screen", {"staged/roll": "", "staged/sales": ""}, built_at="2024-01-02T00:00:00Z")
-    lake.write_derived(c, base, "staged", "sales", {}, built_at="2024-01-03T00:00:00Z")
-    return lake.stale(spark, base)
+    o = read(spark, sf_dir, "orders")
+    for layer, name, rows, inputs in _LAKE:
+        part = o.where(rows)
+        at = part.agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd'T00:00:00Z'").alias("at")).first()["at"]
+        lake.write_derived(part, base, layer, name, dict.fromkeys(inputs, ""), built_at=at or "1992-01-01T00:00:00Z")
+    return base
+
+
+_MADE = "t AS (" + " UNION ALL ".join(f"SELECT '{y}' AS layer, '{t}' AS name, count(*) AS n, coalesce(strftime(max(o_orderdate), '%Y-%m-%dT00:00:00Z'), '1992-01-01T00:00:00Z') AS made FROM orders WHERE {w}" for y, t, w, _ in _LAKE) + "), u AS (" + " UNION ALL ".join(f"SELECT '{y}/{t}' AS a, '{i}' AS b" for y, t, _, inputs in _LAKE for i in inputs) + ")"
+
+
+@query(
+    f"""WITH RECURSIVE {_MADE}, p AS (SELECT layer || '/' || name AS k, n, made FROM t), c AS (SELECT a, b, 1 AS depth FROM u UNION SELECT c.a, u.b, depth + 1 FROM c JOIN u ON c.b = u.a),
+late AS (SELECT a, b, depth FROM c JOIN p x ON c.a = x.k JOIN p y ON c.b = y.k WHERE y.made > x.made), alle AS (SELECT * FROM late UNION ALL SELECT c.a, late.b, c.depth + late.depth FROM c JOIN late ON c.b = late.a)
+SELECT split_part(a, '/', 1) AS layer, split_part(a, '/', 2) AS "table", split_part(b, '/', 1) AS input_layer, split_part(b, '/', 2) AS input_table, CAST(min(depth) AS INT) AS depth, max(x.made) AS built_at, max(y.made) AS input_built_at, max(x.n) AS rows_, max(y.n) AS input_rows
+FROM alle JOIN p x ON a = x.k JOIN p y ON b = y.k GROUP BY a, b"""
+)
+def cat_stale_gate(spark, sf_dir):
+    base = order_lake(spark, sf_dir)
+    sizes = lake.provenance(spark, base).select("layer", "table", F.col("rows").alias("rows_"))
+    own = sizes.withColumnsRenamed({"layer": "input_layer", "table": "input_table", "rows_": "input_rows"})
+    return lake.stale(spark, base).join(sizes, ["layer", "table"]).join(own, ["input_layer", "input_table"])
 
 
 _STYLE = "CASE o_orderkey % 6 WHEN 0 THEN ' ROW TYPICAL' WHEN 1 THEN 'TWIN BUNGALOW' WHEN 2 THEN 'RANCH' WHEN 3 THEN 'DET CONVENTIONAL' WHEN 4 THEN 'LOFT' END"

@@ -273,16 +273,3 @@ def sink_snapshot(spark, sf_dir):
     base = lake.scratch(spark, "snapshots")
     path = lake.write_snapshot(read(spark, sf_dir, "customer"), base, "city", "customers", "20240101T000000Z")
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_")).select(F.lit("customers").alias("dataset"), "rows_")
-
-
-@query("SELECT * FROM (VALUES ('customers', CAST(3 AS INT), 'ok'), ('orders', 10, 'STALE'), ('parts', NULL, 'MISSING')) t(dataset, age_days, status) WHERE (SELECT count(*) FROM customer) > 0")
-def cat_freshness(spark, sf_dir):
-    base = lake.scratch(spark, "snapshots")
-    c = read(spark, sf_dir, "customer")
-    for dataset, stamp in (("customers", "20240108T000000Z"), ("orders", "20240101T000000Z"), ("customers", "20231201T000000Z")):
-        lake.write_snapshot(c, base, "city", dataset, stamp)
-    expected = spark.createDataFrame([("customers",), ("orders",), ("parts",)], "dataset string")
-    last = lake.list_snapshots(spark, base).groupBy("dataset").agg(F.max("fetched_at").alias("at"))
-    age = F.datediff(F.lit("2024-01-11").cast("date"), F.to_date(F.substring("at", 1, 8), "yyyyMMdd"))
-    out = expected.join(last, "dataset", "left").withColumn("age_days", age)
-    return out.select("dataset", "age_days", F.when(F.col("age_days").isNull(), "MISSING").when(F.col("age_days") > 7, "STALE").otherwise("ok").alias("status"))
