@@ -47,6 +47,29 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Lists that ``written`` adds its folders to, see ``noting``.
+_NOTED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noting():
+    """The list of the folders that ``written`` makes inside a ``with`` block."""
+    folders: list[str] = []
+    _NOTED.append(folders)
+    try:
+        yield folders
+    finally:
+        _NOTED.remove(folders)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders; those that are gone already are passed over.  The list is emptied."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends there.
 
@@ -54,6 +77,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark, tag)
+    for folders in _NOTED:
+        folders.append(path)
     with settings(spark, {CLEAN_SHUFFLES: "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,8 +87,4 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of ``written`` frames that nothing will read again."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
