@@ -48,3 +48,12 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == list(corpus_pipeline.COLUMNS)
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_every_stage_takes_clashing_columns_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).withColumns({c: F.lit(1) for c in ("_key", "kept", "node", "_q_text", "start", "spans", "component_id", "h")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() > 0, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
