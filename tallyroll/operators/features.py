@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known, ratio
+from ..sources.lake import kept
 from .events import WINDOW_DAYS, before_anchor, covering_spans, is_renovation, open_at_anchor
 from .geometry import k_nearest
 
@@ -163,16 +165,39 @@ def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def great_circle_nearest(targets: DataFrame, others: DataFrame, k: int = 4, cell: float = 500.0) -> DataFrame:
+    """parcel_id of ``targets`` and the great-circle ``distance`` to the nearest of ``others`` (both parcel_id, lon, lat).
+
+    Neighbours are sought on a plane whose degrees of longitude are as short as at the rows' greatest
+    latitude, so a distance on it is never longer than the true one.  A target is done when its k-th
+    neighbour on the plane is farther than its best true distance, or there are no more; the others go on with
+    four times as many.  Rows on both sides of the 180th meridian are as far apart as round the globe.
+    """
+    most = lambda df: df.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    narrow = math.cos(math.radians(min(89.9, max(most(targets), most(others)))))
+    x, y = F.radians("lon") * EARTH_M * narrow, F.radians("lat") * EARTH_M
+    core = others.select(F.col("parcel_id").alias("evidence_id"), F.lit(1).alias("parcel_id"), x.alias("x_m"), y.alias("y_m"), F.struct("lon", "lat").alias("v"))
+    left = targets.select(F.col("parcel_id").alias("target_id"), F.lit(0).alias("parcel_id"), x.alias("x_m"), y.alias("y_m"))
+    places = targets.select(F.col("parcel_id").alias("target_id"), "lon", "lat")
+    found = []
+    while True:
+        near = k_nearest(left, core, k, cell, 2, "v").select("target_id", "_d", F.col("_v")["lon"].alias("_lon"), F.col("_v")["lat"].alias("_lat"))
+        best = places.join(near, "target_id").groupBy("target_id").agg(F.min(haversine("lon", "lat", "_lon", "_lat")).alias("distance"), F.max("_d").alias("_far"), F.count(F.lit(1)).alias("_n"))
+        # Chords of a few hundred kilometres are shorter than their arcs by less than the factor.
+        best = kept(best.withColumn("_sure", (F.col("_n") < k) | (F.col("_far") * (1 - 1e-3) > F.col("distance"))), "great-circle")
+        found.append(best.where("_sure").select(F.col("target_id").alias("parcel_id"), "distance"))
+        left = left.join(best.where("NOT _sure").select("target_id"), "target_id", "left_semi")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        k *= 4
+
+
 def boundary_transect(rows: DataFrame, edges: tuple[float, ...] = (500.0, 1000.0, 1500.0, 2500.0)) -> DataFrame:
     """Per band of distance from corridor parcels to the nearest core parcel: number, median change and level, directions.
 
-    ``rows``: parcel_id, side (core or corridor), lon, lat, x_m, y_m, change, old_ratio, new_ratio,
-    direction.  Candidates are the nearest few on the plane, the distance is the great circle's.
+    ``rows``: parcel_id, side (core or corridor), lon, lat, change, old_ratio, new_ratio, direction.
     """
-    core = rows.where("side = 'core'").select(F.col("parcel_id").alias("evidence_id"), F.lit(-1).cast("long").alias("parcel_id"), "x_m", "y_m", F.struct("lon", "lat").alias("v"))
-    targets = rows.where("side = 'corridor'").select(F.col("parcel_id").alias("target_id"), "parcel_id", "x_m", "y_m")
-    near = k_nearest(targets, core, 4, 500.0, 2, "v").select(F.col("target_id").alias("parcel_id"), F.col("_v")["lon"].alias("_lon"), F.col("_v")["lat"].alias("_lat"))
-    measured = rows.join(near, "parcel_id").groupBy("parcel_id").agg(F.min(haversine("lon", "lat", "_lon", "_lat")).alias("distance"))
+    measured = great_circle_nearest(rows.where("side = 'corridor'"), rows.where("side = 'core'"))
     band = sum((F.when(F.col("distance") >= e, 1).otherwise(0) for e in edges), F.lit(0))
     way = lambda w: F.avg((F.col("direction") == w).cast("double"))
     return rows.join(measured, "parcel_id").withColumn("band", band).groupBy("band").agg(
@@ -190,11 +215,11 @@ def facade_match(points: DataFrame, images: DataFrame) -> DataFrame:
 
     points: parcel_id, lon, lat.  images: image_id, lon, lat, heading, is_pano, year.  Usable is an
     image 4 to 45 m away that is a panorama or looks within 55 degrees of the point.  Both meet in
-    grid cells of the greatest distance.
+    grid cells of the greatest distance, at the points' greatest latitude.
     """
     step = FACADE_FAR_M / FACADE_M_PER_DEG
-    # Cells as wide as the distance anywhere up to 60 degrees of latitude.
-    wide = 2 * step
+    most = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    wide = step / math.cos(math.radians(min(89.9, most)))
     cell = lambda c, s: F.floor(F.col(c) / s)
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     p = points.select("parcel_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"), cell("lon", wide).alias("_cx"), cell("lat", step).alias("_cy"))

@@ -90,21 +90,17 @@ def k_nearest(targets: DataFrame, evidence: DataFrame, k: int, cell: float, ring
     """target_id, ``_v`` and distance ``_d`` of the k nearest evidence rows of other parcels, however far they are.
 
     Columns as in ``signals.knn``.  Targets look in the cells up to ``rings`` around their own; those
-    with fewer than k neighbours within ``rings * cell`` go on alone to cells twice as wide, until
-    none is left or the reach spans all rows.  Targets that at most ``16 * k`` evidence rows come
-    before are compared with all of these, so that the first ones don't widen to the whole plane.
+    with fewer than k neighbours within reach go on alone to cells twice as wide, until none is left or the
+    reach spans all rows.  A target that only a part of the evidence comes before begins with cells
+    that are wider by as much (a level for each fourth part), and meets only evidence that comes before some target
+    of its level, so early and late targets meet equally many rows.  Targets that at most ``16 * k``
+    rows come before are compared with all of these.
     """
     spark = targets.sparkSession
-
-    def keep(df):
-        path = scratch(spark, "nearest")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     located = (F.abs("x_m") < float("inf")) & (F.abs("y_m") < float("inf"))
     when = F.col(asof) if asof else F.lit(0)
     t = targets.where(located).select("target_id", "parcel_id", F.col("x_m").alias("_tx"), F.col("y_m").alias("_ty"), when.alias("_at")).where("_at is not null")
-    e = keep(evidence.where(located).select("evidence_id", F.col("parcel_id").alias("_p"), F.col("x_m").alias("_x"), F.col("y_m").alias("_y"), F.col(value).alias("_v"), when.alias("_asof")).where("_asof is not null"))
+    e = kept(evidence.where(located).select("evidence_id", F.col("parcel_id").alias("_p"), F.col("x_m").alias("_x"), F.col("y_m").alias("_y"), F.col(value).alias("_v"), when.alias("_asof")).where("_asof is not null"), "nearest")
     sides = t.select(F.col("_tx").alias("_x"), F.col("_ty").alias("_y")).unionByName(e.select("_x", "_y"))
     box = sides.agg(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).first()
     span = math.hypot(box[0] or 0.0, box[1] or 0.0) * (1 + 1e-9)
@@ -113,9 +109,10 @@ def k_nearest(targets: DataFrame, evidence: DataFrame, k: int, cell: float, ring
     n = e.groupBy(F.col("_asof").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     n = t.select("_at").distinct().join(n, "_at", "full").select("_at", F.coalesce("_n", F.lit(0)).alias("_n"))
     frame = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if asof else 0)
-    n = keep(n.select("_at", F.coalesce(F.sum("_n").over(frame), F.lit(0)).alias("_before")))
-    t = keep(t.join(n.where("_before > 0"), "_at"))
-    few = n.where(F.col("_before") <= 16 * k).agg(F.max("_at")).first()[0]
+    n = kept(n.select("_at", F.coalesce(F.sum("_n").over(frame), F.lit(0)).alias("_before")), "nearest")
+    few, total = n.agg(F.max(F.when(F.col("_before") <= 16 * k, F.col("_at"))), F.max("_before")).first()
+    level = F.floor(F.log2(F.lit(float(total or 1)) / F.col("_before")) / 2).cast("int")
+    t = kept(t.join(n.where("_before > 0"), "_at").withColumn("_level", level), "nearest")
     d = F.sqrt(F.pow(F.col("_tx") - F.col("_x"), 2) + F.pow(F.col("_ty") - F.col("_y"), 2))
     counts = F.col("_p") != F.col("parcel_id")
     if asof:
@@ -124,7 +121,7 @@ def k_nearest(targets: DataFrame, evidence: DataFrame, k: int, cell: float, ring
 
     def ranked(near):
         rows = near.withColumn("_k", F.row_number().over(own.orderBy("_d", "evidence_id"))).where(F.col("_k") <= k)
-        return keep(rows.withColumn("_found", F.count(F.lit(1)).over(own)).select("target_id", "_v", "_d", "_found"))
+        return kept(rows.withColumn("_found", F.count(F.lit(1)).over(own)).select("target_id", "_v", "_d", "_found", "_level"), "nearest")
 
     found = []
     if few is not None:
@@ -133,16 +130,19 @@ def k_nearest(targets: DataFrame, evidence: DataFrame, k: int, cell: float, ring
         found.append(ranked(left.join(F.broadcast(first), "_one").where(counts).withColumn("_d", d)))
         t = t.where(F.col("_before") > 16 * k)
     around = F.array(*[F.lit(i) for i in range(-rings, rings + 1)])
-    while not t.isEmpty():
-        at = lambda c: F.floor(F.col(c) / cell).cast("long")  # noqa: E731, B023
+    while served := t.groupBy("_level").agg(F.max("_at").alias("at")).collect():  # a row for each level
+        side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+        at = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: E731, B023
         left = t.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"_cx": at("_tx") + F.col("_dx"), "_cy": at("_ty") + F.col("_dy")})
-        near = left.join(e.withColumns({"_cx": at("_x"), "_cy": at("_y")}), ["_cx", "_cy"]).where(counts).withColumn("_d", d).where(F.col("_d") <= rings * cell)
+        levels = F.array(*[F.struct(F.lit(r["_level"]).alias("level"), F.lit(r["at"]).alias("at")) for r in served])
+        if asof:
+            levels = F.filter(levels, lambda x: F.col("_asof") < x["at"])
+        right = e.withColumn("_s", F.explode(levels)).withColumn("_level", F.col("_s.level")).drop("_s").withColumns({"_cx": at("_x"), "_cy": at("_y")})
+        near = left.join(right, ["_level", "_cx", "_cy"]).where(counts).withColumn("_d", d).where(F.col("_d") <= rings * side)
         rows = ranked(near)
-        if rings * cell >= span:
-            found.append(rows)
-            break
-        found.append(rows.where(F.col("_found") == k))
-        t = keep(t.join(found[-1].select("target_id").distinct(), "target_id", "left_anti"))
+        found.append(rows.where((F.col("_found") == k) | (rings * side >= span)))
+        t = t.where(rings * side < span).join(found[-1].select("target_id").distinct(), "target_id", "left_anti")
+        t = kept(t, "nearest")
         cell *= 2
     none = spark.createDataFrame([], e.select("_v").schema).withColumns({"target_id": F.lit(None).cast(targets.schema["target_id"].dataType), "_d": F.lit(None).cast("double")})
     out = none.select("target_id", "_v", "_d")

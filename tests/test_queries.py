@@ -22,6 +22,11 @@ def cell(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
+def assert_no_nested_loop(name, df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
 @pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_equals_its_sql(spark, duck, name):
     df = all_queries()[name](spark, SF)
@@ -35,6 +40,7 @@ def test_query_equals_its_sql(spark, duck, name):
     at = [names.index(c) for c in columns]
     want = sorted(tuple(cell(r[i]) for i in at) for r in cur.fetchall())
     assert got == want
+    assert_no_nested_loop(name, df)
 
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql())))
@@ -42,10 +48,4 @@ def test_query_without_sql_has_rows(spark, name):
     df = all_queries()[name](spark, SF)
     rows = df.collect()
     assert df.columns and rows and not any(all(v is None for v in r) for r in rows)
-
-
-@pytest.mark.parametrize("name", ["mkt_block_roll", "mkt_knn_asof", "geo_radius_count", "evt_rental_tenure", "evt_financing", "scr_equity_context", "val_classify_sales", "stg_owner_links", "geo_facade_match", "mkt_condo_building_comps", "evt_episode_labels", "evt_distress_tenure", "eq_sale_chasing", "eq_char_leakage"])
-def test_range_joins_have_an_equality_key(spark, name):
-    df = all_queries()[name](spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert_no_nested_loop(name, df)
