@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import known, ratio
 from ..sources.lake import kept
-from .events import WINDOW_DAYS, before_anchor, covering_spans, is_renovation, open_at_anchor
+from .events import before_anchor, covering_spans, is_renovation, open_at_anchor
 from .geometry import k_nearest
 
 CONDO_PREFIX = "88"

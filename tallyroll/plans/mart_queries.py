@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, intervals, marts, models, risk, scoring
+from ..operators import folds, intervals, marts, models, risk, scoring
 from ..operators import ratio_studies as rs
 from ..sources import lake
 from .adapters import SALES, events, read, sales
 from .catalog import SQL, query, r
 from .feature_queries import _ADJ, _CONDO_SALES, _UNITS, _split, _units
 from .model_queries import CATEGORICAL, NUMERIC, _sample
-from .ratio_study_queries import D
+from .ratio_study_queries import FEATURES, PLACES, D, _ols
 from .ratio_study_queries import _sales as _study_sales
 from .screen_queries import FIN, SCREEN_COLUMNS
 from .signal_queries import _reach
@@ -145,19 +145,25 @@ def scr_property_packet(spark, sf_dir):
 
 
 _ARMS = "ln(model) AS a, ln(assessed) AS b"
-_STACK = f"""{D}, w0 AS (SELECT least(1, greatest(0, sum((ln(model) - ln(assessed)) * (log_price - ln(assessed))) / sum((ln(model) - ln(assessed)) ** 2))) AS w FROM d WHERE period < 4), v AS (SELECT w * ln(model) + (1 - w) * ln(assessed) AS p, log_price AS y FROM d, w0 WHERE period = 4),
+_FIT = f"""{D.replace('d AS', 'd0 AS', 1)}, ua AS (SELECT *, 1 AS k, period < 4 AS learns FROM d0), {_ols('ua', 'k', [*FEATURES, *PLACES], 'a')}, {_ols('ua', 'k', FEATURES, 'b')},
+d AS (SELECT d0.*, fita.predicted AS pa, fitb.predicted AS pb FROM d0 JOIN fita USING (sale_id) JOIN fitb USING (sale_id))"""
+_STACK = f"""{_FIT}, w0 AS (SELECT least(1, greatest(0, coalesce(sum((pa - pb) * (log_price - pb)) / nullif(sum((pa - pb) ** 2), 0), 0.5))) AS w FROM d WHERE period = 4), v AS (SELECT w * pa + (1 - w) * pb AS p, log_price AS y FROM d, w0 WHERE period = 4),
 q AS (SELECT quantile_cont(p, [0.2, 0.4, 0.6, 0.8]) AS e FROM v), k0 AS (SELECT segment, median(p) AS center, median(y - p) AS c FROM (SELECT len(list_filter(e, lambda z: z <= p)) AS segment, p, y FROM v, q) GROUP BY segment), k AS (SELECT center, max(center + c) OVER (ORDER BY segment) - center AS correction FROM k0)"""
 
 
 @query(
-    f"""WITH {_STACK}, t AS (SELECT sale_id, w * ln(model) + (1 - w) * ln(assessed) AS p, coalesce(time_adj_log, 0) AS adj FROM d, w0 WHERE period > 4),
+    f"""WITH {_STACK}, t AS (SELECT sale_id, w * pa + (1 - w) * pb AS p, coalesce(time_adj_log, 0) AS adj FROM d, w0 WHERE period > 4),
 j AS (SELECT sale_id, p, adj, arg_max(center, center) FILTER (center < p) AS a, arg_max(correction, center) FILTER (center < p) AS ca, arg_min(center, center) FILTER (center >= p) AS b, arg_min(correction, center) FILTER (center >= p) AS cb FROM t, k GROUP BY ALL)
 SELECT sale_id, {r("exp(p + CASE WHEN a IS NULL THEN cb WHEN b IS NULL THEN ca ELSE ca + (cb - ca) * (p - a) / (b - a) END - adj)", "score", 2)} FROM j""",
     digits=2,
 )
 def mdl_point_score(spark, sf_dir):
-    d = _study_sales(spark, sf_dir).withColumns({"a": F.ln("model"), "b": F.ln("assessed"), "_all": F.lit(1)})
-    w = intervals.stack_weight(d.where("period < 4"), "a", "b", "log_price", ["_all"]).first()["weight"]
+    """Two arms fitted to the first periods, blended and calibrated on the next, scoring the later ones."""
+    arms = {"a": [*FEATURES, *PLACES], "b": FEATURES}
+    told = folds.arms_by_features(_study_sales(spark, sf_dir), arms, "period < 4", "period >= 4")
+    names = ["sale_id", "period", "log_price", "time_adj_log"]
+    d = told.groupBy(*names).agg(*[F.max(F.when(F.col("arm") == x, F.col("predicted"))).alias(x) for x in arms])
+    w = intervals.stack_weight(d.where("period = 4"), "a", "b", "log_price", []).first()["weight"]
     validation = d.where("period = 4").withColumn("p", w * F.col("a") + (1 - w) * F.col("b"))
     knots = rs.segment_knots(validation, "p", "log_price")
     return scoring.point_score(d.where("period > 4"), "a", "b", w, knots, "time_adj_log").select("sale_id", "score")

@@ -103,11 +103,11 @@ def mdl_resolve_parcel(spark, sf_dir):
     return found.groupBy("ask_id").agg(F.min("parcel_id").alias("parcel_id"))
 
 
-@query("SELECT 'residential' AS family, c_custkey AS parcel_id, c_acctbal AS area, CAST(NULL AS INT) AS floor FROM customer WHERE c_nationkey < 3 UNION ALL SELECT 'condo', c_custkey, NULL, c_nationkey FROM customer WHERE c_nationkey > 22")
+@query("SELECT 'residential' AS family, c_custkey AS parcel_id, c_acctbal AS area, CAST(NULL AS INT) AS floor FROM customer WHERE c_nationkey % 5 > 0 UNION ALL SELECT 'condo', c_custkey, NULL, c_nationkey FROM customer WHERE c_nationkey % 5 = 0")
 def scr_union_families(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    a = c.where("c_nationkey < 3").select(F.lit("residential").alias("family"), F.col("c_custkey").alias("parcel_id"), F.col("c_acctbal").alias("area"))
-    b = c.where("c_nationkey > 22").select(F.lit("condo").alias("family"), F.col("c_custkey").alias("parcel_id"), F.col("c_nationkey").alias("floor"))
+    a = c.where("c_nationkey % 5 > 0").select(F.lit("residential").alias("family"), F.col("c_custkey").alias("parcel_id"), F.col("c_acctbal").alias("area"))
+    b = c.where("c_nationkey % 5 = 0").select(F.lit("condo").alias("family"), F.col("c_custkey").alias("parcel_id"), F.col("c_nationkey").alias("floor"))
     return study.union_families(a, b)
 
 
