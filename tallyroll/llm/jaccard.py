@@ -361,10 +361,13 @@ def _fold(sketch_: bytes, size: int) -> np.ndarray:
     return x
 
 
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, node, component_id of every row of ``docs``."""
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
+    """doc_id, n_shingles, node, component_id of every row of ``docs``.
+
+    ``docs_per_bucket``: how many documents' blocks meet in one task, so how much memory it takes.
+    """
     rows = docs.count()
-    buckets = max(64, -(-rows // DOCS_PER_BUCKET))
+    buckets = max(64, -(-rows // docs_per_bucket))
     drawn = _draw(docs, text, doc_id, width, percent, buckets)
     found = written(drawn.groupBy("bucket").applyInArrow(_meet, FOUND), "jaccard-found")
     every = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "sketch")
