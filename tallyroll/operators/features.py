@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import known, ratio
 from ..sources.lake import kept
+from . import ranks
 from .events import before_anchor, covering_spans, is_renovation, open_at_anchor
 from .geometry import k_nearest
 
@@ -246,6 +247,7 @@ def lookahead_bound(test_sales: DataFrame, index: DataFrame, cutoff: str) -> Dat
     """One row: sales from ``cutoff`` on, mean and 95th percentile of their time adjustment, greatest drift of the index since."""
     moved = F.abs(F.expm1(F.coalesce("time_adj_log", F.lit(0.0))))
     sales = test_sales.where(F.col("sale_date") >= F.lit(cutoff).cast("date"))
-    a = sales.agg(F.count(F.lit(1)).alias("n"), F.avg(moved).alias("mean_adjustment"), F.percentile(moved, F.lit(0.95)).alias("p95_adjustment"), F.lit(1).alias("_one"))
-    b = index.where(F.col("month") >= F.lit(cutoff).cast("date")).agg(F.coalesce(F.expm1(F.max(F.abs("log_index"))), F.lit(0.0)).alias("max_drift"), F.lit(1).alias("_one"))
-    return a.join(b, "_one").drop("_one")
+    p95 = ranks.quantile(sales.withColumn("_moved", moved), "_moved", 0.95)
+    drift = index.where(F.col("month") >= F.lit(cutoff).cast("date")).agg(F.coalesce(F.expm1(F.max(F.abs("log_index"))), F.lit(0.0))).first()[0]
+    out = sales.agg(F.count(F.lit(1)).alias("n"), F.avg(moved).alias("mean_adjustment"))
+    return out.withColumns({"p95_adjustment": F.lit(p95).cast("double"), "max_drift": F.lit(drift)})

@@ -153,3 +153,11 @@ def importance(spark: SparkSession, model, names: list[str]) -> DataFrame:
     """feature and importance of a tree arm, greatest first."""
     weights = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def risk_tiers(df: DataFrame, score: str, error: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``tier`` (low below the 75th, medium below the 90th percentile of the score, else high); and per tier number and error."""
+    cut = [0.0 if q is None else q for q in (ranks.quantile(df, score, 0.75), ranks.quantile(df, score, 0.9))]
+    tier = F.when(F.col(score) < cut[0], "low").when(F.col(score) < cut[1], "medium").otherwise("high")
+    rows = df.withColumn("tier", tier)
+    return rows, rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col(error), 2))).alias("rmse"))
