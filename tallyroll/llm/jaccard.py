@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -62,7 +62,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     total = np.full(n, min(width, len(words)), np.uint64)
     factor = np.uint64(1)
     for k in range(min(width, len(words))):
-        factor = factor * np.uint64(0x9E3779B97F4A7C15 + 2 * k) & MASK
+        factor = np.uint64(int(factor) * (0x9E3779B97F4A7C15 + 2 * k) & int(MASK))
         total += mix(codes[k : k + n] + np.uint64(k)) * factor
     return np.unique(mix(total))
 
@@ -154,7 +154,7 @@ def node_of(tokens: np.ndarray) -> int | None:
 
 
 DOC, PAIR, MEMBER = 0, 1, 2
-FOUND = "kind int, a long, b long, n long, sketch binary"
+FOUND = "kind int, a long, b long, n long, sketch binary, row long"
 
 
 def _draw(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, buckets: int) -> DataFrame:
@@ -172,6 +172,7 @@ def _draw(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, buc
                     "node": pa.array(nodes, pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    "row": batch.column("row").slice(first, 2_000),
                 }
                 sink = pa.BufferOutputStream()
                 table = pa.RecordBatch.from_pydict(rows)
@@ -193,17 +194,17 @@ def _draw(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, buc
                     out.append((int(where[part[0]]), PAIR, b"".join((len(who).to_bytes(4, "little"), mine[who].tobytes(), counts.astype("<u4").tobytes(), short.tobytes()))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_t"), _row(text, doc_id).alias("row"))
     return rows.mapInArrow(draw, "bucket int, kind int, blob binary")
 
 
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("row", pa.int64())])
 
 
-def _found(kind: int, a, b, n=None, sketches=None) -> pa.Table:
+def _found(kind: int, a, b, n=None, sketches=None, row=None) -> pa.Table:
     rows = len(a)
     none = lambda x, t: pa.nulls(rows, t) if x is None else x
-    return pa.table([pa.array(np.full(rows, kind, np.int32)), pa.array(a) if isinstance(a, np.ndarray) else a, pa.array(b) if isinstance(b, np.ndarray) else b, none(n, pa.int64()), none(sketches, pa.binary())], schema=FOUND_ARROW)
+    return pa.table([pa.array(np.full(rows, kind, np.int32)), pa.array(a) if isinstance(a, np.ndarray) else a, pa.array(b) if isinstance(b, np.ndarray) else b, none(n, pa.int64()), none(sketches, pa.binary()), none(row, pa.int64())], schema=FOUND_ARROW)
 
 
 def _meet(part: pa.Table) -> pa.Table:
@@ -213,7 +214,7 @@ def _meet(part: pa.Table) -> pa.Table:
     for kind, blob in zip(part.column("kind").to_pylist(), part.column("blob").to_pylist()):
         if kind == DOC:
             t = pa.ipc.open_stream(blob).read_all()
-            out.append(_found(DOC, t["doc_id"], t["node"], t["n"], t["sketch"]))
+            out.append(_found(DOC, t["doc_id"], t["node"], t["n"], t["sketch"], t["row"]))
             continue
         n = int.from_bytes(blob[:4], "little")
         who = np.frombuffer(blob, np.int64, n, 4)
@@ -241,16 +242,16 @@ def _meet(part: pa.Table) -> pa.Table:
             member = np.concatenate([np.arange(s, s + n) for s, n in zip(start[large], size[large])])
             star = np.column_stack((node[at], node[member]))
             pairs.append(star[member != at])
-            group = (mix(key[member] + np.uint64(bucket + 1) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+            group = (mix(key[member] + np.uint64((bucket + 1) * 0x9E3779B97F4A7C15 & int(MASK)))).view(np.int64)
             out.append(_found(MEMBER, group, np.ascontiguousarray(node[member])))
         if pairs and len(p := np.unique(np.concatenate(pairs), axis=0)):
             out.append(_found(PAIR, np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1])))
     return pa.concat_tables(out) if out else FOUND_ARROW.empty_table()
 
 
-def _row(doc_id):
-    """The id by which a set's text is found again; rows without an id share one."""
-    return F.coalesce(doc_id, F.lit(-(2**63)))
+def _row(text: str, doc_id: str) -> Column:
+    """The digest by which a set's text is found again; of id and text, as rows may share an id or have none."""
+    return F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
@@ -268,7 +269,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
     near = written(near.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a long, b long"), "jaccard-near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     owners = wanted.join(nodes, "node").select("row", "node")
-    source = docs.select(_row(F.col(f"`{doc_id}`").cast("long")).alias("row"), F.col(f"`{text}`").alias("_t")).join(owners, "row")
+    source = docs.select(_row(text, doc_id).alias("row"), F.col(f"`{text}`").alias("_t")).join(owners, "row")
 
     def sets(batches):
         for b in batches:
@@ -370,8 +371,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     buckets = max(64, -(-rows // docs_per_bucket))
     drawn = _draw(docs, text, doc_id, width, percent, buckets)
     found = written(drawn.groupBy("bucket").applyInArrow(_meet, FOUND), "jaccard-found")
-    every = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "sketch")
-    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(_row(F.col("doc_id"))).alias("row"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    every = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "sketch", "row")
+    nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node"))
 
@@ -400,5 +401,5 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     placed = nodes.select("node", "first").join(root, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     least = placed.groupBy("_root").agg(F.min("first").alias("component_id"))
     component = written(placed.join(least, "_root").select("node", "component_id"), "jaccard-components")
-    done = every.drop("sketch").join(component, "node", "left")
+    done = every.drop("sketch", "row").join(component, "node", "left")
     return done.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))

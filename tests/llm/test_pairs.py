@@ -98,3 +98,18 @@ def test_rows_without_an_id_link_too(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.link(df).collect())
     assert got == [(0, 0, 0), (0, 27, 0), (0, 57, 4), (3, 1, 3), (4, 58, 4)]
+
+
+def test_rows_that_share_an_id_are_found_by_their_own_text(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 30, 59)]
+    rows = [(d, t, "x") for d in (None, 7) for t in near] + [(7, " ".join(f"{rng.random()}" for _ in range(40)), "x") for _ in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = jaccard.link(df).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {7}
+    nodes = {r["node"] for r in got}
+    assert len(nodes) == 53
+    drawn = jaccard._draw(df, "text", "doc_id", 4, 85, 4).groupBy("bucket").applyInArrow(jaccard._meet, jaccard.FOUND)
+    keys = {r["row"] for r in drawn.where("kind = 0").collect()}
+    assert len(keys) == len(rows)  # no two of them meet under one key
