@@ -19,11 +19,15 @@ def assemble(base: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFram
     return out
 
 
-def sale_features(sales: DataFrame, permits: DataFrame, values: DataFrame, cell: float, k: int = 15) -> DataFrame:
+def sale_features(
+    sales: DataFrame, permits: DataFrame, values: DataFrame, cell: float, k: int = 15, tenure: dict[str, DataFrame] | None = None, facts: dict[str, tuple[DataFrame, dict[str, str]]] | None = None
+) -> DataFrame:
     """Of each sale what was known the day before it: block and own history, nearest sales, published values, permits, open cases, episode.
 
     ``sales``: sale_id, parcel_id, block, sale_date, sale_price, area, x_m, y_m, time_adj_log.
     ``permits``: parcel_id, issued, closed, kind, severe.  ``values``: parcel_id, year, value.
+    ``tenure``: complaints, investigations, licenses, appeals and homestead, each as ``distress_tenure`` takes it.
+    ``facts``: name -> (table of parcels, its columns with their types); a column that the table lacks is null.
     """
     points = sales.withColumns({"target_id": F.col("sale_id"), "evidence_id": F.col("sale_id"), "q": F.year("sale_date") * 4 + F.quarter("sale_date"), "v": F.ln(F.col("sale_price") / F.col("area"))})
     near = signals.knn(points.select("target_id", "parcel_id", "x_m", "y_m", "q"), points, k, cell, 2, "v", "q", widen=True).withColumnRenamed("target_id", "sale_id")
@@ -37,6 +41,10 @@ def sale_features(sales: DataFrame, permits: DataFrame, values: DataFrame, cell:
         "case": ev.open_at_anchor(sales, permits, "issued", "closed", {"n_open": None, "n_open_severe": F.col("severe")}),
         "episode": features.episode_labels(sales, permits),
     }
+    if tenure is not None:
+        parts["tenure"] = features.distress_tenure(sales, **tenure)
+    for name, (mart, columns) in (facts or {}).items():
+        parts[name] = features.join_mart(sales.select("sale_id", "parcel_id"), mart, "parcel_id", columns).select("sale_id", *columns)
     return assemble(sales.select("sale_id", "parcel_id", "sale_date", "sale_price"), "sale_id", parts)
 
 

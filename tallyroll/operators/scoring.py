@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known
-from . import ranks
+from . import intervals, ranks
 from .geometry import k_nearest
-from .ratio_studies import apply_knots
+from .ratio_studies import apply_knots, segment_knots
 
 
 def point_score(df: DataFrame, a: str, b: str, weight: float, knots: DataFrame, adjust: str) -> DataFrame:
@@ -21,6 +21,20 @@ def point_score(df: DataFrame, a: str, b: str, weight: float, knots: DataFrame,
     return out.withColumn("score", F.exp(F.col("calibrated") - F.coalesce(adjust, F.lit(0.0)))).drop("_blend", "calibrated")
 
 
+def blended(df: DataFrame, a: str, b: str, y: str, alpha: float = 0.1) -> DataFrame:
+    """``df`` (split: validation or test) with calibrated, low and high, all learned from the validation rows.
+
+    The blend's weight is that of least squares, its calibration monotone over fifths, the band's ends
+    are conformal offsets of what is then left; they are infinite where validation rows are too few.
+    """
+    validation = F.col("split") == "validation"
+    w = intervals.stack_weight(df.where(validation), a, b, y, []).first()["weight"]
+    mixed = df.withColumn("_blend", F.lit(w) * F.col(a) + F.lit(1 - w) * F.col(b))
+    out = apply_knots(mixed, segment_knots(mixed.where(validation), "_blend", y), "_blend").drop("_blend")
+    ends = intervals.split_quantiles(out.where(validation).withColumn("_off", F.col(y) - F.col("calibrated")), "_off", [], alpha).first()
+    return out.withColumns({"low": F.col("calibrated") + ends["lo"], "high": F.col("calibrated") + ends["hi"]})
+
+
 def weighted_offsets(neighbours: DataFrame, level: Column, soften: float = 250.0) -> DataFrame:
     """target_id, lo and hi: of each target's neighbours (residual ``_v``, distance ``_d``) the weighted quantiles at ``level`` from both ends."""
     rows = neighbours.withColumn("_w", 1 / (F.col("_d") + soften))

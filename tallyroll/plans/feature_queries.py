@@ -107,12 +107,16 @@ SELECT s.sale_id, coalesce(c.n, 0) AS n_complaints, coalesce(c.x, 0) AS n_exteri
   coalesce(c.g, 0) AS n_granted, CAST(NULL AS BOOLEAN) AS is_homestead FROM s LEFT JOIN c USING (sale_id) LEFT JOIN o USING (sale_id) LEFT JOIN l USING (sale_id)"""
 )
 def evt_distress_tenure(spark, sf_dir):
+    return features.distress_tenure(sales(spark, sf_dir), **tenure_tables(spark, sf_dir))
+
+
+def tenure_tables(spark, sf_dir):
     e = events(spark, sf_dir)
     complaints = e.select("parcel_id", F.col("issued").alias("day"), F.col("severe").alias("exterior"))
     cases = e.select("parcel_id", F.col("issued").alias("opened"), "closed", F.col("severe").alias("court"))
     licenses = e.where("kind = 'Sign'").select("parcel_id", F.col("issued").alias("start"), F.col("closed").alias("stop"), F.lit(False).alias("owner_occupied"), (F.col("event_id") % 10).alias("units"))
     appeals = e.select("parcel_id", F.col("issued").alias("day"), (F.col("event_id") % 4 == 0).alias("granted"))
-    return features.distress_tenure(sales(spark, sf_dir), complaints, cases, licenses, appeals)
+    return {"complaints": complaints, "investigations": cases, "licenses": licenses, "appeals": appeals}
 
 
 _ADJ = "CASE WHEN sale_id % 3 = 0 THEN NULL ELSE (sale_id % 20) / 100.0E0 END AS time_adj_log"
@@ -148,25 +152,32 @@ def geo_vacant_distance(spark, sf_dir):
     return features.vacant_distance(p)
 
 
+def fact_tables(spark, sf_dir):
+    """Name -> (table of parcels, key, its columns with their types), as ``join_mart`` takes them."""
+    c = read(spark, sf_dir, "customer").withColumn("parcel_id", F.col("c_custkey"))
+    return {
+        "place": (c.where("c_custkey % 4 <> 0").selectExpr("parcel_id", "c_acctbal AS prox_station", "c_mktsegment AS street_class"), "parcel_id", {"prox_station": "double", "prox_park": "double", "street_class": "string"}),
+        "shape": (c.where("c_custkey % 3 = 0").selectExpr("parcel_id", "10.0E0 + c_custkey % 50 AS shp_area", "c_custkey % 9 AS shp_vertices"), "parcel_id", {"shp_area": "double", "shp_vertices": "bigint"}),
+        "record": (c.where("c_custkey % 2 = 0").selectExpr("parcel_id", "c_custkey % 10 = 0 AS quality_outlier"), "parcel_id", {"quality_outlier": "boolean", "quality_score": "double"}),
+    }
+
+
 @query(
     f"""SELECT o_orderkey AS sale_id, {r("CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END", "prox_station")}, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS street_class, CAST(NULL AS DOUBLE) AS prox_park FROM orders JOIN customer ON c_custkey = o_custkey"""
 )
 def geo_join_proximity(spark, sf_dir):
-    mart = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").selectExpr("c_custkey AS parcel_id", "c_acctbal AS prox_station", "c_mktsegment AS street_class")
-    out = features.join_mart(sales(spark, sf_dir), mart, "parcel_id", {"prox_station": "double", "prox_park": "double", "street_class": "string"})
+    out = features.join_mart(sales(spark, sf_dir), *fact_tables(spark, sf_dir)["place"])
     return out.select("sale_id", "prox_station", "street_class", "prox_park")
 
 
 @query(f"""SELECT o_orderkey AS sale_id, {r("CASE WHEN o_custkey % 3 = 0 THEN 10.0 + o_custkey % 50 END", "shp_area")}, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 9 END AS shp_vertices FROM orders""")
 def chr_shapes_join(spark, sf_dir):
-    shapes = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS parcel_id", "10.0E0 + c_custkey % 50 AS shp_area", "c_custkey % 9 AS shp_vertices")
-    return features.join_mart(sales(spark, sf_dir), shapes, "parcel_id", {"shp_area": "double", "shp_vertices": "bigint"}).select("sale_id", "shp_area", "shp_vertices")
+    return features.join_mart(sales(spark, sf_dir), *fact_tables(spark, sf_dir)["shape"]).select("sale_id", "shp_area", "shp_vertices")
 
 
 @query("""SELECT o_orderkey AS sale_id, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 10 = 0 END AS quality_outlier, CAST(NULL AS DOUBLE) AS quality_score FROM orders""")
 def chr_quality_join(spark, sf_dir):
-    quality = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS parcel_id", "c_custkey % 10 = 0 AS quality_outlier")
-    return features.join_mart(sales(spark, sf_dir), quality, "parcel_id", {"quality_outlier": "boolean", "quality_score": "double"}).select("sale_id", "quality_outlier", "quality_score")
+    return features.join_mart(sales(spark, sf_dir), *fact_tables(spark, sf_dir)["record"]).select("sale_id", "quality_outlier", "quality_score")
 
 
 # Parcels on both sides of a line, on a plane of 111 km a degree at the equator.

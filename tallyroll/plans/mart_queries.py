@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, intervals, marts, models, risk, scoring
+from ..operators import crossfit, folds, intervals, marts, models, ranks, risk, scoring
 from ..operators import ratio_studies as rs
 from ..sources import lake
 from .adapters import SALES, events, read, sales
 from .catalog import SQL, query, r
-from .feature_queries import _ADJ, _CONDO_SALES, _UNITS, _split, _units
+from .crossfit_queries import EPISODE_INPUTS, episodes
+from .feature_queries import _ADJ, _CONDO_SALES, _UNITS, _split, _units, fact_tables, tenure_tables
 from .model_queries import CATEGORICAL, NUMERIC, _sample
 from .ratio_study_queries import FEATURES, PLACES, D, _ols
 from .ratio_study_queries import _sales as _study_sales
@@ -30,6 +31,10 @@ _SALE_PARTS = {
     "permit": ("evt_permits", ("n_all", "n_reno", "since_any")),
     "case_": ("evt_violations", ("n_open", "n_open_severe")),
     "episode": ("evt_episode_labels", ("held", "eligible", "n_permits", "recovery_log", "high_recovery", "permit_confirmed")),
+    "tenure": ("evt_distress_tenure", ("n_complaints", "n_exterior", "days_since_complaint", "n_open_cases", "n_open_court", "rented", "rental_units", "n_granted", "is_homestead")),
+    "place": ("geo_join_proximity", ("prox_station", "prox_park", "street_class")),
+    "shape": ("chr_shapes_join", ("shp_area", "shp_vertices")),
+    "record": ("chr_quality_join", ("quality_outlier", "quality_score")),
 }
 _SHOWN = ", ".join(f"{t}.{c} AS {t.rstrip('_')}_{c}" for t, (_, cs) in _SALE_PARTS.items() for c in cs)
 _NEAR = "near.knn_value AS near_knn_value, near.knn_n AS near_knn_n, near.knn_distance AS near_knn_distance"
@@ -41,7 +46,9 @@ LEFT JOIN ({SQL['mkt_knn_asof']}) near ON near.target_id = s.sale_id"""
 )
 def asm_sale_features(spark, sf_dir):
     values = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("parcel_id"), F.year("o_orderdate").alias("year")).agg(F.max("o_totalprice").alias("value"))
-    out = marts.sale_features(sales(spark, sf_dir).selectExpr("*", _ADJ), events(spark, sf_dir), values, _reach(spark, sf_dir) / 2)
+    facts = {name: (table, columns) for name, (table, _, columns) in fact_tables(spark, sf_dir).items()}
+    tenure = tenure_tables(spark, sf_dir)
+    out = marts.sale_features(sales(spark, sf_dir).selectExpr("*", _ADJ), events(spark, sf_dir), values, _reach(spark, sf_dir) / 2, tenure=tenure, facts=facts)
     return out.withColumns({"sale_price": F.round("sale_price", 2), "blk_block_price": F.round("blk_block_price", 2)})
 
 
@@ -233,6 +240,18 @@ def mdl_transition_reuse(spark, sf_dir):
     return scoring.reuse_probability(o.selectExpr("o_orderkey AS sale_id", "o_custkey % 10 / 10.0E0 AS now"), stored, "now").select("sale_id", "probability")
 
 
+@query()
+def mdl_transition_rescore(spark, sf_dir):
+    """Sales of an earlier run keep the score that no model of their own time gave; the others get the full model's, null where too few are labelled to fit one."""
+    rows = episodes(spark, sf_dir)
+    before = rows.where("sale_date < DATE '1997-01-01'")
+    stored = lake.kept(crossfit.crossfit_transition(before, EPISODE_INPUTS)[0].where("probability IS NOT NULL").select("sale_id", "probability"), "transition-stored")
+    labelled = ranks.running(before.where("label IS NOT NULL"), [], ["sale_date", "sale_id"], "_nth")
+    model = crossfit.fit_transition(labelled, EPISODE_INPUTS)
+    now = model.score(rows) if model else rows.withColumn("probability", F.lit(None).cast("double"))
+    return scoring.reuse_probability(now.withColumnRenamed("probability", "now"), stored, "now").select("sale_id", "probability")
+
+
 @query()
 def mdl_rbf_basis(spark, sf_dir):
     p = sales(spark, sf_dir)
@@ -247,15 +266,25 @@ def mdl_importance(spark, sf_dir):
     return scoring.importance(spark, model, [*NUMERIC, *CATEGORICAL])
 
 
-@query()
-def mdl_condo(spark, sf_dir):
+def condo_scores(spark, sf_dir):
+    """Validation and test sales of units under both arms, their blend and its band."""
     units = _units(spark, sf_dir).select("parcel_id", F.col("floor").cast("double").alias("floor"), F.col("building_units").cast("double").alias("building_units"), "area_share", "unit_area")
     rows = _condo_sales(spark, sf_dir).join(units, "parcel_id").withColumn("label", F.ln("sale_price"))
     rows = intervals.time_split(rows, "sale_date", "sale_id", 0.15, 0.15)
-    model = models.fit_arm(rows.where("split = 'fit'"), "gbt", ["floor", "building_units", "area_share", "unit_area"], [], "label")
+    fit, names = rows.where("split = 'fit'"), ["floor", "building_units", "area_share", "unit_area"]
+    arms = [models.fit_arm(fit, kind, names, [], "label") for kind in ("gbt", "forest")]
+    scored = arms[1].transform(arms[0].transform(rows.where("split <> 'fit'")).select(*rows.columns, "gbt")).select(*rows.columns, "gbt", "forest")
+    return scoring.blended(lake.kept(scored, "condo-arms"), "gbt", "forest", "label")
+
+
+@query()
+def mdl_condo(spark, sf_dir):
+    """Two arms blended, calibrated and given a band on the validation sales, judged on the test sales by size of the building."""
     band = F.when(F.col("building_units") < 5, "small").when(F.col("building_units") < 20, "medium").otherwise("large")
-    scored = model.transform(rows).where("split = 'test'").withColumn("band", band)
-    return scored.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col("gbt") - F.col("label"), 2))).alias("rmse"))
+    scored = condo_scores(spark, sf_dir).where("split = 'test'").withColumn("band", band)
+    root = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("label"), 2)))
+    inside = F.col("label").between(F.col("low"), F.col("high")).cast("double")
+    return scored.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[root(c).alias(f"rmse_{c}") for c in ("gbt", "forest", "calibrated")], F.avg(inside).alias("coverage"), F.avg(F.col("high") - F.col("low")).alias("width"))
 
 
 RISK_INPUTS = ["width", "disagreement", "neighbours", "conflict", "age"]

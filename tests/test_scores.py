@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyroll.operators import intervals, ranks, ratio, scoring
+from tallyroll.operators import crossfit, intervals, ranks, ratio, scoring
+from tallyroll.plans import all_queries, crossfit_queries, mart_queries
 
+SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 # The 54 sales of the standard's worked example, (assessed, sale price) in thousands.
 EXAMPLE = [
     (240, 690), (144, 296.25), (392, 787.5), (199.2, 372), (340.8, 574.5), (472, 795), (336, 559.5), (284.8, 465), (436, 693.6),
@@ -73,3 +76,34 @@ def test_risk_tiers(spark):
     t = {r["tier"]: r for r in tiers.collect()}
     assert t["low"]["n"] == 750 and t["medium"]["n"] == 150 and t["high"]["n"] == 100
     assert t["low"]["rmse"] < t["medium"]["rmse"] < t["high"]["rmse"]
+
+
+def test_blend_of_condo_arms_is_numpys(spark):
+    p = mart_queries.condo_scores(spark, SF).toPandas()
+    v, t = p[p["split"] == "validation"], p[p["split"] == "test"]
+    assert len(v) > 20 and len(t) > 20
+    d = v["gbt"] - v["forest"]
+    w = min(1.0, max(0.0, (d * (v["label"] - v["forest"])).sum() / (d * d).sum()))
+    blend = lambda x: w * x["gbt"] + (1 - w) * x["forest"]
+    edges = np.quantile(blend(v), [0.2, 0.4, 0.6, 0.8])
+    place = np.searchsorted(edges, blend(v) + 1e-12, side="right")
+    centre = [np.median(blend(v)[place == k]) for k in range(5)]
+    level = np.maximum.accumulate([c + np.median((v["label"] - blend(v))[place == k]) for k, c in enumerate(centre)])
+    calibrated = blend(p) + np.interp(blend(p), centre, level - centre)
+    assert np.allclose(p["calibrated"], calibrated)
+    left = np.sort(v["label"] - v["calibrated"])
+    up = int(np.ceil((len(v) + 1) * 0.95))
+    assert np.allclose(p["high"] - p["calibrated"], left[up - 1]) and np.allclose(p["low"] - p["calibrated"], left[len(v) - up])
+
+
+def test_rescored_transitions_keep_what_was_stored(spark):
+    got = {r["sale_id"]: r["probability"] for r in all_queries()["mdl_transition_rescore"](spark, LARGER).collect()}
+    rows = crossfit_queries.episodes(spark, LARGER)
+    before = rows.where("sale_date < DATE '1997-01-01'")
+    stored = {r["sale_id"]: r["probability"] for r in crossfit.crossfit_transition(before, crossfit_queries.EPISODE_INPUTS)[0].collect()}
+    kept = [i for i, x in stored.items() if x is not None]
+    assert len(got) == rows.count() > len(stored) > len(kept) > 0
+    assert all(got[i] == pytest.approx(stored[i], abs=1e-4) for i in kept)
+    labelled = ranks.running(before.where("label IS NOT NULL"), [], ["sale_date", "sale_id"], "_nth")
+    told = {r["sale_id"]: r["probability"] for r in crossfit.fit_transition(labelled, crossfit_queries.EPISODE_INPUTS).score(rows).collect()}
+    assert all(got[i] == pytest.approx(x, abs=1e-4) for i, x in told.items() if stored.get(i) is None)
