@@ -59,7 +59,7 @@ def noting():
     try:
         yield folders
     finally:
-        _NOTED.remove(folders)
+        _NOTED.pop()
 
 
 def delete(spark: SparkSession, folders: list[str]) -> None:

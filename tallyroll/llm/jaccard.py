@@ -374,9 +374,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     every = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "sketch", "row")
     nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node"))
-
+    every = written(every.drop("sketch", "row"), "jaccard-rows")
+    members = written(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("node")), "jaccard-members")
     pairs = written(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
+    discard(found)
     links = _verify(pairs, nodes, docs, text, doc_id, width, percent)
     tried, root, most = pairs, roots(links), 4
     while True:
@@ -391,8 +392,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
                 root = roots(links)
         # Of the other groups all pairs within the bound have been tried now; links only join components.
         left = torn.join(close.where("cut is not null").select(F.col("cut").alias("lo")).distinct(), "lo", "left_semi").select("group")
-        members = written(members.join(left, "group", "left_semi"), "jaccard-members")
-        discard(close, torn, rows_)
+        before, members = members, written(members.join(left, "group", "left_semi"), "jaccard-members")
+        discard(before, close, torn, rows_)
         if members.isEmpty():
             break
         most *= 8
@@ -401,5 +402,5 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     placed = nodes.select("node", "first").join(root, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     least = placed.groupBy("_root").agg(F.min("first").alias("component_id"))
     component = written(placed.join(least, "_root").select("node", "component_id"), "jaccard-components")
-    done = every.drop("sketch", "row").join(component, "node", "left")
+    done = every.join(component, "node", "left")
     return done.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
