@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import inspect
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +87,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """An Arrow function (of batches or of a group) after which its worker gives freed memory back to the system.
+
+    Workers outlive their tasks; without this what one step's arrays took stays with them through all later steps.
+    """
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            yield from f(batches)
+            _give_back()
+
+    else:
+
+        def run(part):
+            out = f(part)
+            _give_back()
+            return out
+
+    return run
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of ``written`` frames that nothing will read again."""
     for df in frames:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, lean, written
 from .components import roots
 
 WIDTH = 4
@@ -160,6 +160,7 @@ FOUND = "kind int, a long, b long, n long, sketch binary, row long"
 def _draw(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, buckets: int) -> DataFrame:
     """(bucket, kind, blob): the documents' nodes and sketches, and the block keys dealt to buckets."""
 
+    @lean
     def draw(batches):
         bands = Bands(percent)
         for number, batch in enumerate(batches):
@@ -207,6 +208,7 @@ def _found(kind: int, a, b, n=None, sketches=None, row=None) -> pa.Table:
     return pa.table([pa.array(np.full(rows, kind, np.int32)), pa.array(a) if isinstance(a, np.ndarray) else a, pa.array(b) if isinstance(b, np.ndarray) else b, none(n, pa.int64()), none(sketches, pa.binary()), none(row, pa.int64())], schema=FOUND_ARROW)
 
 
+@lean
 def _meet(part: pa.Table) -> pa.Table:
     """Of one bucket: its documents, the pairs of nodes to try, the members of its large groups."""
     out, nodes, keys = [], [], []
@@ -271,6 +273,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
     owners = wanted.join(nodes, "node").select("row", "node")
     source = docs.select(_row(text, doc_id).alias("row"), F.col(f"`{text}`").alias("_t")).join(owners, "row")
 
+    @lean
     def sets(batches):
         for b in batches:
             got = [(n, s.tobytes()) for t, n in zip(b.column("_t").to_pylist(), b.column("node").to_pylist()) if node_of(s := shingles(t, width)) == n]
@@ -280,6 +283,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
     side = lambda c: held.select(F.col("node").alias(c), F.col("tokens").alias(f"t_{c}"))
     both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
+    @lean
     def count(batches):
         for b in batches:
             ok = []
@@ -324,6 +328,7 @@ def _close_pairs(rows: DataFrame, nodes: DataFrame, percent: int, most: int) ->
     tasks = 64 * max(1, -(-groups.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] // 64)) if not groups.isEmpty() else 64
     deal = F.pmod(F.xxhash64("lo", "i", "j"), F.lit(tasks)).cast("int")
 
+    @lean
     def meet(part: pa.Table) -> pa.Table:
         part = part.sort_by([("lo", "ascending"), ("i", "ascending"), ("j", "ascending")])
         group, i, j, block, node, root_, same, n = (part[c].to_numpy() for c in ("lo", "i", "j", "block", "node", "root", "same", "n"))
