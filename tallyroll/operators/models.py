@@ -31,9 +31,9 @@ def _features(numeric: list[str], categorical: list[str], one_hot: bool) -> list
     return stages
 
 
-def fit_arm(df: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str, weight: str | None = None):
-    """A fitted pipeline; ``kind``: gbt, forest or ridge.  Its prediction is in the column ``kind``."""
-    own = {"labelCol": label, "featuresCol": "features", "predictionCol": kind} | ({"weightCol": weight} if weight else {})
+def fit_arm(df: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str, weight: str | None = None, output: str | None = None):
+    """A fitted pipeline; ``kind``: gbt, forest or ridge.  Its prediction is in the column ``output``, by default ``kind``."""
+    own = {"labelCol": label, "featuresCol": "features", "predictionCol": output or kind} | ({"weightCol": weight} if weight else {})
     if kind == "gbt":
         model = GBTRegressor(maxDepth=4, maxIter=12, stepSize=0.2, seed=SEED, maxBins=64, **own)
     elif kind == "forest":

@@ -18,6 +18,8 @@ ELEVATED_SHARE, HIGH_SHARE = 0.75, 0.90
 LEAST_SPEARMAN, LEAST_RMSE_RATIO = 0.10, 1.20
 RETAINED = (0.25, 0.50, 0.75, 0.90, 1.0)
 TIERS = ("standard", "elevated", "high")
+#: The model's own prediction, under a name that rows scored by other arms don't have.
+ARM = "_risk_gbt"
 
 
 def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
@@ -88,7 +90,7 @@ class Risk:
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:
-    out = model.transform(rows).withColumn("risk_score", F.greatest("gbt", F.lit(0.0)))
+    out = model.transform(rows).withColumn("risk_score", F.greatest(ARM, F.lit(0.0)))
     return out.select(*rows.columns, "risk_score")
 
 
@@ -103,7 +105,7 @@ def fit_risk(validation: DataFrame, test: DataFrame, inputs: list[str], error: s
     filled = lambda df: df.fillna(0.0, inputs)
     placed = kept(ranks.running(filled(validation), [], order, "_nth"), "risk-validation")
     cut = max(1, int(placed.count() * 0.8))
-    model = fit_arm(placed.where(F.col("_nth") <= cut), "gbt", inputs, [], error)
+    model = fit_arm(placed.where(F.col("_nth") <= cut), "gbt", inputs, [], error, output=ARM)
     calibration = kept(_scored(model, placed.where(F.col("_nth") > cut)), "risk-calibration")
     elevated, high = (ranks.quantile(calibration, "risk_score", q) for q in (ELEVATED_SHARE, HIGH_SHARE))
     scored = kept(_scored(model, filled(test)), "risk-test")

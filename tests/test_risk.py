@@ -73,6 +73,16 @@ def test_fit_and_fall_back(spark):
         assert {tuple(x) for x in r.score(df).select("risk_score", "risk_tier").distinct().collect()} == {(0.0, "standard")}
 
 
+def test_rows_may_carry_other_arms(spark):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"i": np.arange(1000), "x": rng.uniform(0, 1, 1000), "gbt": 1.0, "forest": 2.0, "error": rng.uniform(0, 1, 1000)})
+    df = spark.createDataFrame(p)
+    found = risk.fit_risk(df.where("i < 600"), df.where("i >= 600"), ["x"], "error", ["i"])
+    assert found.model is not None
+    assert {tuple(r) for r in found.score(df).select("gbt", "forest").distinct().collect()} == {(1.0, 2.0)}
+    assert all(r["risk_score"] >= 0 for r in risk._scored(found.model, df).collect())
+
+
 def test_query_uses_only_what_came_before(spark):
     validation, test = mart_queries.risk_inputs(spark, SF)
     assert validation.agg(F.max("sale_date")).first()[0] <= test.agg(F.min("sale_date")).first()[0]
