@@ -149,3 +149,10 @@ def test_screen_flags(spark):
         "over": "over", "disputed": "within_range", "new": "within_range", "under": "under", "none": "no_assessment", "noarea": "insufficient_data", "noconf": "over",
     }
     assert got["new"]["attention"] == "high" and got["noarea"]["display_ratio"] is None
+
+
+def test_histogram_bins_are_as_wide_as_the_decimals_say(spark):
+    edges = [0.45, 0.65, 0.7, 0.8, 0.9, 1.0, 1.6]  # (x - 0.4) / (1.2 / 24) is whole or more, (x - 0.4) / ((1.6 - 0.4) / 24) less
+    at = lambda width: [min(math.floor((x - 0.4) / width), 23) for x in edges]
+    got = screen.histogram(spark.createDataFrame([(x,) for x in edges], "x double"), "x", 0.4, 1.6, 24, ["x"]).collect()
+    assert [r["bin"] for r in sorted(got)] == at(1.2 / 24) != at((1.6 - 0.4) / 24)
