@@ -56,7 +56,7 @@ SELECT id AS point_id, min(c) AS component FROM w GROUP BY id"""
 )
 def geo_connected_components(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return geometry.connected_components(p, geometry.neighbour_edges(p, 100.0))
+    return geometry.near_components(p, 100.0)
 
 
 @query(
@@ -66,7 +66,7 @@ SELECT component, count(*) AS units FROM m GROUP BY component"""
 )
 def mkt_building_clusters(spark, sf_dir):
     units = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS point_id", *_XY)
-    found = geometry.connected_components(units, geometry.neighbour_edges(units, 300.0))
+    found = geometry.near_components(units, 300.0)
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("units"))
 
 

@@ -62,3 +62,29 @@ def test_districts_hold_the_areas(spark):
     got = {r["area"]: r for r in models.districts(sold, 2).collect()}
     assert len(got) == 10 and all(r["n"] == 10 and r["level"] == 45.0 + a for a, r in got.items())
     assert len({r["district"] for a, r in got.items() if a < 5}) == 1 and got[0]["district"] != got[5]["district"]
+
+
+def test_components_of_long_chains_and_dense_spots(spark):
+    """Chains of hundreds of steps settle; spots of many points, places unknown and steps just beyond reach are told apart."""
+    rng = random.Random(5)
+    ids = list(range(700))
+    rng.shuffle(ids)
+    rows = [(ids[i], i * 99.0, 0.0) for i in range(200)]
+    rows += [(ids[200 + i], rng.uniform(0, 1500), 5000 + rng.uniform(0, 1500)) for i in range(300)]
+    rows += [(ids[500 + i], 9e4 + rng.uniform(0, 40), 9e4 + (i % 2) * 139.0) for i in range(198)]
+    rows += [(ids[698], None, 0.0), (ids[699], 199 * 99.0 + 100.001, 0.0)]
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, x, y in rows:
+        for j, a, b in rows:
+            if None not in (x, a) and (x - a) ** 2 + (y - b) ** 2 <= 100.0**2:
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    got = {r["point_id"]: r["component"] for r in geometry.near_components(spark.createDataFrame(rows, "point_id long, x_m double, y_m double"), 100.0).collect()}
+    assert got == {i: root(i) for i in parent}
