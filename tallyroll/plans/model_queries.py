@@ -46,7 +46,7 @@ SELECT point_id, {r("d", "distance")} FROM m"""
 def geo_nearest_distance(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").selectExpr("CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS x1", "CAST((s_suppkey * 104729) % 10009 AS DOUBLE) AS y1")
     s = s.withColumns({"x2": F.col("x1") + 500, "y2": F.col("y1") + 300})
-    return geometry.nearest_segment(_points(spark, sf_dir), s, 500.0, 3)
+    return geometry.nearest_segment(_points(spark, sf_dir), s, 500.0, 1)
 
 
 @query(
