@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import comps, geometry, intervals, models
+from ..sources.lake import kept
 from .adapters import read, sales
 from .catalog import query, r
 
@@ -120,7 +121,7 @@ def _sale_points(spark, sf_dir):
     """Orders as sale points: log price per area less the median of its month."""
     p = sales(spark, sf_dir).select(F.col("sale_id").alias("point_id"), "x_m", "y_m", F.trunc("sale_date", "month").alias("month"), F.ln(F.col("sale_price") / F.col("area")).alias("v"))
     months = p.groupBy("month").agg(F.median("v").alias("_m"))
-    return p.join(months, "month").select("point_id", "x_m", "y_m", (F.col("v") - F.col("_m")).alias("level"))
+    return kept(p.join(months, "month").select("point_id", "x_m", "y_m", (F.col("v") - F.col("_m")).alias("level")), "sale-points")
 
 
 def _parcels(spark, sf_dir):
