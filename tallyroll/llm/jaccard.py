@@ -360,6 +360,12 @@ def _close_pairs(rows: DataFrame, nodes: DataFrame, percent: int, most: int) ->
     return written(rows.withColumn("deal", deal).groupBy("deal").applyInArrow(meet, "a long, b long, cut long"), "jaccard-close")
 
 
+def _cut_short(rows: DataFrame, close: DataFrame) -> DataFrame:
+    """(group, node) of the merged groups where some node had more close pairs than it gave; a node is one row, not one for each block it shares."""
+    cut = close.where("cut is not null").select(F.col("cut").alias("lo")).distinct()
+    return rows.join(cut, "lo").select(F.col("lo").alias("group"), "node")
+
+
 def _fold(sketch_: bytes, size: int) -> np.ndarray:
     x = np.frombuffer(sketch_, np.uint64)
     while 8 * len(x) > size:
@@ -396,8 +402,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
                 links = links.unionByName(new)
                 root = roots(links)
         # Of the other groups all pairs within the bound have been tried now; links only join components.
-        left = torn.join(close.where("cut is not null").select(F.col("cut").alias("lo")).distinct(), "lo", "left_semi").select("group")
-        before, members = members, written(members.join(left, "group", "left_semi"), "jaccard-members")
+        before, members = members, written(_cut_short(rows_, close), "jaccard-members")
         discard(before, close, torn, rows_)
         if members.isEmpty():
             break

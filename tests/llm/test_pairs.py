@@ -113,3 +113,12 @@ def test_rows_that_share_an_id_are_found_by_their_own_text(spark):
     drawn = jaccard._draw(df, "text", "doc_id", 4, 85, 4).groupBy("bucket").applyInArrow(jaccard._meet, jaccard.FOUND)
     keys = {r["row"] for r in drawn.where("kind = 0").collect()}
     assert len(keys) == len(rows)  # no two of them meet under one key
+
+
+def test_groups_go_on_merged(spark):
+    # Three blocks of the same torn nodes are one group by their smallest root; it goes on with a row for each node.
+    members = spark.createDataFrame([(g, n) for g in (91, 92, 93) for n in range(10, 15)] + [(94, 50), (94, 51)], "group long, node long")
+    root = spark.createDataFrame([(11, 10), (51, 50)], "node long, root long")
+    _, rows = jaccard._torn(members, root)
+    close = spark.createDataFrame([(10, 12, 10), (10, 13, 10), (11, 14, None)], "a long, b long, cut long")
+    assert sorted(tuple(r) for r in jaccard._cut_short(rows, close).collect()) == [(10, n) for n in range(10, 15)]
