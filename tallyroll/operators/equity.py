@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import digitize, ratio
+from . import ranks
+from .ratio import ends_by
 
 
 def annual_roll(rolls: DataFrame, old: int, new: int) -> DataFrame:
@@ -53,14 +57,10 @@ def tax_shift(df: DataFrame, assessed: str, fair: str, edges: list[float], rate:
 
 def robustness_grid(pairs: DataFrame, subset: str, by: list[str]) -> DataFrame:
     """Bottom and top fifth medians for all rows and a subset, by each of several columns."""
-    long = pairs.withColumn("which", F.explode(F.when(F.col(subset), F.array(F.lit("all"), F.lit("subset"))).otherwise(F.array(F.lit("all")))))
-    cases = F.explode(F.array(*[F.struct(F.lit(b).alias("by"), F.col(b).cast("double").alias("x")) for b in by]))
-    long = long.select("which", "r", cases.alias("c")).select("which", "r", "c.by", "c.x")
-    cut = long.groupBy("which", "by").agg(F.percentile("x", F.lit(0.2)).alias("lo"), F.percentile("x", F.lit(0.8)).alias("hi"))
-    rows = long.join(cut, ["which", "by"])
-    return rows.groupBy("which", "by").agg(
-        F.median(F.when(F.col("x") <= F.col("lo"), F.col("r"))).alias("q1_median"), F.median(F.when(F.col("x") >= F.col("hi"), F.col("r"))).alias("q5_median")
-    )
+    pairs, size = ranks.sized(pairs.select(F.col(subset).alias("_subset"), "r", *[F.col(b).cast("double").alias(b) for b in by]), [])
+    long = pairs.withColumn("which", F.explode(F.when(F.col("_subset"), F.array(F.lit("all"), F.lit("subset"))).otherwise(F.array(F.lit("all")))))
+    ends = [ends_by(long, b, ["which"], size).select("which", F.lit(b).alias("by"), "q1_median", "q5_median") for b in by]
+    return functools.reduce(DataFrame.unionByName, ends)
 
 
 def promotion_gate(challenger: DataFrame, incumbent: DataFrame, key: str, metric: str, tolerance: float) -> DataFrame:
