@@ -164,7 +164,7 @@ NUMERIC, CATEGORICAL = ["area", "x_m", "y_m", "month"], ["priority"]
 def _sample(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sale_id"), F.col("o_orderpriority").alias("priority"))
     rows = sales(spark, sf_dir).join(o, "sale_id").withColumns({"month": F.month("sale_date").cast("double"), "label": F.ln("sale_price") / 4 + F.ln("area")})
-    return intervals.time_split(rows, "sale_date", "sale_id")
+    return kept(intervals.time_split(rows, "sale_date", "sale_id"), "sample")  # every stage of a fit reads it again
 
 
 def _scored(spark, sf_dir, kind):
