@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +27,8 @@ RECORD_OUTLIER_SHARE = 0.95
 MAD_TO_SIGMA = 1.4826
 MOST_ROOMS = 20.0
 FEWEST_PER_FOLD = 100
+#: Steps of a number, as many as the trees tell apart, and how many models are fitted at once.
+BINS, FITS_AT_ONCE = 64, 4
 #: Fixed names of the result, with their types.
 QUALITY = {
     "quality_expected_livable_area": "double", "quality_area_reference_low_90": "double", "quality_area_reference_high_90": "double",
@@ -39,13 +43,72 @@ def hash_fold(key: str, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
 
 
-def out_of_fold(rows: DataFrame, learned: Column, label: Column, numeric: list[str], categorical: list[str], folds: int, name: str) -> DataFrame:
-    """``rows`` with ``name``: each row's prediction by the arm fitted to the ``learned`` rows of the other folds."""
-    ready = rows.withColumn("_label", label)
+def binned(rows: DataFrame, numeric: list[str]) -> DataFrame:
+    """``rows`` with ``_<name>_bin`` for each of ``numeric``: its place among at most ``BINS`` steps of about as many rows, null for none.
+
+    A column of at most ``BINS`` values has a step for each.  The steps depend on the columns themselves alone.
+    """
+    num = {c: F.col(c).cast("double") for c in numeric}
+    num = {c: F.when(~F.isnan(v), v) for c, v in num.items()}
+    shares = [k / (BINS - 1) for k in range(BINS - 1)]
+    told = rows.agg(*[F.percentile_approx(v, shares, 10_000).alias(f"e_{c}") for c, v in num.items()], *[F.approx_count_distinct(v).alias(f"n_{c}") for c, v in num.items()]).first()
+    out = {}
+    for c, v in num.items():
+        edges = sorted(set(told[f"e_{c}"] or []))
+        if told[f"n_{c}"] < 2 * BINS:
+            each = sorted(r[0] for r in rows.select(v.alias("v")).where("v IS NOT NULL").distinct().limit(BINS + 1).collect())
+            edges = each[:-1] if each and len(each) <= BINS else edges
+        out[f"_{c}_bin"] = F.when(v.isNotNull(), _steps_below(v, edges, 0, len(edges)))
+    return rows.withColumns(out)
+
+
+def _steps_below(v: Column, edges: list[float], low: int, high: int) -> Column:
+    """How many of the sorted ``edges`` are below ``v``, by halving; between ``low`` and ``high`` of them."""
+    if low == high:
+        return F.lit(float(low))
+    middle = (low + high) // 2
+    return F.when(F.lit(edges[middle]) < v, _steps_below(v, edges, middle + 1, high)).otherwise(_steps_below(v, edges, low, middle))
+
+
+def out_of_fold(rows: DataFrame, labels: dict[str, tuple[Column, Column]], numeric: list[str], categorical: list[str], folds: int) -> DataFrame:
+    """``rows`` with a column for each name of ``labels`` (which rows are learned from, and their label): each row's
+    prediction by the arm fitted to the learned rows of the other folds.
+
+    Trees see numbers only by steps (``binned``), so rows that are alike in all steps and categories are one row of their
+    number and mean label: a fit's work doesn't grow with the table but with how many differ.
+    """
+    ready = binned(rows, numeric)
+    bins = [f"_{c}_bin" for c in numeric]
+    sums = [e for t, (learned, label) in labels.items() for e in (F.count_if(learned & label.isNotNull()).alias(f"{t}_n"), F.sum(F.when(learned, label)).alias(f"{t}_sum"))]
+    alike = kept(ready.groupBy("fold", *bins, *categorical).agg(*sums).where(" + ".join(f"{t}_n" for t in labels) + " > 0"), "alike")
+    # How many rows of each fold lie in each step: the middle one stands for a number that is missing.
+    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("bin")) for c in bins])).alias("s")
+    counts = alike.select("fold", steps, *[f"{t}_n" for t in labels]).where("s.bin IS NOT NULL").groupBy("fold", "s.name", "s.bin").agg(*[F.sum(f"{t}_n").alias(t) for t in labels]).collect()
+
+    def middle(t: str, f: int, c: str) -> float:
+        held = sorted((r["bin"], r[t]) for r in counts if r["fold"] != f and r["name"] == c)
+        half = sum(n for _, n in held) / 2
+        return next((b for i, (b, _) in enumerate(held) if sum(n for _, n in held[: i + 1]) >= half), 0.0)
+
+    def fit(task: tuple[str, int]):
+        t, f = task
+        filled = {c: middle(t, f, c) for c in bins}
+        some = alike.where((F.col("fold") != f) & (F.col(f"{t}_n") > 0)).fillna(filled)
+        some = some.groupBy(*bins, *categorical).agg(F.sum(f"{t}_n").cast("double").alias("_weight"), (F.sum(f"{t}_sum") / F.sum(f"{t}_n")).alias("_label"))
+        return filled, fit_arm(some, "gbt", bins, categorical, "_label", weight="_weight", output=t)
+
+    tasks = [(t, f) for t in labels for f in range(folds)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        arms = dict(zip(tasks, pool.map(inheritable_thread_target(fit), tasks)))
     parts = []
     for f in range(folds):
-        arm = fit_arm(ready.where(learned & (F.col("fold") != f)), "gbt", numeric, categorical, "_label")
-        parts.append(arm.transform(ready.where(F.col("fold") == f)).withColumnRenamed("gbt", name).select(*rows.columns, name))
+        out, names = ready.where(F.col("fold") == f), list(rows.columns)
+        for t in labels:
+            filled, arm = arms[t, f]
+            told = arm.transform(out.withColumns({f"_own_{c}": F.col(c) for c in bins}).fillna(filled, bins))
+            names.append(t)
+            out = told.select(*names, *[F.col(f"_own_{c}").alias(c) for c in bins])
+        parts.append(out.select(*names))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -82,9 +145,8 @@ def characteristic_quality(
         none = [(F.lit(False) if t == "boolean" else F.lit(None).cast(t)).alias(c) for c, t in QUALITY.items()]
         return records.select("parcel_id", *none), {"status": "not_fit", "reason": reason}
     log_area = F.when(fine("livable_area"), F.ln(F.greatest("livable_area", F.lit(1.0))))
-    out = out_of_fold(rows, coherent, log_area, numeric, categorical, folds, "_log_area")
-    for c, p in positive.items():
-        out = out_of_fold(out, p, F.log1p(F.greatest(c, F.lit(0.0))), numeric, categorical, folds, f"_{c}")
+    labels = {"_log_area": (coherent, log_area)} | {f"_{c}": (p, F.log1p(F.greatest(c, F.lit(0.0)))) for c, p in positive.items()}
+    out = out_of_fold(rows, labels, numeric, categorical, folds)
     out = kept(out.withColumn("_residual", log_area - F.col("_log_area")), "reconstructed")
     seen = out.where(calibrated & F.col("_residual").isNotNull())
     centre = ranks.median(seen, "_residual")

@@ -62,6 +62,23 @@ def test_own_record_does_not_move_its_score(records, scored):
         assert max(worst) < 1e-9
 
 
+def test_rows_that_are_alike_are_learned_as_one(spark, monkeypatch):
+    rows = spark.range(9000).selectExpr(
+        "id AS parcel_id", "600.0 + id % 31 * 40 + id % 7 AS livable_area", "1.0 + id % 31 DIV 8 AS beds", "1.0 + id % 2 AS baths", "650.0 + id % 31 * 40 AS gross_area", "CAST(NULL AS DOUBLE) AS area_conflict",
+        "IF(id % 11 = 0, NULL, CAST(id % 31 AS DOUBLE)) AS footprint", "IF(id % 2 = 0, 'row', 'twin') AS style",
+    )
+    sizes, fit = [], crossfit.fit_arm
+    monkeypatch.setattr(crossfit, "fit_arm", lambda df, *a, **b: (sizes.append(df.count()), fit(df, *a, **b))[1])
+    out, told = crossfit.characteristic_quality(rows, ["footprint"], ["style"])
+    assert told["area_records"] == 9000 and len(sizes) == 9 and max(sizes) <= 62  # 31 steps in two styles, however many records
+    # The trees are those of all rows, one by one, with the median where a number is missing.
+    ready = rows.withColumns({"fold": crossfit.hash_fold("parcel_id", 3, 42), "_label": F.ln("livable_area")})
+    arm = fit(ready.where("fold <> 1"), "gbt", ["footprint"], ["style"], "_label")
+    both = arm.transform(ready.where("fold = 1")).select("parcel_id", "gbt").join(out, "parcel_id")
+    n, worst = both.agg(F.count(F.lit(1)), F.max(F.abs(F.col("gbt") - F.ln("quality_expected_livable_area")))).first()
+    assert n == rows.where(crossfit.hash_fold("parcel_id", 3, 42) == 1).count() and worst < 1e-9
+
+
 def test_too_few_records(records):
     out, told = crossfit.characteristic_quality(records.limit(50), crossfit_queries.RECORD_NUMERIC, crossfit_queries.RECORD_CATEGORICAL)
     assert told == {"status": "not_fit", "reason": "too_few_coherent_area_records"} and dict(out.dtypes) == {"parcel_id": "bigint", **crossfit.QUALITY}
