@@ -5,7 +5,7 @@ All joins are on the parcel; a row of the anchor without events keeps zero count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known
@@ -27,20 +27,30 @@ def completion_date(*dates: str):
     return F.least(*dates)
 
 
+def counts_before(day: str | Column, flags: dict, since: dict | None = None, days: int = WINDOW_DAYS) -> list[Column]:
+    """What ``before_anchor`` counts, of rows with a sale and an event of its parcel."""
+    age = F.datediff("sale_date", day)
+    inside, holds = known((age > 0) & (age <= days)), lambda c: F.lit(True) if c is None else known(c)
+    return [
+        *[F.count_if(inside & holds(c)).alias(n) for n, c in flags.items()],
+        *[F.min(F.when((age > 0) & holds(c), age)).cast("long").alias(n) for n, c in (since or {}).items()],
+    ]
+
+
+def is_open(opened: str, closed: str) -> Column:
+    """Whether the event was opened on or before the sale and not closed by then."""
+    return known((F.col(opened) <= F.col("sale_date")) & (F.col(closed).isNull() | (F.col(closed) > F.col("sale_date"))))
+
+
 def before_anchor(anchors: DataFrame, events: DataFrame, day: str, flags: dict, since: dict | None = None, days: int = WINDOW_DAYS) -> DataFrame:
     """sale_id and, over events strictly before it and at most ``days`` old, a count per flag.
 
     ``flags``: name -> condition on the event (None: all).  ``since``: name -> condition; days
     since the last such event of any age.
     """
-    age = F.datediff("sale_date", day)
     e = events.withColumnRenamed("parcel_id", "_parcel")
-    both = anchors.select("sale_id", "parcel_id", "sale_date").join(e, F.col("parcel_id") == F.col("_parcel")).where(age > 0)
-    inside = age <= days
-    found = both.groupBy("sale_id").agg(
-        *[F.count_if(inside & known(c) if c is not None else inside).alias(n) for n, c in flags.items()],
-        *[F.min(F.when(known(c) if c is not None else F.lit(True), age)).cast("long").alias(n) for n, c in (since or {}).items()],
-    )
+    both = anchors.select("sale_id", "parcel_id", "sale_date").join(e, F.col("parcel_id") == F.col("_parcel")).where(F.datediff("sale_date", day) > 0)
+    found = both.groupBy("sale_id").agg(*counts_before(day, flags, since, days))
     out = anchors.select("sale_id").join(found, "sale_id", "left")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in flags})
 
@@ -49,8 +59,7 @@ def open_at_anchor(anchors: DataFrame, events: DataFrame, opened: str, closed: s
     """Events opened on or before the anchor and not closed by then, a count per flag."""
     e = events.withColumnRenamed("parcel_id", "_parcel")
     both = anchors.select("sale_id", "parcel_id", "sale_date").join(e, F.col("parcel_id") == F.col("_parcel"))
-    live = (F.col(opened) <= F.col("sale_date")) & (F.col(closed).isNull() | (F.col(closed) > F.col("sale_date")))
-    found = both.where(live).groupBy("sale_id").agg(*[F.count_if(known(c) if c is not None else F.lit(True)).alias(n) for n, c in flags.items()])
+    found = both.where(is_open(opened, closed)).groupBy("sale_id").agg(*[F.count_if(known(c) if c is not None else F.lit(True)).alias(n) for n, c in flags.items()])
     out = anchors.select("sale_id").join(found, "sale_id", "left")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in flags})
 
