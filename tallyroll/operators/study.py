@@ -99,11 +99,12 @@ def residual_bands(df: DataFrame, group: str, prediction: str, edges: list[float
     """Median residual gap between the group's two sides per prediction bin, shrunk by n / (n + 500)."""
     from ..functions.columns import digitize
 
-    rows = df.withColumn("bin", digitize(prediction, edges))
-    out = rows.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.median(F.when(F.col(group), F.col(residual))) - F.median(F.when(~F.col(group), F.col(residual)))).alias("gap"),
-    )
+    rows = df.select(digitize(prediction, edges).alias("bin"), F.col(group).alias("_side"), F.col(residual).alias("_e"))
+    rows, size = ranks.sized(rows, ["bin", "_side"])
+    middle = ranks.group_quantiles(rows, ["bin", "_side"], "_e", {"_middle": 0.5}, size=size)
+    of = lambda side: F.max(F.when(side, F.col("_middle")))
+    gaps = middle.groupBy("bin").agg((of(F.col("_side")) - of(~F.col("_side"))).alias("gap"))
+    out = ranks.same_keys(rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), gaps, ["bin"], "left")
     return out.withColumn("gap", F.col("gap") * F.col("n") / (F.col("n") + 500))
 
 

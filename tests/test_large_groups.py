@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyroll.operators import equity, folds, geometry, intervals, ranks, ratio, ratio_studies
+from tallyroll.operators import equity, folds, geometry, intervals, ranks, ratio, ratio_studies, study
 from tallyroll.plans import model_queries
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +32,7 @@ FORMS = {
     "cqr": lambda d: intervals.cqr_correction(d, "log_price", "r", "sale", ["k"]),
     "risk_coverage": lambda d: intervals.risk_coverage(d, "r", "predicted", ["k"]),
     "group_gap": lambda d: ratio_studies.group_gap(d, ["k"], "side"),
+    "residual_bands": lambda d: study.residual_bands(d.withColumn("side", F.when(F.col("r") > 1.5, F.col("side"))), "side", "sale", [3e4, 6e4], "predicted"),
     "robustness_grid": lambda d: equity.robustness_grid(d.withColumn("est", F.col("r") * F.col("sale")), "side", ["sale", "est"]),
 }
 
