@@ -5,14 +5,17 @@ Random choices are seeded; what a fit sees is split by time before.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lake import kept
 from . import ranks
 
 SEED = 7
@@ -54,18 +57,46 @@ def isotonic_residual(df: DataFrame, prediction: str, label: str):
     return IsotonicRegression(featuresCol=prediction, labelCol="_residual", predictionCol="correction").fit(rows)
 
 
-def forest_quantiles(fitted: DataFrame, target: DataFrame, key: str, label: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """key, q_low, q_high: quantiles of the fit rows' label in each leaf, averaged over the trees.
+def leaf_quantiles(fitted: DataFrame, label: str, shares: dict[str, float], in_one_task: int | None = None) -> DataFrame:
+    """tree, leaf and for each name of ``shares`` that quantile of the fit rows' label in the leaf.
+
+    The trees share the label's order, so many rows are dealt by steps of it once for all trees, and only the values of the
+    steps around a leaf's quantiles are put in order.
+    """
+    rows = fitted.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_v"), vector_to_array("leaves").cast("array<int>").alias("_leaves"))
+    leaf = F.posexplode("_leaves").alias("tree", "leaf")
+    if rows.count() <= (ranks.IN_ONE_TASK if in_one_task is None else in_one_task):
+        return rows.select("_v", leaf).groupBy("tree", "leaf").agg(*[F.percentile("_v", F.lit(s)).alias(name) for name, s in shares.items()])
+    dealt = kept(ranks.dealt_by_value(kept(rows, "leaves"), [], F.col("_v"), ranks.MOST_PARTS), "dealt-leaves")
+    return ranks.dealt_quantiles(dealt.select("_v", "_part", leaf), ["tree", "leaf"], shares).drop("_n")
+
+
+def with_forest_quantiles(fitted: DataFrame, target: DataFrame, label: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``target`` with q_low and q_high: quantiles of the fit rows' label in each of the row's leaves, averaged over the trees.
 
-    Both frames carry ``leaves`` from the forest arm.
+    Both frames carry ``leaves`` from the forest arm.  One row for each leaf of the forest, whose size the
+    fit bounds, reaches the driver and goes to every task, so no row is copied for each tree.
     """
-    leaf = lambda df: F.posexplode(vector_to_array("leaves"))
-    table = fitted.select(label, leaf(fitted).alias("tree", "leaf")).groupBy("tree", "leaf").agg(
-        F.percentile(label, F.lit(low)).alias("_lo"), F.percentile(label, F.lit(high)).alias("_hi")
-    )
-    rows = target.select(key, leaf(target).alias("tree", "leaf")).join(table, ["tree", "leaf"])
-    out = rows.groupBy(key).agg(F.avg("_lo").alias("_a"), F.avg("_hi").alias("_b"))
-    return out.select(key, F.least("_a", "_b").alias("q_low"), F.greatest("_a", "_b").alias("q_high"))
+    table = leaf_quantiles(fitted, label, {"_lo": low, "_hi": high}).collect()
+    wide = [1 + max((r["leaf"] for r in table if r["tree"] == t), default=-1) for t in range(1 + max((r["tree"] for r in table), default=-1))]
+    found = {c: [[None] * n for n in wide] for c in ("_lo", "_hi")}
+    for r in table:
+        for c in found:
+            found[c][r["tree"]][r["leaf"]] = r[c]
+    told = lambda c: F.from_json(F.lit(json.dumps(found[c])), "array<array<double>>")
+    leaves = vector_to_array("leaves").cast("array<int>")
+
+    def mean(c: str) -> Column:
+        own = F.array_compact(F.transform(leaves, lambda leaf, tree: F.get(F.get(F.col(c), tree), leaf)))
+        return F.try_divide(F.aggregate(own, F.lit(0.0), lambda s, v: s + v), F.nullif(F.size(own), F.lit(0)))
+
+    both = target.withColumns({c: told(c) for c in found}).withColumns({"_a": mean("_lo"), "_b": mean("_hi")})
+    return both.withColumns({"q_low": F.least("_a", "_b"), "q_high": F.greatest("_a", "_b")}).drop("_lo", "_hi", "_a", "_b")
+
+
+def forest_quantiles(fitted: DataFrame, target: DataFrame, key: str, label: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """key, q_low, q_high of ``with_forest_quantiles``, without rows that have none."""
+    return with_forest_quantiles(fitted, target, label, low, high).where("q_low IS NOT NULL").select(key, "q_low", "q_high")
 
 
 def market_areas(points: DataFrame, n_areas: int, columns: tuple[str, ...] = ("x_m", "y_m", "level"), scaled: bool = True) -> DataFrame:

@@ -202,8 +202,7 @@ def mdl_isotonic(spark, sf_dir):
 @query()
 def mdl_quantile_heads(spark, sf_dir):
     scored = _scored(spark, sf_dir, "forest")
-    q = models.forest_quantiles(scored.where("split = 'fit'"), scored.where("split = 'test'"), "sale_id", "label")
-    both = q.join(scored.select("sale_id", "label"), "sale_id")
+    both = models.with_forest_quantiles(scored.where("split = 'fit'"), scored.where("split = 'test'"), "label").where("q_low IS NOT NULL")
     return both.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").between(F.col("q_low"), F.col("q_high")).cast("double")).alias("coverage"))
 
 

@@ -4,9 +4,10 @@ import datetime
 import random
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tallyroll.operators import equity, folds, geometry, intervals, ranks, ratio, ratio_studies, study
+from tallyroll.operators import equity, folds, geometry, intervals, models, ranks, ratio, ratio_studies, study
 from tallyroll.plans import model_queries
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +94,15 @@ def test_sale_chasing_joins_once(spark, monkeypatch):
     rolls = spark.createDataFrame([(i, 1996, 90.0) for i in range(60)], "parcel_id int, roll_year int, roll_value double")
     out = ratio_studies.sale_chasing(sales, rolls, least=10)
     assert "parcel_id" not in plan(out) and [(r["window"], r["n"]) for r in out.collect()] == [("before_certification", 60)] and written == ["chased"]
+
+
+def test_leaves_of_many_rows_are_told_by_steps_of_the_label(spark, monkeypatch):
+    rng = random.Random(4)
+    made = [(i, rng.choice((2.0, rng.uniform(0, 9))), Vectors.dense([float(rng.randrange(5)), float(i % 3)])) for i in range(900)]
+    scored = spark.createDataFrame(made, ["id", "y", "leaves"]).withColumn("y", F.when(F.col("id") % 70 > 0, F.col("y"))).cache()
+    plain = rows_of(models.leaf_quantiles(scored, "y", {"a": 0.05, "b": 0.95}).select("tree", "leaf", "a", "b"))
+    monkeypatch.setattr(ranks, "IN_ONE_TASK", 100)
+    dealt = models.leaf_quantiles(scored, "y", {"a": 0.05, "b": 0.95}).select("tree", "leaf", "a", "b")
+    assert rows_of(dealt) == plain and len(plain) == 8 and "percentile" not in plan(dealt)
+    out = models.with_forest_quantiles(scored.where("id >= 30"), scored.where("id < 30"), "y")
+    assert "Join" not in plan(out) and "Generate" not in plan(out) and out.where("q_low <= q_high").count() == 30
