@@ -104,3 +104,10 @@ def test_lineage_finds_a_stale_grandparent(spark, tmp_path):
     lake.write_derived(df, base, "mart", "b", {"staged/a": "", "mart/d": ""}, built_at="2024-01-07T00:00:00Z")  # a circle ends
     assert lake.lineage(spark, base).where("table = input_table").count() == 3
     assert lake.provenance(spark, base).agg(F.max("rows")).first()[0] == 3
+
+
+def test_rows_that_are_learned_from_are_not_scored(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(lake, "kept", lambda df, tag, kept=lake.kept: written.setdefault(tag, kept(df, tag)))
+    mart_queries.risk_inputs(spark, SF)
+    assert {r[0] for r in written["risk-arms"].select("split").distinct().collect()} == {"validation", "test"}
