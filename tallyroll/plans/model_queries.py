@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.columns import M_PER_DEG_LAT, M_PER_DEG_LON_EQUATOR, ORIGIN_LAT, ORIGIN_LON
 from ..operators import comps, geometry, intervals, models
 from ..sources.lake import kept
 from .adapters import read, sales
@@ -100,7 +103,16 @@ def met_morans_i(spark, sf_dir):
     return geometry.morans_i(_points(spark, sf_dir), "c_acctbal", 10, 1000.0, 2)
 
 
-_GEO = "concat('{{\"type\":\"Polygon\",\"coordinates\":[[[0,0],[', CAST(10 + c_custkey % 40 AS {t}), ',0],[', CAST(10 + c_custkey % 40 AS {t}), ',20],[0,20],[0,0]]]}}')"
+def _rectangle(width: str, height: str) -> str:
+    """A SQL text of a GeoJSON part, in degrees, of so many metres from the plane's origin."""
+    lon, lat = M_PER_DEG_LON_EQUATOR * math.cos(math.radians(ORIGIN_LAT)), M_PER_DEG_LAT
+    corner = lambda x, y: f"'[', CAST({ORIGIN_LON}E0 + ({x}) / {lon}E0 AS STRING), ',', CAST({ORIGIN_LAT}E0 + ({y}) / {lat}E0 AS STRING), ']'"
+    return "concat('[[', " + ", ',', ".join(corner(x, y) for x, y in (("0", "0"), (width, "0"), (width, height), ("0", height), ("0", "0"))) + ", ']]')"
+
+
+_LOT = _rectangle("10 + c_custkey % 40", "20")
+# Every fifth lot is a multipolygon whose first part is a shed.
+_GEO = f"""CASE WHEN c_custkey % 5 > 0 THEN concat('{{"type":"Polygon","coordinates":', {_LOT}, '}}') ELSE concat('{{"type":"MultiPolygon","coordinates":[', {_rectangle("3", "2")}, ',', {_LOT}, ']}}') END"""
 
 
 @query(
@@ -110,8 +122,10 @@ SELECT id, {r("CASE WHEN id % 13 <> 0 THEN w * 20 END", "area")}, {r("CASE WHEN
 {r("CASE WHEN id % 13 <> 0 THEN 1 END", "box_area_ratio")}, {r("CASE WHEN id % 13 <> 0 THEN greatest(w, 20) / least(w, 20) END", "box_side_ratio")} FROM a"""
 )
 def stg_parcel_shapes(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"CASE WHEN c_custkey % 13 <> 0 THEN {_GEO.format(t='STRING')} WHEN c_custkey % 26 = 0 THEN 'no json' END AS g")
-    return geometry.shape_measures(rows.withColumn("ring", geometry.ring_of("g")), "ring").drop("g", "ring")
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"CASE WHEN c_custkey % 13 <> 0 THEN {_GEO} WHEN c_custkey % 26 = 0 THEN 'no json' END AS g")
+    rings = rows.select("id", geometry.in_metres(geometry.part_of("g")).alias("rings"))
+    parts = rings.select("id", F.get("rings", F.lit(0)).alias("ring"), F.slice("rings", F.lit(2), F.size("rings")).alias("holes"))
+    return geometry.shape_measures(parts, "ring", "holes").drop("ring", "holes")
 
 
 N_AREAS, N_DISTRICTS, VOTES = 350, 18, 7
