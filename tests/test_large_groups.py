@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tallyroll.operators import equity, folds, geometry, intervals, models, ranks, ratio, ratio_studies, study
-from tallyroll.plans import model_queries
+from tallyroll.plans import all_queries, model_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +106,18 @@ def test_leaves_of_many_rows_are_told_by_steps_of_the_label(spark, monkeypatch):
     assert rows_of(dealt) == plain and len(plain) == 8 and "percentile" not in plan(dealt)
     out = models.with_forest_quantiles(scored.where("id >= 30"), scored.where("id < 30"), "y")
     assert "Join" not in plan(out) and "Generate" not in plan(out) and out.where("q_low <= q_high").count() == 30
+
+
+def test_a_study_tells_fit_and_ratio_of_all_segments(spark):
+    got = {(r["arm"], r["segment"]): r for r in all_queries()["eq_retail_vs_blend"](spark, SF).collect()}
+    parts = ["overall", "cash", "financed", *(f"q{k}" for k in range(1, 6))]
+    assert set(got) == {(a, s) for a in ("retail", "blend") for s in parts} | {(a, s) for a in ("roll", "roll_retail") for s in parts[3:]}
+    for arm in ("retail", "blend"):
+        assert all(got[arm, s][c] is not None for s in parts for c in ("rmse_log", "mape", "r2_log", *ratio_studies.METRICS))
+        assert got[arm, "overall"]["n"] == got[arm, "cash"]["n"] + got[arm, "financed"]["n"] == sum(got[arm, s]["n"] for s in parts[3:])
+
+
+def test_cash_sales_count_at_their_retail_price(spark):
+    sales = spark.createDataFrame([("q1", True, 80.0, 100.0), ("q1", None, 80.0, 120.0), ("q1", False, 100.0, 100.0), ("q2", True, 80.0, 100.0), ("q2", False, 50.0, -1.0)], "segment string, cash boolean, sale_price double, roll double")
+    got = {(r["arm"], r["segment"]): (r["n"], r["cash_share"], r["median_ratio"]) for r in ratio_studies.value_conventions(sales, "roll", {"q1": -0.2}).collect()}
+    assert got == {("roll", "q1"): (3, pytest.approx(2 / 3), 1.25), ("roll_retail", "q1"): (3, pytest.approx(2 / 3), 1.0), ("roll", "q2"): (2, 0.5, 1.25), ("roll_retail", "q2"): (2, 0.5, 1.25)}
