@@ -69,21 +69,22 @@ class Profiles:
 
     def forget(self) -> None:
         self.row: dict[int, int] = {}
-        self.table = np.zeros((256, self.dims), np.int8)
+        self.tables = [np.zeros((256, self.dims), np.int8) for _ in range(3)]  # permuted 0, 1 and 2 times
 
     def vectors(self, codes: np.ndarray, roll: int = 0) -> np.ndarray:
-        """The vectors of distinct letters, permuted ``roll`` times."""
+        """The vectors of distinct letters, permuted ``roll`` (up to 2) times."""
         missing = [c for c in codes.tolist() if c not in self.row]
         if missing and len(self.row) + len(missing) > MAX_LETTERS:
             self.forget()
             missing = codes.tolist()
         for c in missing:
-            if len(self.row) == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[len(self.row)] = np.random.default_rng([self.seed, c]).integers(0, 2, self.dims) * 2 - 1
+            if len(self.row) == len(self.tables[0]):
+                self.tables = [np.concatenate((t, np.zeros_like(t))) for t in self.tables]
+            vector = np.random.default_rng([self.seed, c]).integers(0, 2, self.dims) * 2 - 1
+            for times, table in enumerate(self.tables):
+                table[len(self.row)] = np.roll(vector, times)
             self.row[c] = len(self.row)
-        out = self.table[[self.row[c] for c in codes.tolist()]].astype(np.float32)
-        return np.roll(out, roll, axis=1) if roll else out
+        return self.tables[roll][[self.row[c] for c in codes.tolist()]].astype(np.float32)
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the bound vectors of n-grams (sorted keys) times their counts, ``BLOCK`` letter pairs at a time."""
@@ -108,8 +109,10 @@ class Profiles:
         weights[np.cumsum(new) - 1, end_at] = counts
         firsts, first_at = np.unique(pairs >> BITS, return_inverse=True)
         middles, middle_at = np.unique(pairs & mask, return_inverse=True)
-        bound = self.vectors(firsts, 2)[first_at] * self.vectors(middles, 1)[middle_at]
-        return np.einsum("pd,pd->d", bound, weights @ self.vectors(ends), dtype=np.float64)
+        # Whole numbers no larger than the sum of the counts, in any order, so the sums are exact in the precision of the weights.
+        bound = self.vectors(firsts, 2)[first_at]
+        bound *= self.vectors(middles, 1)[middle_at]
+        return np.einsum("pd,pd->d", bound, weights @ self.vectors(ends)).astype(np.float64)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS) -> dict[str, np.ndarray]:

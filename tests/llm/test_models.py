@@ -91,3 +91,19 @@ def test_neighbours_odd_rows(spark):
     assert sorted(got[220]) == [(1, 219), (2, 221), (3, 218), (4, 222)] and 100 not in got
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
     assert ann.search(df.where("vec_id = 3"), F.lit(True)).count() == 0
+
+
+def test_bundles_are_exact_without_a_copy_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = np.unique((rng.integers(97, 123, (400, 3)) << np.array([42, 21, 0])).sum(axis=1))
+    einsum, seen = np.einsum, []
+    monkeypatch.setattr(np, "einsum", lambda *a, **k: seen.append((k.get("dtype"), {x.dtype for x in a[1:]})) or einsum(*a, **k))
+    for most, kind in ((9, np.float32), (2**22, np.float64)):  # in all below and above 2 ** 24
+        counts = rng.integers(1, most, len(keys))
+        p = langid.Profiles(64)
+        v = lambda c, k: np.roll(p.vectors(np.array([c]))[0].astype(np.int64), k)
+        want = sum(n * v(k >> 42, 2) * v((k >> 21) & (2**21 - 1), 1) * v(k & (2**21 - 1), 0) for k, n in zip(keys.tolist(), counts.tolist()))
+        got = p.bundle(keys, counts)
+        assert got.dtype == np.float64 and (got == want).all()
+        assert all(d is None and max(t.itemsize for t in types) == np.dtype(kind).itemsize for d, types in seen) and seen
+        seen.clear()
